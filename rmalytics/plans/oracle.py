@@ -206,3 +206,44 @@ def freshness() -> str:
     return with_views("""
 SELECT MAX(last_updated) AS last_updated, strftime(MAX(last_updated), '%m-%d-%Y') AS last_updated_text
 FROM returns""")
+
+
+def ingest_returns_roundtrip() -> str:
+    name = ("CASE WHEN l_linenumber = 3 THEN 'Item \"' || CAST(l_partkey AS VARCHAR) || '\"' || chr(9) "
+            "|| 'deluxe' || chr(10) || chr(233) || 'dition' ELSE 'Item ' || CAST(l_partkey AS VARCHAR) END")
+    return f"""
+SELECT CAST(CASE WHEN l_linenumber % 2 = 0 THEN year(l_shipdate) % 100 + 2000
+                 ELSE year(l_shipdate) END AS INTEGER) AS year,
+       strftime(l_shipdate, '%B') AS month,
+       CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS return_units,
+       COUNT(*) AS return_lines,
+       CAST(SUM(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS BIGINT) AS blank_reasons,
+       CAST(SUM(length({name})) AS BIGINT) AS name_chars
+FROM lineitem WHERE l_returnflag = 'R'
+GROUP BY 1, 2"""
+
+
+def ingest_returns_quarantine() -> str:
+    return """
+SELECT CASE WHEN bad_d OR bad_q THEN 'rejected' ELSE 'loaded' END AS status,
+       concat_ws('; ', CASE WHEN bad_d THEN 'bad Return request date' END,
+                       CASE WHEN bad_q THEN 'bad Return quantity' END) AS error,
+       COUNT(*) AS rows
+FROM (SELECT l_orderkey % 7 = 0 AS bad_d, l_orderkey % 11 = 0 AS bad_q
+      FROM lineitem WHERE l_returnflag = 'R') t
+GROUP BY 1, 2"""
+
+
+def ingest_sales_roundtrip() -> str:
+    return """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
+       strftime(l_shipdate, '%B') AS month,
+       CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS units,
+       COUNT(*) AS lines,
+       CAST(SUM(CASE WHEN l_linenumber IN (1, 2) OR (l_linenumber <> 7 AND l_extendedprice = 0)
+                THEN 1 ELSE 0 END) AS BIGINT) AS zero_prices,
+       CAST(SUM(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS BIGINT) AS null_prices,
+       CAST(SUM(CASE WHEN l_linenumber <> 5 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT)
+         AS business_lines
+FROM lineitem
+GROUP BY 1, 2"""

@@ -18,7 +18,7 @@ from rmalytics.operators.monthly import monthly_pivot, returns_by_year_month, ye
 from rmalytics.operators.search import search_products, with_rate_bands
 from rmalytics.operators.suggest import suggest_skus
 from rmalytics.operators.top_returned import top_returned
-from rmalytics.plans import oracle
+from rmalytics.plans import oracle, roundtrip
 from rmalytics.plans.warehouse import tables
 
 TOP_YEAR = 1996
@@ -118,6 +118,10 @@ def q_freshness(spark, sf_dir):
     return freshness(r)
 
 
+def q_export_csv_roundtrip(spark, sf_dir):
+    return roundtrip.export_csv_roundtrip(spark, sf_dir, EXPORT_START, EXPORT_END)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_returned_skus": q_top_returned_skus,
     "returns_by_year_month": q_returns_by_year_month,
@@ -137,6 +141,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_range": q_export_range,
     "suggest_skus": q_suggest_skus,
     "freshness": q_freshness,
+    "export_csv_roundtrip": q_export_csv_roundtrip,
+    "ingest_returns_roundtrip": roundtrip.ingest_returns_roundtrip,
+    "ingest_returns_quarantine": roundtrip.ingest_returns_quarantine,
+    "ingest_sales_roundtrip": roundtrip.ingest_sales_roundtrip,
 }
 
 ORACLE: dict[str, str] = {
@@ -158,4 +166,8 @@ ORACLE: dict[str, str] = {
     "export_range": oracle.export_range(EXPORT_START, EXPORT_END),
     "suggest_skus": oracle.suggest_skus(SUGGEST_TERM, SUGGEST_N),
     "freshness": oracle.freshness(),
+    "export_csv_roundtrip": oracle.export_range(EXPORT_START, EXPORT_END),
+    "ingest_returns_roundtrip": oracle.ingest_returns_roundtrip(),
+    "ingest_returns_quarantine": oracle.ingest_returns_quarantine(),
+    "ingest_sales_roundtrip": oracle.ingest_sales_roundtrip(),
 }
