@@ -19,7 +19,8 @@ def month_number(name: Column) -> Column:
 
 def month_name(month_no: Column) -> Column:
     """1..12 -> English month name; else NULL."""
-    return F.try_element_at(F.array(*[F.lit(m) for m in MONTHS]), month_no.cast("int"))
+    n = month_no.cast("int")
+    return F.when(n.between(1, 12), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), n))
 
 
 def report_month_year(c: Column) -> tuple[Column, Column]:

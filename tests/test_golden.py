@@ -1,0 +1,171 @@
+"""Every operator on the golden mini dataset (hand-computed, FIXTURES.md 3)."""
+
+from pyspark.sql import functions as F
+
+from rmalytics import (
+    export_returns,
+    freshness,
+    monthly_pivot,
+    returns_by_year_month,
+    search_products,
+    suggest_skus,
+    top_returned,
+    year_series,
+    yearly_total,
+)
+from rmalytics.operators.monthly import SLOTS
+from rmalytics.operators.search import with_rate_bands
+
+
+def slots(row):
+    return [row[s] for s in SLOTS]
+
+
+def test_monthly_pivot(golden):
+    r, _ = golden
+    rows = {x["year"]: x for x in monthly_pivot(r).collect()}
+    assert slots(rows[2023]) == [2] + [0] * 11 and rows[2023]["total"] == 2
+    assert slots(rows[2024]) == [1, 0, 4] + [0] * 9 and rows[2024]["total"] == 5
+    assert slots(rows[2025]) == [0, 0, 0, 0, 5] + [0] * 7 and rows[2025]["total"] == 5
+    assert [(x.year, x.total) for x in yearly_total(r).collect()] == [(2023, 2), (2024, 5), (2025, 5)]
+
+
+def test_returns_by_year_month_calendar_order(golden):
+    r, _ = golden
+    got = [tuple(x) for x in returns_by_year_month(r).collect()]
+    assert got == [(2023, "January", 2), (2024, "January", 1), (2024, "March", 4), (2025, "May", 5)]
+
+
+def test_year_series_zero_fill(spark, golden):
+    r, _ = golden
+    rows = year_series(spark, r, [2026, 2024]).collect()
+    assert [x.year for x in rows] == [2024, 2026]
+    assert slots(rows[1]) == [0] * 12 and rows[1]["total"] == 0
+    assert slots(rows[0])[2] == 4
+
+
+def test_top_returned(golden):
+    r, s = golden
+    got = [tuple(x) for x in top_returned(r, s, 2024).collect()]
+    assert got == [("A1", "S2", 3, 3, 100.0), ("A1", "S1", 1, 3, 33.33), ("A2", "T1", 1, None, None)]
+    assert [x.merchant_sku for x in top_returned(r, s, 2024, n=1).collect()] == ["S2"]
+
+
+def test_search_products(golden):
+    r, s = golden
+    res = search_products(r, s, "a", years=(2023, 2024))
+    got = [x.asDict() for x in res.products.collect()]
+    assert [g["asin"] for g in got] == ["A1", "A2"]
+    a1, a2 = got
+    assert a1 == {"asin": "A1", "merchant_skus": "S1,S2", "returns_2023": 1, "sales_2023": 4,
+                  "return_rate_2023": 25.0, "returns_2024": 2, "sales_2024": 3,
+                  "return_rate_2024": 66.67}
+    assert a2 == {"asin": "A2", "merchant_skus": "T1", "returns_2023": 0, "sales_2023": 0,
+                  "return_rate_2023": None, "returns_2024": 1, "sales_2024": 0,
+                  "return_rate_2024": None}
+    summ = res.summary.collect()[0].asDict()
+    assert summ == {"total_returns_2023": 1, "total_sales_2023": 4, "total_returns_2024": 3,
+                    "total_sales_2024": 3, "return_rate_2023": 25.0, "return_rate_2024": 100.0}
+    comb = {x.return_reason: (x.count_2023, x.count_2024) for x in res.combined_reasons.collect()}
+    assert comb == {"Too small": (1, 1), "Defective": (0, 2), "": (0, 0)}
+    nested = {x.asin: [tuple(e) for e in x.return_reasons]
+              for x in res.products_with_reasons().collect()}
+    assert nested == {"A1": [("Defective", 0, 1), ("Too small", 1, 1)],
+                      "A2": [("Defective", 0, 1), ("", 0, 0)]}
+
+
+def test_search_by_sku_uses_whole_asin_sales(golden):
+    r, s = golden
+    got = search_products(r, s, "S1", years=(2023, 2024)).products.collect()
+    assert len(got) == 1
+    x = got[0]
+    assert (x.asin, x.merchant_skus, x.returns_2024, x.sales_2024, x.return_rate_2024) == \
+        ("A1", "S1", 1, 3, 33.33)
+
+
+def test_search_wildcards_and_literal(golden):
+    r, s = golden
+    wild = search_products(r, s, "S_", years=(2023, 2024)).products.collect()
+    assert [(x.asin, x.merchant_skus) for x in wild] == [("A1", "S1,S2")]
+    assert search_products(r, s, "S_", years=(2023, 2024), literal=True).products.count() == 0
+
+
+def test_search_blank_and_no_match(golden):
+    r, s = golden
+    for term in ("", "   ", "zzz"):
+        res = search_products(r, s, term, years=(2023, 2024))
+        assert res.products.count() == 0
+        assert res.combined_reasons.count() == 0
+        summ = res.summary.collect()[0].asDict()
+        assert summ == {"total_returns_2023": 0, "total_sales_2023": 0, "total_returns_2024": 0,
+                        "total_sales_2024": 0, "return_rate_2023": 0.0, "return_rate_2024": 0.0}
+
+
+def test_search_both_sales_strategies_agree(golden):
+    r, s = golden
+    a = search_products(r, s, "a", years=(2023, 2024)).products.collect()
+    b = search_products(r, s, "a", years=(2023, 2024), broadcast_keys_limit=0).products.collect()
+    c = search_products(r, s, "a", years=(2023, 2024), broadcast_keys_limit=1).products.collect()
+    assert a == b == c
+
+
+def test_export_month_granular(golden):
+    r, _ = golden
+    for start, end in (("2024-01-15", "2024-03-31"), ("2024-03-01", "2024-03-01")):
+        got = sorted(tuple(x) for x in export_returns(r, start, end).collect())
+        assert got == [("A1", "S2", 3), ("A2", "T1", 1)]
+    assert export_returns(r, "2024-03-02", "2024-03-31").count() == 0
+    got = sorted(tuple(x) for x in export_returns(r, "2022-12-01", "2025-12-31").collect())
+    assert got == [("A1", "S1", 3), ("A1", "S2", 3), ("A2", "T1", 6)]
+
+
+def test_suggest(golden):
+    r, _ = golden
+    assert [x.merchant_sku for x in suggest_skus(r, "s").collect()] == ["S1", "S2"]
+    assert suggest_skus(r, "").count() == 0
+    assert [x.merchant_sku for x in suggest_skus(r, "s", n=1).collect()] == ["S1"]
+
+
+def test_freshness(golden, spark):
+    r, _ = golden
+    x = freshness(r).collect()[0]
+    assert x.last_updated_text == "05-31-2025"
+    empty = freshness(r.limit(0)).collect()[0]
+    assert empty.last_updated is None and empty.last_updated_text is None
+
+
+def test_rate_bands(spark):
+    from rmalytics.functions.rates import rate_band
+
+    df = spark.createDataFrame([(25.0,), (10.0,), (5.01,), (5.0,), (None,)], "r double")
+    assert [x[0] for x in df.select(rate_band(F.col("r"))).collect()] == \
+        ["danger", "warning", "warning", "none", "none"]
+
+
+def test_rate_bands_on_products(golden):
+    r, s = golden
+    p = with_rate_bands(search_products(r, s, "a", years=(2023, 2024)).products, (2023, 2024))
+    x = {row.asin: row for row in p.collect()}
+    assert x["A1"].rate_band_2023 == "danger" and x["A1"].has_returns_2023
+    assert x["A2"].rate_band_2024 == "none" and not x["A2"].has_returns_2023
+
+
+def test_unknown_month_keeps_year_row(spark, golden):
+    r, _ = golden
+    bad = r.limit(1).withColumn("month", F.lit("Foo")).withColumn("month_no", F.lit(None).cast("int")) \
+        .withColumn("year", F.lit(2030))
+    both = r.unionByName(bad)
+    rows = {x.year: x for x in monthly_pivot(both).collect()}
+    assert slots(rows[2030]) == [0] * 12
+    assert export_returns(both, "2030-01-01", "2030-12-31").count() == 0
+
+
+def test_null_asin_reasons_attach_null_safe(spark, golden):
+    r, s = golden
+    extra = r.limit(1).withColumn("asin", F.lit(None).cast("string")) \
+        .withColumn("merchant_sku", F.lit("S9")).withColumn("year", F.lit(2024))
+    res = search_products(r.unionByName(extra), s, "S9", years=(2023, 2024))
+    rows = res.products_with_reasons().collect()
+    assert len(rows) == 1 and rows[0].asin is None
+    assert rows[0].sales_2024 == 0 and rows[0].return_rate_2024 is None
+    assert [tuple(e) for e in rows[0].return_reasons] == [("Too small", 0, 1)]
