@@ -44,7 +44,7 @@ def report_month_year(c: Column) -> tuple[Column, Column]:
 
 # Python strptime('%Y-%m-%dT%H:%M:%S%z') accepts exactly this shape.
 _ISO_OFFSET = (
-    r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
+    r"^\d{4}-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
     r"T(2[0-3]|[0-1]\d|\d):([0-5]\d|\d):(6[0-1]|[0-5]\d|\d)"
     r"(Z|[+-]\d\d:?[0-5]\d(:?[0-5]\d(\.\d{1,6})?)?)$"
 )
@@ -56,10 +56,11 @@ def purchase_month_year(c: Column) -> tuple[Column, Column]:
     Month and year are those of the written wall clock, not of UTC: the
     offset is validated but not applied. The calendar date must exist.
     """
-    y = F.regexp_extract(c, _ISO_OFFSET, 1)
-    m = F.regexp_extract(c, _ISO_OFFSET, 2)
-    d = F.trim(F.regexp_extract(c, _ISO_OFFSET, 3))
-    day = F.when(y != "", F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d"))
+    date_part = F.substring_index(c, "T", 1)
+    y = F.substring_index(date_part, "-", 1)
+    m = F.substring_index(F.substring_index(date_part, "-", 2), "-", -1)
+    d = F.trim(F.substring_index(date_part, "-", -1))
+    day = F.when(c.rlike(_ISO_OFFSET), F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d"))
     return (F.date_format(day, "MMMM"), F.year(day))
 
 

@@ -14,13 +14,14 @@ def strict_int(c: Column) -> Column:
     gives NULL; the ingest treats NULL as a rejected row."""
     s = py_strip(c)
     ok = s.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
-    return F.when(ok, F.regexp_replace(s, "_", "").try_cast("int"))
+    digits = F.when(s.contains("_"), F.regexp_replace(s, "_", "")).otherwise(s)
+    return F.when(ok, digits.try_cast("int"))
 
 
 def blank_to_zero_float(c: Column) -> Column:
     """Blank (or missing) -> 0.0; a number -> float; anything else -> NULL."""
     s = py_strip(F.coalesce(c, F.lit("")))
-    num = F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")
+    num = F.when(s.contains("_"), F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(s)
     ok = num.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$")
     return F.when(s == "", F.lit(0.0).cast("float")).when(ok, num.try_cast("float"))
 

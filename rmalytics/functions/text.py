@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters Python's str.strip() removes (str.isspace), as a regex class.
-_WS = r"[\s\u00A0\u0085\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\x1C-\x1F]"
+# Characters Python's str.strip() removes: everything str.isspace() accepts.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def py_strip(c: Column) -> Column:
     """Strip leading/trailing whitespace the way Python's ``str.strip`` does.
 
-    Spark's ``trim`` removes only ASCII blanks, so tabs and no-break spaces
-    would survive it.
+    Spark's one-argument ``trim`` removes only ASCII blanks, so tabs and
+    no-break spaces would survive it; ``btrim`` with the character set is a
+    plain scan, no regex.
     """
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def like_pattern(term: str, literal: bool = False) -> str:

@@ -93,22 +93,35 @@ def _with_month_no(df: DataFrame) -> DataFrame:
                                              month_number(F.col("month"))))
 
 
+ROW_ERROR_TAG = "rmalytics: rows cannot be loaded: "
+
+
 def enforce(prepared: DataFrame, on_error: str = "fail"):
     """Apply the load policy.
 
-    ``fail``: count bad rows (one scan); raise if any, listing up to five
-    samples; else return the good rows without ``_errors``.
+    ``fail``: the rows pass through a guard that raises on the first row
+    with problems, so the job that writes them fails and Spark's commit
+    protocol leaves nothing behind: one pass, no separate validation scan.
+    The error surfaces when the DataFrame is written (``ingest_*`` turn it
+    into :class:`ReportRowError`).
     ``quarantine``: return ``(good, bad)``; ``bad`` keeps ``_errors``.
     """
-    bad = prepared.filter(F.size("_errors") > 0)
-    good = prepared.filter(F.size("_errors") == 0).drop("_errors")
     if on_error == "quarantine":
+        bad = prepared.filter(F.size("_errors") > 0)
+        good = prepared.filter(F.size("_errors") == 0).drop("_errors")
         return good, bad
     if on_error != "fail":
         raise ValueError("on_error must be 'fail' or 'quarantine'")
-    sample = bad.select("_errors").limit(5).collect()
-    if sample:
-        n = bad.count()
-        msgs = sorted({m for r in sample for m in r["_errors"]})
-        raise ReportRowError(f"{n} row(s) cannot be loaded ({'; '.join(msgs)}); nothing written")
-    return good
+    msg = F.concat(F.lit(ROW_ERROR_TAG), F.array_join("_errors", "; "))
+    guarded = F.when(F.size("_errors") > 0, F.raise_error(msg)).otherwise(F.col("year"))
+    return prepared.withColumn("year", guarded.cast("int")).drop("_errors")
+
+
+def raise_row_error(exc: Exception) -> None:
+    """Re-raise a Spark failure caused by the ``fail`` guard as ReportRowError."""
+    text = str(exc)
+    i = text.find(ROW_ERROR_TAG)
+    if i < 0:
+        raise exc
+    detail = text[i + len(ROW_ERROR_TAG):].split("\n", 1)[0]
+    raise ReportRowError(f"a row cannot be loaded ({detail.strip()}); nothing written") from exc

@@ -88,6 +88,9 @@ def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(*[values.get(h, F.lit("")).alias(header.get(h, h)) for h in SALES_HEADERS])
 
 
-def write_report(df: DataFrame, path: str) -> str:
-    df.write.options(**WRITE_OPTIONS).csv(path)
+def write_report(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Write as ``files`` report files (default: the session's parallelism),
+    as a seller would upload several monthly files."""
+    n = files or df.sparkSession.sparkContext.defaultParallelism
+    df.repartition(n).write.options(**WRITE_OPTIONS).csv(path)
     return path

@@ -15,14 +15,14 @@ from rmalytics.plans import render
 from rmalytics.plans.warehouse import tables
 from rmalytics.session import scratch_path
 from rmalytics.sources.csv_sink import read_export_csv, write_export_csv
-from rmalytics.sources.reports import load_returns_report, load_sales_report
-from rmalytics.sources.tables import append_table, read_returns, read_sales
+from rmalytics.sources.reports import ingest_returns, ingest_sales, load_returns_report
+from rmalytics.sources.tables import read_returns, read_sales
 
 
 def ingest_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "returns-load")
     src = render.write_report(render.returns_report(spark, sf_dir), f"{base}/report")
-    append_table(load_returns_report(spark, src), f"{base}/table")
+    ingest_returns(spark, src, f"{base}/table")
     t = read_returns(spark, f"{base}/table")
     return t.groupBy("year", "month").agg(
         F.sum("return_quantity").cast("bigint").alias("return_units"),
@@ -52,7 +52,7 @@ def ingest_returns_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_sales_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "sales-load")
     src = render.write_report(render.sales_report(spark, sf_dir), f"{base}/report")
-    append_table(load_sales_report(spark, src), f"{base}/table")
+    ingest_sales(spark, src, f"{base}/table")
     t = read_sales(spark, f"{base}/table")
     return t.groupBy("year", "month").agg(
         F.sum("quantity").cast("bigint").alias("units"),

@@ -29,9 +29,15 @@ class ReportHeaderError(ValueError):
         super().__init__(f"{kind} report is missing columns: {', '.join(self.missing)}")
 
 
-def read_report(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All columns as strings, located by header name (order free, extras kept)."""
-    return spark.read.options(**REPORT_OPTIONS).csv(paths)
+def read_report(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
+    """All columns as strings, located by header name (order free, extras kept).
+
+    Quoted fields may span lines, so by default each file is parsed by one
+    task (parallel across files: reports come one per month).
+    ``multiline=False`` lets Spark split large files when no field holds a
+    newline.
+    """
+    return spark.read.options(**{**REPORT_OPTIONS, "multiLine": str(multiline).lower()}).csv(paths)
 
 
 def check_returns_header(df: DataFrame) -> DataFrame:
@@ -59,26 +65,56 @@ def check_sales_header(df: DataFrame) -> DataFrame:
     return renamed
 
 
-def load_returns_report(spark: SparkSession, paths, on_error: str = "fail"):
-    """Scan + header check + typed projection of returns reports.
+def load_returns_report(spark: SparkSession, paths, on_error: str = "fail", multiline: bool = True):
+    """Scan + header check (eager, raises ReportHeaderError) + typed projection.
 
-    Returns the table-shaped DataFrame (``on_error='fail'``: raises on any bad
-    row) or ``(good, bad)`` with ``on_error='quarantine'``.
+    Returns the table-shaped DataFrame (``on_error='fail'``: an action on it
+    fails at the first bad row) or ``(good, bad)`` with ``'quarantine'``.
     """
     from rmalytics.operators.ingest import enforce, prepare_returns
 
-    raw = check_returns_header(read_report(spark, paths))
+    raw = check_returns_header(read_report(spark, paths, multiline))
     return enforce(prepare_returns(raw), on_error)
 
 
-def load_sales_report(spark: SparkSession, paths, on_error: str = "fail"):
+def load_sales_report(spark: SparkSession, paths, on_error: str = "fail", multiline: bool = True):
     """Scan + header check + typed projection of all-orders (sales) reports."""
     from rmalytics.operators.ingest import enforce, prepare_sales
 
-    raw = check_sales_header(read_report(spark, paths))
+    raw = check_sales_header(read_report(spark, paths, multiline))
     return enforce(prepare_sales(raw), on_error)
 
 
+def _ingest(load, spark, paths, table_path, on_error, multiline):
+    from rmalytics.operators.ingest import raise_row_error
+    from rmalytics.sources.tables import append_table
+
+    loaded = load(spark, paths, on_error, multiline)
+    good, bad = loaded if on_error == "quarantine" else (loaded, None)
+    try:
+        append_table(good, table_path)
+    except Exception as exc:  # noqa: BLE001 - translated below
+        raise_row_error(exc)
+    return bad
+
+
+def ingest_returns(spark: SparkSession, paths, table_path: str, on_error: str = "fail",
+                   multiline: bool = True):
+    """Load returns reports and append them to the table at ``table_path``.
+
+    ``fail``: one bad row fails the load and nothing is written
+    (ReportRowError). ``quarantine``: good rows are appended and the bad
+    ones returned as a DataFrame with an ``_errors`` column.
+    """
+    return _ingest(load_returns_report, spark, paths, table_path, on_error, multiline)
+
+
+def ingest_sales(spark: SparkSession, paths, table_path: str, on_error: str = "fail",
+                 multiline: bool = True):
+    """Load all-orders reports and append them to the table at ``table_path``."""
+    return _ingest(load_sales_report, spark, paths, table_path, on_error, multiline)
+
+
 __all__ = ["REPORT_OPTIONS", "ReportHeaderError", "check_returns_header",
-           "check_sales_header", "load_returns_report", "load_sales_report",
-           "read_report", "SALES_HEADERS"]
+           "check_sales_header", "ingest_returns", "ingest_sales", "load_returns_report",
+           "load_sales_report", "read_report", "SALES_HEADERS"]

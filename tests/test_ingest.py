@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from rmalytics.operators.ingest import ReportRowError
 from rmalytics.schemas import RETURNS_HEADERS, SALES_HEADERS
 from rmalytics.sources.csv_sink import read_export_csv, write_export_csv
-from rmalytics.sources.reports import ReportHeaderError, load_returns_report, load_sales_report
-from rmalytics.sources.tables import append_table, read_returns
+from rmalytics.sources.reports import (
+    ReportHeaderError,
+    ingest_returns,
+    ingest_sales,
+    load_returns_report,
+    load_sales_report,
+)
+from rmalytics.sources.tables import read_returns
 
 NBSP = chr(0xA0)
 E_ACUTE = chr(0xE9)
@@ -72,14 +78,20 @@ def test_returns_column_order_free(spark, tmp_path):
 ])
 def test_returns_bad_row_fails_whole_load(spark, tmp_path, row):
     p = write_returns(str(tmp_path / "r.tsv"), [returns_row(), row])
-    with pytest.raises(ReportRowError):
-        load_returns_report(spark, p)
+    table = str(tmp_path / "table")
+    with pytest.raises(ReportRowError, match="bad Return"):
+        ingest_returns(spark, p, table)
+    files = [f for _, _, fs in os.walk(table) for f in fs if f.endswith(".parquet")]
+    assert files == []
 
 
 def test_returns_quarantine(spark, tmp_path):
     p = write_returns(str(tmp_path / "r.tsv"), [returns_row(), returns_row("5/Jan/24", "x")])
     good, bad = load_returns_report(spark, p, on_error="quarantine")
     assert good.count() == 1
+    table = str(tmp_path / "table")
+    bad2 = ingest_returns(spark, p, table, on_error="quarantine")
+    assert read_returns(spark, table).count() == 1 and bad2.count() == 1
     errs = bad.collect()[0]["_errors"]
     assert errs == ["bad Return request date", "bad Return quantity"]
 
@@ -95,7 +107,7 @@ def test_same_file_twice_doubles(spark, tmp_path):
     p = write_returns(str(tmp_path / "r.tsv"), [returns_row(), returns_row("1-Mar-24", "4")])
     table = str(tmp_path / "table")
     for _ in range(2):
-        append_table(load_returns_report(spark, p), table)
+        assert ingest_returns(spark, p, table) is None
     t = read_returns(spark, table)
     assert t.count() == 4
     assert t.agg(F.sum("return_quantity")).collect()[0][0] == 12
@@ -144,8 +156,8 @@ def test_sales_snake_case_header_accepted(spark, tmp_path):
 @pytest.mark.parametrize("date", ["2024-01-01", "2024-01-01T00:30:00", "2024-13-01T00:00:00Z"])
 def test_sales_bad_purchase_date(spark, tmp_path, date):
     p = write_sales(str(tmp_path / "s.tsv"), [sales_row(**{"purchase-date": date})])
-    with pytest.raises(ReportRowError):
-        load_sales_report(spark, p)
+    with pytest.raises(ReportRowError, match="bad purchase-date"):
+        ingest_sales(spark, p, str(tmp_path / "table"))
 
 
 def test_sales_missing_header(spark, tmp_path):
