@@ -247,3 +247,36 @@ SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
          AS business_lines
 FROM lineitem
 GROUP BY 1, 2"""
+
+
+def _top_cte(year: int, n: int) -> str:
+    return f"""top AS (
+  SELECT asin, merchant_sku, total_returns, total_sold,
+         {half_even('total_returns', 'total_sold')} AS return_pct
+  FROM (
+    SELECT r.asin, r.merchant_sku, r.total_returns, s.total_sold
+    FROM (SELECT asin, merchant_sku, CAST(SUM(return_quantity) AS BIGINT) AS total_returns
+          FROM returns WHERE year = {year} GROUP BY asin, merchant_sku) r
+    LEFT JOIN (SELECT asin, CAST(SUM(quantity) AS BIGINT) AS total_sold
+               FROM sales WHERE year = {year} GROUP BY asin) s
+    ON r.asin = s.asin
+    ORDER BY r.total_returns DESC, r.asin, r.merchant_sku
+    LIMIT {n}) t)"""
+
+
+def display_format(year: int, n: int, base: str) -> str:
+    return with_views(f"""
+SELECT asin, merchant_sku,
+       format('{{:,}}', total_returns) AS total_returns_text,
+       COALESCE(format('{{:,}}', total_sold), '') AS total_sold_text,
+       COALESCE(printf('%.2f%%', return_pct), 'N/A') AS return_pct_text,
+       '{base}' || asin AS product_link
+FROM top""", _top_cte(year, n))
+
+
+def monthly_series_json() -> str:
+    slots = ", ".join(m.lower() for m in MONTHS_SQL)
+    return with_views(f"""
+SELECT '{{' || string_agg('"' || CAST(year AS VARCHAR) || '":[' ||
+       array_to_string([{slots}], ',') || ']', ',' ORDER BY year) || '}}' AS series_json
+FROM ({_slots()}) p""")

@@ -20,6 +20,8 @@ from rmalytics.operators.suggest import suggest_skus
 from rmalytics.operators.top_returned import top_returned
 from rmalytics.plans import oracle, roundtrip
 from rmalytics.plans.warehouse import tables
+from rmalytics.functions.display import count_text, pct_text, product_link
+from rmalytics.sources.json_out import series_json
 
 TOP_YEAR = 1996
 TOP_N = 50
@@ -30,6 +32,7 @@ LITERAL_TERM = "-1"
 SERIES_YEARS = (1996, 2025)
 EXPORT_START, EXPORT_END = "1996-01-15", "1997-06-30"
 SUGGEST_TERM, SUGGEST_N = "ring", 10
+LINK_BASE = "https://marketplace.example/dp/"
 
 
 def q_top_returned_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +121,20 @@ def q_freshness(spark, sf_dir):
     return freshness(r)
 
 
+def q_display_format(spark, sf_dir):
+    t = q_top_returned_skus(spark, sf_dir)
+    return t.select("asin", "merchant_sku",
+                    count_text(F.col("total_returns")).alias("total_returns_text"),
+                    F.coalesce(count_text(F.col("total_sold")), F.lit("")).alias("total_sold_text"),
+                    pct_text(F.col("return_pct")).alias("return_pct_text"),
+                    product_link(F.col("asin"), LINK_BASE).alias("product_link"))
+
+
+def q_monthly_series_json(spark, sf_dir):
+    r, _ = tables(spark, sf_dir)
+    return series_json(monthly_pivot(r))
+
+
 def q_export_csv_roundtrip(spark, sf_dir):
     return roundtrip.export_csv_roundtrip(spark, sf_dir, EXPORT_START, EXPORT_END)
 
@@ -141,6 +158,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_range": q_export_range,
     "suggest_skus": q_suggest_skus,
     "freshness": q_freshness,
+    "display_format": q_display_format,
+    "monthly_series_json": q_monthly_series_json,
     "export_csv_roundtrip": q_export_csv_roundtrip,
     "ingest_returns_roundtrip": roundtrip.ingest_returns_roundtrip,
     "ingest_returns_quarantine": roundtrip.ingest_returns_quarantine,
@@ -166,6 +185,8 @@ ORACLE: dict[str, str] = {
     "export_range": oracle.export_range(EXPORT_START, EXPORT_END),
     "suggest_skus": oracle.suggest_skus(SUGGEST_TERM, SUGGEST_N),
     "freshness": oracle.freshness(),
+    "display_format": oracle.display_format(TOP_YEAR, TOP_N, LINK_BASE),
+    "monthly_series_json": oracle.monthly_series_json(),
     "export_csv_roundtrip": oracle.export_range(EXPORT_START, EXPORT_END),
     "ingest_returns_roundtrip": oracle.ingest_returns_roundtrip(),
     "ingest_returns_quarantine": oracle.ingest_returns_quarantine(),
