@@ -9,7 +9,7 @@ application.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +22,35 @@ from rmalytics.functions.text import matches
 BROADCAST_KEYS_LIMIT = 200_000
 
 
-@dataclass
 class SearchResult:
-    matched: DataFrame      # returns rows whose SKU or ASIN contains the term
-    products: DataFrame     # one row per ASIN
-    reasons: DataFrame      # one row per (ASIN, reason)
-    summary: DataFrame      # one row of totals and rates
-    combined_reasons: DataFrame  # one row per reason over all products
+    """Outputs of one search; all built from the same filtered ``matched``.
+
+    ``products`` is built at once; the other outputs are built on first use.
+    """
+
+    def __init__(self, matched: DataFrame, products: DataFrame, years: tuple[int, ...]):
+        self.matched = matched    # returns rows whose SKU or ASIN contains the term
+        self.products = products  # one row per ASIN
+        self.years = years
+
+    @cached_property
+    def reasons(self) -> DataFrame:
+        """One row per (ASIN, reason)."""
+        return return_reasons(self.matched, self.years)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row of totals and rates."""
+        return search_summary(self.products, self.years)
+
+    @cached_property
+    def combined_reasons(self) -> DataFrame:
+        """One row per reason over all matched products."""
+        return combined_reasons(self.matched, self.years)
 
     def products_with_reasons(self) -> DataFrame:
         return nest_reasons(self.products, self.reasons, self.years)
 
-    years: tuple[int, ...] = ()
-
 
 def _year_counts(years, value=None, prefix="returns"):
     one = F.lit(1) if value is None else F.col(value)
@@ -68,7 +84,7 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     # Rows of other years add 0 to every sales_<y>, so only the wanted
     # years' partitions are read.
     sales_y = sales.filter(F.col("year").isin(*years)) if years else sales.limit(0)
-    keys = per_asin.select("asin").filter(F.col("asin").isNotNull())
+    keys = matched.select("asin").filter(F.col("asin").isNotNull()).distinct()
     if broadcast_keys_limit and keys.limit(broadcast_keys_limit + 1).count() <= broadcast_keys_limit:
         sales_y = sales_y.join(F.broadcast(keys), "asin", "left_semi")
     sold = sales_y.groupBy("asin").agg(*_year_counts(years, "quantity", "sales"))
@@ -83,12 +99,7 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     if years:
         products = products.orderBy(F.desc(f"returns_{years[-1]}"), F.asc("asin"))
 
-    reasons = return_reasons(matched, years)
-    summary = search_summary(products, years)
-    combined = combined_reasons(matched, years)
-    res = SearchResult(matched, products, reasons, summary, combined)
-    res.years = years
-    return res
+    return SearchResult(matched, products, years)
 
 
 def return_reasons(matched: DataFrame, years) -> DataFrame:
