@@ -38,13 +38,14 @@ def test_report_date(spark):
 def test_purchase_date_wall_clock(spark):
     vals = ["2024-01-01T00:30:00+09:00", "2024-01-01T00:30:00Z", "2024-01-01T00:30:00+0000",
             "2024-05-31T23:30:00-05:00", "2024-1-1T0:3:0+09:00", "2024-01-01", "2024-02-30T00:00:00Z",
-            " 2024-01-01T00:30:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:30:00+09:00:00.5", None]
+            " 2024-01-01T00:30:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:30:00+09:00:00.5", None,
+            "2024-01-01T00:00:60Z"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     m, y = purchase_month_year(F.col("v"))
     got = [tuple(r) for r in df.select(m, y).collect()]
     jan = ("January", 2024)
     assert got == [jan, jan, jan, ("May", 2024), jan, (None, None), (None, None), (None, None),
-                   (None, None), jan, (None, None)]
+                   (None, None), jan, (None, None), (None, None)]
 
 
 def test_strict_int(spark):

@@ -54,3 +54,20 @@ def test_export_prunes_and_pushes(plans):
 
 def test_suggest_is_top_k(plans):
     assert "TakeOrderedAndProject" in plans["suggest_skus"]
+
+
+def test_search_fallback_join_is_co_partitioned(spark):
+    """Over the key limit: aggregated sales join the aggregated products with
+    no exchange beyond the two aggregation shuffles."""
+    from rmalytics.operators.search import search_products
+    from rmalytics.plans.warehouse import tables
+
+    r, s = tables(spark, SF)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(search_products(r, s, "ring", (1996, 1997), broadcast_keys_limit=0).products)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in p and "BroadcastExchange" not in p
+    assert p.count("Exchange (") == 4  # (asin, sku), (asin), sales (asin), final range sort
