@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rmalytics.functions.dates import month_window_filter
+from rmalytics.functions.keys import key_of, spelling
 
 
-def export_returns(returns: DataFrame, start, end) -> DataFrame:
+def export_returns(returns: DataFrame, start, end, fold_case: bool = True) -> DataFrame:
     """Month-granular range: a month counts when its first day lies in
     [start, end]. Start 2024-01-15 leaves January out; end 2024-03-01
-    takes all of March. Columns: asin, merchant_sku, return_quantity."""
-    return (returns.filter(month_window_filter(start, end))
-            .groupBy("asin", "merchant_sku")
-            .agg(F.sum("return_quantity").cast("bigint").alias("return_quantity")))
+    takes all of March. Columns: asin, merchant_sku, return_quantity.
+
+    With ``fold_case`` SKUs differing only in letter case are one row, shown
+    in their smallest spelling.
+    """
+    r = returns.filter(month_window_filter(start, end))
+    qty = F.sum("return_quantity").cast("bigint").alias("return_quantity")
+    if not fold_case:
+        return r.groupBy("asin", "merchant_sku").agg(qty)
+    g = r.groupBy(key_of("asin", True).alias("_a"), key_of("merchant_sku", True).alias("_s"))
+    return g.agg(spelling("asin").alias("asin"), spelling("merchant_sku").alias("merchant_sku"), qty) \
+        .drop("_a", "_s")

@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rmalytics.functions.keys import key_of, spelling
 from rmalytics.functions.rates import has_returns, rate_band, return_rate
 from rmalytics.functions.text import matches
 
@@ -28,15 +29,17 @@ class SearchResult:
     ``products`` is built at once; the other outputs are built on first use.
     """
 
-    def __init__(self, matched: DataFrame, products: DataFrame, years: tuple[int, ...]):
+    def __init__(self, matched: DataFrame, products: DataFrame, years: tuple[int, ...],
+                 fold_case: bool):
         self.matched = matched    # returns rows whose SKU or ASIN contains the term
         self.products = products  # one row per ASIN
         self.years = years
+        self.fold_case = fold_case
 
     @cached_property
     def reasons(self) -> DataFrame:
         """One row per (ASIN, reason)."""
-        return return_reasons(self.matched, self.years)
+        return return_reasons(self.matched, self.years, self.fold_case)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -46,10 +49,10 @@ class SearchResult:
     @cached_property
     def combined_reasons(self) -> DataFrame:
         """One row per reason over all matched products."""
-        return combined_reasons(self.matched, self.years)
+        return combined_reasons(self.matched, self.years, self.fold_case)
 
     def products_with_reasons(self) -> DataFrame:
-        return nest_reasons(self.products, self.reasons, self.years)
+        return nest_reasons(self.products, self.reasons, self.years, self.fold_case)
 
 
 def _year_counts(years, value=None, prefix="returns"):
@@ -58,38 +61,53 @@ def _year_counts(years, value=None, prefix="returns"):
             for y in years]
 
 
+def _shown(name: str, fold_case: bool) -> list:
+    """Aggregate giving the displayed spelling of a folded key (none when exact)."""
+    return [spelling(name).alias(name)] if fold_case else []
+
+
 def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023, 2024),
-                    literal: bool = False, broadcast_keys_limit: int = BROADCAST_KEYS_LIMIT
-                    ) -> SearchResult:
+                    literal: bool = False, broadcast_keys_limit: int = BROADCAST_KEYS_LIMIT,
+                    fold_case: bool = True) -> SearchResult:
     """Search ``term`` (trimmed; blank -> no products) in merchant_sku or asin.
 
     products: asin, merchant_skus (distinct, sorted, comma joined),
     returns_<y>, sales_<y>, return_rate_<y> (half-up, NULL without sales),
     ordered by returns of the last year descending, then asin. Sales are the
-    whole ASIN's, even when only one of its SKUs matched.
+    whole ASIN's, even when only one of its SKUs matched. Matching ignores
+    letter case; so does grouping unless ``fold_case=False``.
     """
     years = tuple(int(y) for y in years)
     term = (term or "").strip()
     matched = returns.filter(matches(term, "merchant_sku", "asin", literal=literal)) if term \
         else returns.limit(0)
+    keyed = matched.withColumns({"asin_key": key_of("asin", fold_case),
+                                 "sku_key": key_of("merchant_sku", fold_case)})
 
     # (asin, sku) first: collapses a hot ASIN to one row per SKU map-side,
     # then (asin) over that small input.
-    per_sku = matched.groupBy("asin", "merchant_sku").agg(*_year_counts(years))
-    per_asin = per_sku.groupBy("asin").agg(
+    per_sku = keyed.groupBy("asin_key", "sku_key").agg(
+        *_year_counts(years), *_shown("asin", fold_case), *_shown("merchant_sku", fold_case))
+    if not fold_case:
+        per_sku = per_sku.withColumns({"asin": F.col("asin_key"), "merchant_sku": F.col("sku_key")})
+    per_asin = per_sku.groupBy("asin_key").agg(
         F.array_join(F.array_sort(F.collect_list("merchant_sku")), ",").alias("_skus"),
+        *_shown("asin", fold_case),
         *[F.sum(f"returns_{y}").cast("bigint").alias(f"returns_{y}") for y in years])
+    if not fold_case:
+        per_asin = per_asin.withColumn("asin", F.col("asin_key"))
     per_asin = per_asin.withColumn("merchant_skus", F.nullif(F.col("_skus"), F.lit(""))).drop("_skus")
 
     # Rows of other years add 0 to every sales_<y>, so only the wanted
     # years' partitions are read.
     sales_y = sales.filter(F.col("year").isin(*years)) if years else sales.limit(0)
-    keys = matched.select("asin").filter(F.col("asin").isNotNull()).distinct()
+    sales_y = sales_y.select(key_of("asin", fold_case).alias("asin_key"), "year", "quantity")
+    keys = keyed.select(F.col("asin_key").alias("m_asin")).filter(F.col("m_asin").isNotNull()).distinct()
     if broadcast_keys_limit and keys.limit(broadcast_keys_limit + 1).count() <= broadcast_keys_limit:
-        sales_y = sales_y.join(F.broadcast(keys), "asin", "left_semi")
-    sold = sales_y.groupBy("asin").agg(*_year_counts(years, "quantity", "sales"))
+        sales_y = sales_y.join(F.broadcast(keys), F.col("asin_key") == F.col("m_asin"), "left_semi")
+    sold = sales_y.groupBy("asin_key").agg(*_year_counts(years, "quantity", "sales"))
 
-    j = per_asin.join(sold, "asin", "left")
+    j = per_asin.join(sold, "asin_key", "left")
     cols = ["asin", "merchant_skus"]
     for y in years:
         s = F.coalesce(F.col(f"sales_{y}"), F.lit(0)).cast("bigint")
@@ -98,21 +116,27 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     products = j.select(*cols)
     if years:
         products = products.orderBy(F.desc(f"returns_{years[-1]}"), F.asc("asin"))
-
-    return SearchResult(matched, products, years)
+    return SearchResult(matched, products, years, fold_case)
 
 
-def return_reasons(matched: DataFrame, years) -> DataFrame:
+def return_reasons(matched: DataFrame, years, fold_case: bool = True) -> DataFrame:
     """(asin, return_reason, count_<y>...) ordered by asin, last year's count
     descending, reason."""
-    r = matched.groupBy("asin", "return_reason").agg(*_year_counts(years, prefix="count"))
-    order = [F.asc("asin")]
+    keyed = matched.withColumns({"asin_key": key_of("asin", fold_case),
+                                 "reason_key": key_of("return_reason", fold_case)})
+    r = keyed.groupBy("asin_key", "reason_key").agg(
+        *_year_counts(years, prefix="count"), *_shown("asin", fold_case),
+        *_shown("return_reason", fold_case))
+    if not fold_case:
+        r = r.withColumns({"asin": F.col("asin_key"), "return_reason": F.col("reason_key")})
+    order = [F.asc("asin_key")]
     if years:
         order.append(F.desc(f"count_{years[-1]}"))
-    return r.orderBy(*order, F.asc("return_reason"))
+    return (r.select("asin", "return_reason", *[f"count_{y}" for y in years], "asin_key", "reason_key")
+            .orderBy(*order, F.asc("reason_key")).drop("asin_key", "reason_key"))
 
 
-def nest_reasons(products: DataFrame, reasons: DataFrame, years) -> DataFrame:
+def nest_reasons(products: DataFrame, reasons: DataFrame, years, fold_case: bool = True) -> DataFrame:
     """products + ``return_reasons``: array<struct<reason, count_<y>...>>,
     most frequent (last year) first, ties by reason; ``[]`` when none. The
     ASIN match is null-safe (a NULL ASIN keeps its reasons)."""
@@ -120,12 +144,12 @@ def nest_reasons(products: DataFrame, reasons: DataFrame, years) -> DataFrame:
     entry = F.struct(*([(-F.col(last)).alias("_k")] if last else []),
                      F.col("return_reason").alias("reason"),
                      *[F.col(f"count_{y}") for y in years])
-    nested = (reasons.groupBy(F.col("asin").alias("_asin"))
+    nested = (reasons.groupBy(key_of("asin", fold_case).alias("_asin"))
               .agg(F.sort_array(F.collect_list(entry)).alias("_r")))
     drop_key = F.transform("_r", lambda e: F.struct(
         e["reason"].alias("reason"), *[e[f"count_{y}"].alias(f"count_{y}") for y in years]))
     nested = nested.select("_asin", drop_key.alias("return_reasons"))
-    j = products.join(nested, products["asin"].eqNullSafe(nested["_asin"]), "left")
+    j = products.join(nested, key_of("asin", fold_case).eqNullSafe(nested["_asin"]), "left")
     empty = F.array().cast(nested.schema["return_reasons"].dataType)
     return j.drop("_asin").withColumn("return_reasons", F.coalesce("return_reasons", empty))
 
@@ -143,12 +167,17 @@ def search_summary(products: DataFrame, years) -> DataFrame:
     return t.select("*", *rates)
 
 
-def combined_reasons(matched: DataFrame, years) -> DataFrame:
+def combined_reasons(matched: DataFrame, years, fold_case: bool = True) -> DataFrame:
     """(return_reason, count_<y>...) over all matched products; a reason
     with zero in every year still appears."""
-    r = matched.groupBy("return_reason").agg(*_year_counts(years, prefix="count"))
+    r = (matched.withColumn("reason_key", key_of("return_reason", fold_case))
+         .groupBy("reason_key")
+         .agg(*_year_counts(years, prefix="count"), *_shown("return_reason", fold_case)))
+    if not fold_case:
+        r = r.withColumn("return_reason", F.col("reason_key"))
     order = [F.desc(f"count_{years[-1]}")] if years else []
-    return r.orderBy(*order, F.asc("return_reason"))
+    return (r.select("return_reason", *[f"count_{y}" for y in years], "reason_key")
+            .orderBy(*order, F.asc("reason_key")).drop("reason_key"))
 
 
 def with_rate_bands(products: DataFrame, years) -> DataFrame:

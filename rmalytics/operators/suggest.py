@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rmalytics.functions.keys import key_of, spelling
 from rmalytics.functions.text import matches
 
 
-def suggest_skus(returns: DataFrame, term: str, n: int = 10, literal: bool = False) -> DataFrame:
+def suggest_skus(returns: DataFrame, term: str, n: int = 10, literal: bool = False,
+                 fold_case: bool = True) -> DataFrame:
     """First ``n`` distinct SKUs (alphabetical) containing ``term``
     (case-insensitive, not trimmed). A blank term gives no rows.
-    Plan: filtered scan -> partial/final distinct -> top-n."""
+    Plan: filtered scan -> partial/final distinct -> top-n. With
+    ``fold_case`` SKUs differing only in letter case count once."""
     skus = returns.select("merchant_sku")
     if not term:
         return skus.limit(0)
-    return (skus.filter(matches(term, "merchant_sku", literal=literal))
-            .distinct()
-            .orderBy("merchant_sku")
-            .limit(n))
+    hits = skus.filter(matches(term, "merchant_sku", literal=literal))
+    if fold_case:
+        hits = (hits.groupBy(key_of("merchant_sku", True).alias("_k"))
+                .agg(spelling("merchant_sku").alias("merchant_sku")).drop("_k"))
+    else:
+        hits = hits.distinct()
+    return hits.orderBy("merchant_sku").limit(n)

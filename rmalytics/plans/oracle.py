@@ -59,18 +59,8 @@ def like(term: str) -> str:
 
 def top_returned(year: int, n: int) -> str:
     return with_views(f"""
-SELECT asin, merchant_sku, total_returns, total_sold,
-       {half_even('total_returns', 'total_sold')} AS return_pct
-FROM (
-  SELECT r.asin, r.merchant_sku, r.total_returns, s.total_sold
-  FROM (SELECT asin, merchant_sku, CAST(SUM(return_quantity) AS BIGINT) AS total_returns
-        FROM returns WHERE year = {year} GROUP BY asin, merchant_sku) r
-  LEFT JOIN (SELECT asin, CAST(SUM(quantity) AS BIGINT) AS total_sold
-             FROM sales WHERE year = {year} GROUP BY asin) s
-  ON r.asin = s.asin
-  ORDER BY r.total_returns DESC, r.asin, r.merchant_sku
-  LIMIT {n}) t
-ORDER BY total_returns DESC, asin, merchant_sku""")
+SELECT asin, merchant_sku, total_returns, total_sold, return_pct FROM top
+ORDER BY total_returns DESC, ak, sk""", _top_cte(year, n))
 
 
 def returns_by_year_month() -> str:
@@ -125,11 +115,14 @@ def _products_ctes(term: str, years, literal: bool = False) -> str:
         f"pa.returns_{y}, CAST(COALESCE(s.s{y}, 0) AS BIGINT) AS sales_{y}, "
         f"{half_up(f'pa.returns_{y}', f'COALESCE(s.s{y}, 0)')} AS return_rate_{y}" for y in years)
     return f"""{_matched(term, literal)},
-per_sku AS (SELECT asin, merchant_sku, {rc} FROM matched GROUP BY asin, merchant_sku),
-per_asin AS (SELECT asin, string_agg(merchant_sku, ',' ORDER BY merchant_sku) AS merchant_skus, {ra}
-             FROM per_sku GROUP BY asin),
-s AS (SELECT asin, {sc} FROM sales GROUP BY asin),
-products AS (SELECT pa.asin, pa.merchant_skus, {pc} FROM per_asin pa LEFT JOIN s ON pa.asin = s.asin)"""
+per_sku AS (SELECT lower(asin) AS ak, lower(merchant_sku) AS sk, min(asin) AS asin,
+                   min(merchant_sku) AS merchant_sku, {rc}
+            FROM matched GROUP BY 1, 2),
+per_asin AS (SELECT ak, min(asin) AS asin,
+                    string_agg(merchant_sku, ',' ORDER BY merchant_sku) AS merchant_skus, {ra}
+             FROM per_sku GROUP BY ak),
+s AS (SELECT lower(asin) AS ak, {sc} FROM sales GROUP BY 1),
+products AS (SELECT pa.asin, pa.merchant_skus, {pc} FROM per_asin pa LEFT JOIN s ON pa.ak = s.ak)"""
 
 
 def product_search(term: str, years, literal: bool = False) -> str:
@@ -140,11 +133,14 @@ def product_search(term: str, years, literal: bool = False) -> str:
 def _reason_ctes(years) -> str:
     cc = ", ".join(f"CAST(SUM(CASE WHEN year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS count_{y}"
                    for y in years)
-    return f"reasons AS (SELECT asin, return_reason, {cc} FROM matched GROUP BY asin, return_reason)"
+    return (f"reasons AS (SELECT lower(asin) AS ak, lower(return_reason) AS rk, min(asin) AS asin, "
+            f"min(return_reason) AS return_reason, {cc} FROM matched GROUP BY 1, 2)")
 
 
 def return_reasons(term: str, years) -> str:
-    return with_views(f"SELECT * FROM reasons ORDER BY asin, count_{years[-1]} DESC, return_reason",
+    cols = ", ".join(f"count_{y}" for y in years)
+    return with_views(f"SELECT asin, return_reason, {cols} FROM reasons "
+                      f"ORDER BY ak, count_{years[-1]} DESC, rk",
                       f"{_matched(term)},\n{_reason_ctes(years)}")
 
 
@@ -153,9 +149,9 @@ def nested_reasons_json(term: str, years) -> str:
     body = f"""
 SELECT p.*, COALESCE(CAST(to_json(n.rr) AS VARCHAR), '[]') AS return_reasons_json
 FROM products p LEFT JOIN (
-  SELECT asin, list(struct_pack({fields}) ORDER BY count_{years[-1]} DESC, return_reason) AS rr
-  FROM reasons GROUP BY asin) n
-ON p.asin IS NOT DISTINCT FROM n.asin"""
+  SELECT ak, list(struct_pack({fields}) ORDER BY count_{years[-1]} DESC, return_reason) AS rr
+  FROM reasons GROUP BY ak) n
+ON lower(p.asin) IS NOT DISTINCT FROM n.ak"""
     return with_views(body, f"{_products_ctes(term, years)},\n{_reason_ctes(years)}")
 
 
@@ -174,8 +170,8 @@ def combined_reasons(term: str, years) -> str:
     cc = ", ".join(f"CAST(SUM(CASE WHEN year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS count_{y}"
                    for y in years)
     return with_views(
-        f"SELECT return_reason, {cc} FROM matched GROUP BY return_reason "
-        f"ORDER BY count_{years[-1]} DESC, return_reason", _matched(term))
+        f"SELECT min(return_reason) AS return_reason, {cc} FROM matched GROUP BY lower(return_reason) "
+        f"ORDER BY count_{years[-1]} DESC, lower(return_reason)", _matched(term))
 
 
 def rate_bands(term: str, years) -> str:
@@ -189,17 +185,18 @@ def rate_bands(term: str, years) -> str:
 
 def export_range(start: str, end: str) -> str:
     return with_views(f"""
-SELECT asin, merchant_sku, CAST(SUM(return_quantity) AS BIGINT) AS return_quantity
+SELECT min(asin) AS asin, min(merchant_sku) AS merchant_sku,
+       CAST(SUM(return_quantity) AS BIGINT) AS return_quantity
 FROM returns
 WHERE CAST(try_strptime('01-' || month || '-' || CAST(year AS VARCHAR), '%d-%B-%Y') AS DATE)
       BETWEEN DATE '{start}' AND DATE '{end}'
-GROUP BY asin, merchant_sku""")
+GROUP BY lower(asin), lower(merchant_sku)""")
 
 
 def suggest_skus(term: str, n: int) -> str:
     return with_views(f"""
-SELECT DISTINCT merchant_sku FROM returns WHERE merchant_sku ILIKE {like(term)}
-ORDER BY merchant_sku LIMIT {n}""")
+SELECT min(merchant_sku) AS merchant_sku FROM returns WHERE merchant_sku ILIKE {like(term)}
+GROUP BY lower(merchant_sku) ORDER BY 1 LIMIT {n}""")
 
 
 def freshness() -> str:
@@ -250,17 +247,20 @@ GROUP BY 1, 2"""
 
 
 def _top_cte(year: int, n: int) -> str:
+    # keys compare without letter case; a group shows its smallest spelling
     return f"""top AS (
-  SELECT asin, merchant_sku, total_returns, total_sold,
+  SELECT asin, merchant_sku, total_returns, total_sold, ak, sk,
          {half_even('total_returns', 'total_sold')} AS return_pct
   FROM (
-    SELECT r.asin, r.merchant_sku, r.total_returns, s.total_sold
-    FROM (SELECT asin, merchant_sku, CAST(SUM(return_quantity) AS BIGINT) AS total_returns
-          FROM returns WHERE year = {year} GROUP BY asin, merchant_sku) r
-    LEFT JOIN (SELECT asin, CAST(SUM(quantity) AS BIGINT) AS total_sold
-               FROM sales WHERE year = {year} GROUP BY asin) s
-    ON r.asin = s.asin
-    ORDER BY r.total_returns DESC, r.asin, r.merchant_sku
+    SELECT r.asin, r.merchant_sku, r.total_returns, s.total_sold, r.ak, r.sk
+    FROM (SELECT lower(asin) AS ak, lower(merchant_sku) AS sk, min(asin) AS asin,
+                 min(merchant_sku) AS merchant_sku,
+                 CAST(SUM(return_quantity) AS BIGINT) AS total_returns
+          FROM returns WHERE year = {year} GROUP BY 1, 2) r
+    LEFT JOIN (SELECT lower(asin) AS ak, CAST(SUM(quantity) AS BIGINT) AS total_sold
+               FROM sales WHERE year = {year} GROUP BY 1) s
+    ON r.ak = s.ak
+    ORDER BY r.total_returns DESC, r.ak, r.sk
     LIMIT {n}) t)"""
 
 
@@ -280,3 +280,21 @@ def monthly_series_json() -> str:
 SELECT '{{' || string_agg('"' || CAST(year AS VARCHAR) || '":[' ||
        array_to_string([{slots}], ',') || ']', ',' ORDER BY year) || '}}' AS series_json
 FROM ({_slots()}) p""")
+
+
+# The same returns with mixed letter case: odd quantities show the SKU in
+# upper case, quantities divisible by 3 show the ASIN in lower case.
+MIXED_CASE_RETURNS = """,
+returns AS (
+  SELECT * REPLACE (
+    CASE WHEN return_quantity % 2 = 1 THEN upper(merchant_sku) ELSE merchant_sku END AS merchant_sku,
+    CASE WHEN return_quantity % 3 = 0 THEN lower(asin) ELSE asin END AS asin)
+  FROM returns_as_loaded
+),
+sales AS ("""
+
+
+def mixed_case(sql: str) -> str:
+    """Rewrite a plan's SQL to read the mixed-case returns."""
+    out = sql.replace("\nreturns AS (\n", "\nreturns_as_loaded AS (\n", 1)
+    return out.replace(",\nsales AS (", MIXED_CASE_RETURNS, 1)

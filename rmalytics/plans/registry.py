@@ -135,6 +135,31 @@ def q_monthly_series_json(spark, sf_dir):
     return series_json(monthly_pivot(r))
 
 
+def mixed_case_returns(returns: DataFrame) -> DataFrame:
+    """Returns whose spelling varies by row: odd quantities show the SKU in
+    upper case, quantities divisible by 3 show the ASIN in lower case."""
+    q = F.col("return_quantity")
+    return returns.withColumns({
+        "merchant_sku": F.when(q % 2 == 1, F.upper("merchant_sku")).otherwise(F.col("merchant_sku")),
+        "asin": F.when(q % 3 == 0, F.lower("asin")).otherwise(F.col("asin")),
+    })
+
+
+def q_top_returned_mixed_case(spark, sf_dir):
+    r, s = tables(spark, sf_dir)
+    return top_returned(mixed_case_returns(r), s, TOP_YEAR, TOP_N)
+
+
+def q_product_search_mixed_case(spark, sf_dir):
+    r, s = tables(spark, sf_dir)
+    return search_products(mixed_case_returns(r), s, SEARCH_TERM.upper(), SEARCH_YEARS).products
+
+
+def q_export_mixed_case(spark, sf_dir):
+    r, _ = tables(spark, sf_dir)
+    return export_returns(mixed_case_returns(r), EXPORT_START, EXPORT_END)
+
+
 def q_export_csv_roundtrip(spark, sf_dir):
     return roundtrip.export_csv_roundtrip(spark, sf_dir, EXPORT_START, EXPORT_END)
 
@@ -159,6 +184,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suggest_skus": q_suggest_skus,
     "freshness": q_freshness,
     "display_format": q_display_format,
+    "top_returned_mixed_case": q_top_returned_mixed_case,
+    "product_search_mixed_case": q_product_search_mixed_case,
+    "export_mixed_case": q_export_mixed_case,
     "monthly_series_json": q_monthly_series_json,
     "export_csv_roundtrip": q_export_csv_roundtrip,
     "ingest_returns_roundtrip": roundtrip.ingest_returns_roundtrip,
@@ -186,6 +214,9 @@ ORACLE: dict[str, str] = {
     "suggest_skus": oracle.suggest_skus(SUGGEST_TERM, SUGGEST_N),
     "freshness": oracle.freshness(),
     "display_format": oracle.display_format(TOP_YEAR, TOP_N, LINK_BASE),
+    "top_returned_mixed_case": oracle.mixed_case(oracle.top_returned(TOP_YEAR, TOP_N)),
+    "product_search_mixed_case": oracle.mixed_case(oracle.product_search(SEARCH_TERM.upper(), SEARCH_YEARS)),
+    "export_mixed_case": oracle.mixed_case(oracle.export_range(EXPORT_START, EXPORT_END)),
     "monthly_series_json": oracle.monthly_series_json(),
     "export_csv_roundtrip": oracle.export_range(EXPORT_START, EXPORT_END),
     "ingest_returns_roundtrip": oracle.ingest_returns_roundtrip(),

@@ -20,15 +20,15 @@ from rmalytics.functions.dates import month_number
 from rmalytics.operators.monthly import SLOTS
 from rmalytics.schemas import MONTHS
 
-ASINS = ["A1", "A2", "b3", None]
-SKUS = ["S1", "s2", "T_1", "x%y"]
-REASONS = ["Too small", "Defective", ""]
+ASINS = ["A1", "a1", "A2", "b3", None]
+SKUS = ["S1", "s1", "s2", "T_1", "x%y"]
+REASONS = ["Too small", "too small", "Defective", ""]
 YEARS = [2023, 2024, 2025]
 
 ret_row = st.tuples(st.sampled_from(ASINS), st.sampled_from(SKUS), st.integers(1, 9),
                     st.sampled_from(REASONS), st.sampled_from(list(MONTHS) + ["Foo"]),
                     st.sampled_from(YEARS))
-sale_row = st.tuples(st.sampled_from(ASINS[:3] + ["A4"]), st.integers(0, 9), st.sampled_from(YEARS))
+sale_row = st.tuples(st.sampled_from(ASINS[:4] + ["A4"]), st.integers(0, 9), st.sampled_from(YEARS))
 SETTINGS = settings(max_examples=8, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -42,6 +42,21 @@ def frames(spark, rrows, srows):
     return r, s
 
 
+def fk(v, fold):
+    """Grouping key of a text value: folded to lower case or exact."""
+    return v.lower() if (fold and v is not None) else v
+
+
+def shown(values):
+    """Displayed spelling of a group: the smallest non-NULL value."""
+    vals = [v for v in values if v is not None]
+    return min(vals) if vals else None
+
+
+def nkey(v):
+    return (v is not None, v or "")
+
+
 def rate(a, b, mode):
     if not b:
         return None
@@ -70,26 +85,27 @@ def test_monthly_matches_brute_force(spark, rrows, srows):
 
 @SETTINGS
 @given(st.lists(ret_row, min_size=1, max_size=25), st.lists(sale_row, max_size=15),
-       st.sampled_from(YEARS), st.integers(1, 4))
-def test_top_returned_matches_brute_force(spark, rrows, srows, year, n):
+       st.sampled_from(YEARS), st.integers(1, 4), st.booleans())
+def test_top_returned_matches_brute_force(spark, rrows, srows, year, n, fold):
     r, s = frames(spark, rrows, srows)
     per = defaultdict(int)
+    spell = defaultdict(lambda: ([], []))
     for a, k, q, why, m, y in rrows:
         if y == year:
-            per[(a, k)] += q
+            key = (fk(a, fold), fk(k, fold))
+            per[key] += q
+            spell[key][0].append(a)
+            spell[key][1].append(k)
     sold = defaultdict(int)
-    seen = set()
     for a, q, y in srows:
-        if y == year:
-            sold[a] += q
-            seen.add(a)
-    key = lambda kv: (-kv[1], (kv[0][0] is not None, kv[0][0] or ""), (kv[0][1] is not None, kv[0][1]))
-    top = sorted(per.items(), key=key)[:n]
+        if y == year and a is not None:
+            sold[fk(a, fold)] += q
+    top = sorted(per.items(), key=lambda kv: (-kv[1], nkey(kv[0][0]), nkey(kv[0][1])))[:n]
     want = []
-    for (a, k), t in top:
-        ts = sold[a] if (a is not None and a in seen) else None
-        want.append((a, k, t, ts, rate(t, ts, "even")))
-    assert [tuple(x) for x in top_returned(r, s, year, n).collect()] == want
+    for key, t in top:
+        ts = sold.get(key[0]) if key[0] is not None else None
+        want.append((shown(spell[key][0]), shown(spell[key][1]), t, ts, rate(t, ts, "even")))
+    assert [tuple(x) for x in top_returned(r, s, year, n, fold_case=fold).collect()] == want
 
 
 def like(term, text):
@@ -102,29 +118,31 @@ def like(term, text):
 
 @SETTINGS
 @given(st.lists(ret_row, min_size=0, max_size=25), st.lists(sale_row, max_size=15),
-       st.sampled_from(["a", "S", "_1", "%", "x", "zz", "2"]))
-def test_search_matches_brute_force(spark, rrows, srows, term):
+       st.sampled_from(["a", "S", "_1", "%", "x", "zz", "2", "s1"]), st.booleans())
+def test_search_matches_brute_force(spark, rrows, srows, term, fold):
     r, s = frames(spark, rrows, srows)
     years = (2023, 2024)
-    res = search_products(r, s, term, years)
+    res = search_products(r, s, term, years, fold_case=fold)
     m = [row for row in rrows if like(term, row[1]) or like(term, row[0])]
     prods = {}
     for a, k, q, why, mo, y in m:
-        p = prods.setdefault(a, {"skus": set(), 2023: 0, 2024: 0})
-        p["skus"].add(k)
+        p = prods.setdefault(fk(a, fold), {"asins": [], "skus": defaultdict(list), 2023: 0, 2024: 0})
+        p["asins"].append(a)
+        p["skus"][fk(k, fold)].append(k)
         if y in years:
             p[y] += 1
     sales = defaultdict(int)
     for a, q, y in srows:
         if y in years and a is not None:
-            sales[(a, y)] += q
+            sales[(fk(a, fold), y)] += q
     got = {x.asin: x for x in res.products.collect()}
-    assert set(got) == set(prods)
-    for a, p in prods.items():
-        x = got[a]
-        assert x.merchant_skus == ",".join(sorted(p["skus"]))
+    assert set(got) == {shown(p["asins"]) for p in prods.values()}
+    for ak, p in prods.items():
+        x = got[shown(p["asins"])]
+        skus = sorted(v for v in (shown(vs) for vs in p["skus"].values()) if v is not None)
+        assert x.merchant_skus == (",".join(skus) or None)
         for y in years:
-            sy = sales[(a, y)] if a is not None else 0
+            sy = sales[(ak, y)] if ak is not None else 0
             assert (x[f"returns_{y}"], x[f"sales_{y}"]) == (p[y], sy)
             assert x[f"return_rate_{y}"] == rate(p[y], sy, "up")
     summ = res.summary.collect()[0]
@@ -134,13 +152,14 @@ def test_search_matches_brute_force(spark, rrows, srows, term):
         assert (summ[f"total_returns_{y}"], summ[f"total_sales_{y}"]) == (tr, ts)
         assert summ[f"return_rate_{y}"] == (rate(tr, ts, "even") if ts else 0.0)
     comb = {x.return_reason: (x.count_2023, x.count_2024) for x in res.combined_reasons.collect()}
-    want = defaultdict(lambda: [0, 0])
+    want = {}
     for a, k, q, why, mo, y in m:
-        want[why]
+        w = want.setdefault(fk(why, fold), {"names": [], 2023: 0, 2024: 0})
+        w["names"].append(why)
         if y in years:
-            want[why][years.index(y)] += 1
-    assert comb == {k: tuple(v) for k, v in want.items()}
-    # nested reasons add up to the product's counts
+            w[y] += 1
+    assert comb == {shown(w["names"]): (w[2023], w[2024]) for w in want.values()}
+    # nested reasons add up to the product's counts, most frequent first
     for x in res.products_with_reasons().collect():
         assert sum(e["count_2024"] for e in x.return_reasons) == x.returns_2024
         c = [e["count_2024"] for e in x.return_reasons]
@@ -149,22 +168,31 @@ def test_search_matches_brute_force(spark, rrows, srows, term):
 
 @SETTINGS
 @given(st.lists(ret_row, min_size=0, max_size=25), st.dates(dt.date(2022, 11, 1), dt.date(2026, 2, 1)),
-       st.integers(0, 800))
-def test_export_matches_brute_force(spark, rrows, start, span):
+       st.integers(0, 800), st.booleans())
+def test_export_matches_brute_force(spark, rrows, start, span, fold):
     r, _ = frames(spark, rrows, [])
     end = start + dt.timedelta(days=span)
-    want = defaultdict(int)
+    groups = {}
     for a, k, q, why, m, y in rrows:
         if m in MONTHS and start <= dt.date(y, MONTHS.index(m) + 1, 1) <= end:
-            want[(a, k)] += q
-    got = {(x.asin, x.merchant_sku): x.return_quantity for x in export_returns(r, start, end).collect()}
-    assert got == dict(want)
+            g = groups.setdefault((fk(a, fold), fk(k, fold)), [[], [], 0])
+            g[0].append(a)
+            g[1].append(k)
+            g[2] += q
+    want = {(shown(g[0]), shown(g[1])): g[2] for g in groups.values()}
+    got = {(x.asin, x.merchant_sku): x.return_quantity
+           for x in export_returns(r, start, end, fold_case=fold).collect()}
+    assert got == want
 
 
 @SETTINGS
 @given(st.lists(ret_row, min_size=0, max_size=25), st.sampled_from(["s", "1", "_", "%", "T", "q"]),
-       st.integers(1, 3))
-def test_suggest_matches_brute_force(spark, rrows, term, n):
+       st.integers(1, 3), st.booleans())
+def test_suggest_matches_brute_force(spark, rrows, term, n, fold):
     r, _ = frames(spark, rrows, [])
-    want = sorted({k for _, k, *_ in rrows if like(term, k)})[:n]
-    assert [x.merchant_sku for x in suggest_skus(r, term, n).collect()] == want
+    groups = defaultdict(list)
+    for _, k, *_ in rrows:
+        if like(term, k):
+            groups[fk(k, fold)].append(k)
+    want = sorted(shown(v) for v in groups.values())[:n]
+    assert [x.merchant_sku for x in suggest_skus(r, term, n, fold_case=fold).collect()] == want

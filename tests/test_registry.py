@@ -37,3 +37,17 @@ def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["asin", "merchant_sku", "total_returns", "total_sold", "return_pct"]
     assert 0 < df.count() <= 50
+
+
+def test_mixed_case_plans_exercise_folding(spark):
+    """On the mixed-case returns, exact comparison splits groups that folding joins."""
+    from rmalytics import export_returns
+    from rmalytics.plans.registry import EXPORT_END, EXPORT_START, mixed_case_returns
+    from rmalytics.plans.warehouse import tables
+
+    r, _ = tables(spark, SF)
+    m = mixed_case_returns(r)
+    folded = export_returns(m, EXPORT_START, EXPORT_END).count()
+    exact = export_returns(m, EXPORT_START, EXPORT_END, fold_case=False).count()
+    assert folded == export_returns(r, EXPORT_START, EXPORT_END).count()
+    assert exact > folded
