@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    # `year` is a directory name; keep it an int even where partition type
+    # inference is off (the cast is a no-op otherwise and pruning still works).
+    df = spark.read.parquet(path)
+    return df.withColumn("year", F.col("year").cast("int"))
 
 
 def read_returns(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return _read(spark, path)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return _read(spark, path)
 
 
 def append_table(df: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
