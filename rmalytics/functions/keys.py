@@ -10,7 +10,7 @@ HashAggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,31 @@ def spelling(name: str) -> Column:
     so the buffer stays small whatever the group's row count.
     """
     return F.array_min(F.collect_set(F.col(name)))
+
+
+def key_name(name: str) -> str:
+    return f"{name}_key"
+
+
+def keyed_sums(df: DataFrame, cols: list[str], sums: dict[str, Column], fold_case: bool) -> DataFrame:
+    """Group ``df`` by ``cols`` under the text equality and add up ``sums``.
+
+    Returns ``<col>_key`` and ``<col>`` (the displayed spelling) for every
+    column, plus one column per sum.
+
+    Exact: one HashAggregate. Folded: the raw rows first go through a
+    HashAggregate on (key, spelling) pairs, which string grouping keys do not
+    prevent; the spelling aggregate (``collect_set``, an ObjectHashAggregate)
+    then only sees one row per distinct spelling per key, never the raw rows.
+    """
+    named = {n: F.sum(e).alias(n) for n, e in sums.items()}
+    if not fold_case:
+        out = df.groupBy(*cols).agg(*named.values()) if named else df.select(*cols).distinct()
+        return out.select(*[F.col(c).alias(key_name(c)) for c in cols], "*")
+    keyed = df.select(*[fold(F.col(c)).alias(key_name(c)) for c in cols], *cols,
+                      *[e.alias(n) for n, e in sums.items()])
+    pairs = keyed.groupBy(*[key_name(c) for c in cols], *cols).agg(
+        *[F.sum(n).alias(n) for n in sums]) if sums else \
+        keyed.select(*[key_name(c) for c in cols], *cols).distinct()
+    return pairs.groupBy(*[key_name(c) for c in cols]).agg(
+        *[spelling(c).alias(c) for c in cols], *[F.sum(n).cast("bigint").alias(n) for n in sums])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rmalytics.functions.dates import month_window_filter
-from rmalytics.functions.keys import key_of, spelling
+from rmalytics.functions.keys import keyed_sums
 
 
 def export_returns(returns: DataFrame, start, end, fold_case: bool = True) -> DataFrame:
@@ -18,9 +18,5 @@ def export_returns(returns: DataFrame, start, end, fold_case: bool = True) -> Da
     in their smallest spelling.
     """
     r = returns.filter(month_window_filter(start, end))
-    qty = F.sum("return_quantity").cast("bigint").alias("return_quantity")
-    if not fold_case:
-        return r.groupBy("asin", "merchant_sku").agg(qty)
-    g = r.groupBy(key_of("asin", True).alias("_a"), key_of("merchant_sku", True).alias("_s"))
-    return g.agg(spelling("asin").alias("asin"), spelling("merchant_sku").alias("merchant_sku"), qty) \
-        .drop("_a", "_s")
+    g = keyed_sums(r, ["asin", "merchant_sku"], {"return_quantity": F.col("return_quantity")}, fold_case)
+    return g.select("asin", "merchant_sku", F.col("return_quantity").cast("bigint").alias("return_quantity"))

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rmalytics.functions.keys import key_of, spelling
+from rmalytics.functions.keys import key_of, keyed_sums, spelling
 from rmalytics.functions.rates import has_returns, rate_band, return_rate
 from rmalytics.functions.text import matches
 
@@ -55,15 +55,10 @@ class SearchResult:
         return nest_reasons(self.products, self.reasons, self.years, self.fold_case)
 
 
-def _year_counts(years, value=None, prefix="returns"):
+def _year_sums(years, value=None, prefix="returns") -> dict:
+    """{<prefix>_<y>: value (1 = a row) when the row's year is y, else 0}."""
     one = F.lit(1) if value is None else F.col(value)
-    return [F.sum(F.when(F.col("year") == y, one).otherwise(0)).cast("bigint").alias(f"{prefix}_{y}")
-            for y in years]
-
-
-def _shown(name: str, fold_case: bool) -> list:
-    """Aggregate giving the displayed spelling of a folded key (none when exact)."""
-    return [spelling(name).alias(name)] if fold_case else []
+    return {f"{prefix}_{y}": F.when(F.col("year") == y, one).otherwise(0) for y in years}
 
 
 def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023, 2024),
@@ -81,18 +76,13 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     term = (term or "").strip()
     matched = returns.filter(matches(term, "merchant_sku", "asin", literal=literal)) if term \
         else returns.limit(0)
-    keyed = matched.withColumns({"asin_key": key_of("asin", fold_case),
-                                 "sku_key": key_of("merchant_sku", fold_case)})
 
     # (asin, sku) first: collapses a hot ASIN to one row per SKU map-side,
     # then (asin) over that small input.
-    per_sku = keyed.groupBy("asin_key", "sku_key").agg(
-        *_year_counts(years), *_shown("asin", fold_case), *_shown("merchant_sku", fold_case))
-    if not fold_case:
-        per_sku = per_sku.withColumns({"asin": F.col("asin_key"), "merchant_sku": F.col("sku_key")})
+    per_sku = keyed_sums(matched, ["asin", "merchant_sku"], _year_sums(years), fold_case)
     per_asin = per_sku.groupBy("asin_key").agg(
         F.array_join(F.array_sort(F.collect_list("merchant_sku")), ",").alias("_skus"),
-        *_shown("asin", fold_case),
+        *([spelling("asin").alias("asin")] if fold_case else []),
         *[F.sum(f"returns_{y}").cast("bigint").alias(f"returns_{y}") for y in years])
     if not fold_case:
         per_asin = per_asin.withColumn("asin", F.col("asin_key"))
@@ -102,10 +92,12 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     # years' partitions are read.
     sales_y = sales.filter(F.col("year").isin(*years)) if years else sales.limit(0)
     sales_y = sales_y.select(key_of("asin", fold_case).alias("asin_key"), "year", "quantity")
-    keys = keyed.select(F.col("asin_key").alias("m_asin")).filter(F.col("m_asin").isNotNull()).distinct()
+    keys = (matched.select(key_of("asin", fold_case).alias("m_asin"))
+            .filter(F.col("m_asin").isNotNull()).distinct())
     if broadcast_keys_limit and keys.limit(broadcast_keys_limit + 1).count() <= broadcast_keys_limit:
         sales_y = sales_y.join(F.broadcast(keys), F.col("asin_key") == F.col("m_asin"), "left_semi")
-    sold = sales_y.groupBy("asin_key").agg(*_year_counts(years, "quantity", "sales"))
+    sold = sales_y.groupBy("asin_key").agg(
+        *[F.sum(e).cast("bigint").alias(n) for n, e in _year_sums(years, "quantity", "sales").items()])
 
     j = per_asin.join(sold, "asin_key", "left")
     cols = ["asin", "merchant_skus"]
@@ -122,18 +114,13 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
 def return_reasons(matched: DataFrame, years, fold_case: bool = True) -> DataFrame:
     """(asin, return_reason, count_<y>...) ordered by asin, last year's count
     descending, reason."""
-    keyed = matched.withColumns({"asin_key": key_of("asin", fold_case),
-                                 "reason_key": key_of("return_reason", fold_case)})
-    r = keyed.groupBy("asin_key", "reason_key").agg(
-        *_year_counts(years, prefix="count"), *_shown("asin", fold_case),
-        *_shown("return_reason", fold_case))
-    if not fold_case:
-        r = r.withColumns({"asin": F.col("asin_key"), "return_reason": F.col("reason_key")})
+    r = keyed_sums(matched, ["asin", "return_reason"], _year_sums(years, prefix="count"), fold_case)
     order = [F.asc("asin_key")]
     if years:
         order.append(F.desc(f"count_{years[-1]}"))
-    return (r.select("asin", "return_reason", *[f"count_{y}" for y in years], "asin_key", "reason_key")
-            .orderBy(*order, F.asc("reason_key")).drop("asin_key", "reason_key"))
+    counts = [F.col(f"count_{y}").cast("bigint").alias(f"count_{y}") for y in years]
+    return (r.select("asin", "return_reason", *counts, "asin_key", "return_reason_key")
+            .orderBy(*order, F.asc("return_reason_key")).drop("asin_key", "return_reason_key"))
 
 
 def nest_reasons(products: DataFrame, reasons: DataFrame, years, fold_case: bool = True) -> DataFrame:
@@ -170,14 +157,11 @@ def search_summary(products: DataFrame, years) -> DataFrame:
 def combined_reasons(matched: DataFrame, years, fold_case: bool = True) -> DataFrame:
     """(return_reason, count_<y>...) over all matched products; a reason
     with zero in every year still appears."""
-    r = (matched.withColumn("reason_key", key_of("return_reason", fold_case))
-         .groupBy("reason_key")
-         .agg(*_year_counts(years, prefix="count"), *_shown("return_reason", fold_case)))
-    if not fold_case:
-        r = r.withColumn("return_reason", F.col("reason_key"))
+    r = keyed_sums(matched, ["return_reason"], _year_sums(years, prefix="count"), fold_case)
     order = [F.desc(f"count_{years[-1]}")] if years else []
-    return (r.select("return_reason", *[f"count_{y}" for y in years], "reason_key")
-            .orderBy(*order, F.asc("reason_key")).drop("reason_key"))
+    counts = [F.col(f"count_{y}").cast("bigint").alias(f"count_{y}") for y in years]
+    return (r.select("return_reason", *counts, "return_reason_key")
+            .orderBy(*order, F.asc("return_reason_key")).drop("return_reason_key"))
 
 
 def with_rate_bands(products: DataFrame, years) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rmalytics.functions.keys import key_of, spelling
+from rmalytics.functions.keys import keyed_sums
 from rmalytics.functions.text import matches
 
 
@@ -19,9 +18,5 @@ def suggest_skus(returns: DataFrame, term: str, n: int = 10, literal: bool = Fal
     if not term:
         return skus.limit(0)
     hits = skus.filter(matches(term, "merchant_sku", literal=literal))
-    if fold_case:
-        hits = (hits.groupBy(key_of("merchant_sku", True).alias("_k"))
-                .agg(spelling("merchant_sku").alias("merchant_sku")).drop("_k"))
-    else:
-        hits = hits.distinct()
-    return hits.orderBy("merchant_sku").limit(n)
+    return keyed_sums(hits, ["merchant_sku"], {}, fold_case).select("merchant_sku") \
+        .orderBy("merchant_sku").limit(n)

@@ -58,7 +58,8 @@ def test_suggest_is_top_k(plans):
 
 def test_search_fallback_join_is_co_partitioned(spark):
     """Over the key limit: aggregated sales join the aggregated products with
-    no exchange beyond the two aggregation shuffles."""
+    no exchange beyond the aggregation shuffles; raw rows only ever meet
+    HashAggregates (the spelling aggregate sees pre-aggregated rows)."""
     from rmalytics.operators.search import search_products
     from rmalytics.plans.warehouse import tables
 
@@ -66,8 +67,15 @@ def test_search_fallback_join_is_co_partitioned(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        p = plan(search_products(r, s, "ring", (1996, 1997), broadcast_keys_limit=0).products)
+        plans = {fold: plan(search_products(r, s, "ring", (1996, 1997), broadcast_keys_limit=0,
+                                            fold_case=fold).products) for fold in (False, True)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert "SortMergeJoin" in p and "BroadcastExchange" not in p
-    assert p.count("Exchange (") == 4  # (asin, sku), (asin), sales (asin), final range sort
+    for fold, p in plans.items():
+        assert "SortMergeJoin" in p and "BroadcastExchange" not in p
+        tree = p.split("\n\n\n")[0]
+        # exact: (asin, sku), (asin), sales (asin), final sort; folded adds (key, spelling)
+        assert tree.count("Exchange (") == (5 if fold else 4), tree
+        lines = tree.splitlines()
+        scan = max(i for i, ln in enumerate(lines) if "Scan parquet" in ln and ":" in ln)
+        assert "HashAggregate" in "".join(lines[scan - 3:scan]) and "Object" not in lines[scan - 2]
