@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rmalytics.schemas import RETURNS_HEADERS, SALES_HEADERS, SALES_RENAME
+from rmalytics.schemas import RETURNS_HEADERS, SALES_RENAME
 
 # Dialect of the marketplace's flat-file reports.
 REPORT_OPTIONS = {
@@ -117,4 +117,4 @@ def ingest_sales(spark: SparkSession, paths, table_path: str, on_error: str = "f
 
 __all__ = ["REPORT_OPTIONS", "ReportHeaderError", "check_returns_header",
            "check_sales_header", "ingest_returns", "ingest_sales", "load_returns_report",
-           "load_sales_report", "read_report", "SALES_HEADERS"]
+           "load_sales_report", "read_report"]

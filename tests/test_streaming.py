@@ -35,3 +35,18 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     # nothing new: a rerun changes nothing
     run_once(spark, landing, table, ckpt)
     assert read_returns(spark, table).count() == 2
+
+
+def test_stream_sales_reports(spark, tmp_path):
+    from rmalytics.sources.tables import read_sales
+    from tests.test_ingest import sales_row, write_sales
+
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "sales")
+    os.makedirs(landing)
+    write_sales(f"{landing}/orders.txt", [sales_row(), sales_row(**{"quantity": "5"})])
+    q = report_stream(spark, landing, table, "sales", available_now=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    t = read_sales(spark, table)
+    assert sorted(r.quantity for r in t.collect()) == [2, 5]
+    assert os.path.isdir(table + "_checkpoint")
