@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rmalytics.schemas import RETURNS_HEADERS, SALES_RENAME
 
@@ -32,12 +33,21 @@ class ReportHeaderError(ValueError):
 def read_report(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
     """All columns as strings, located by header name (order free, extras kept).
 
+    The column names come from the first file's header. Every other file's
+    header is checked against them by the scan itself (``enforceSchema``
+    off), so a file whose columns differ or come in another order fails the
+    load instead of being read by position into the wrong columns; load such
+    files separately.
+
     Quoted fields may span lines, so by default each file is parsed by one
     task (parallel across files: reports come one per month).
     ``multiline=False`` lets Spark split large files when no field holds a
     newline.
     """
-    return spark.read.options(**{**REPORT_OPTIONS, "multiLine": str(multiline).lower()}).csv(paths)
+    opts = {**REPORT_OPTIONS, "multiLine": str(multiline).lower()}
+    names = spark.read.options(**opts).csv(paths).columns
+    schema = StructType([StructField(c, StringType()) for c in names])
+    return spark.read.options(**opts).option("enforceSchema", "false").schema(schema).csv(paths)
 
 
 def check_returns_header(df: DataFrame) -> DataFrame:

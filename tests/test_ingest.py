@@ -176,3 +176,27 @@ def test_export_csv_quoting(spark, tmp_path):
     assert '"a,""b",,3\r\n' in text
     back = read_export_csv(spark, path).collect()
     assert [tuple(x) for x in back] == [('a,"b', None, "3")]
+
+
+def test_files_with_different_column_order_fail_instead_of_misaligning(spark, tmp_path):
+    a = write_returns(str(tmp_path / "in" / "a.tsv"), [returns_row("5-Jan-24", "2")])
+    write_returns(str(tmp_path / "in" / "b.tsv"), [returns_row("5-Feb-24", "3")],
+                  header=list(reversed(RETURNS_HEADERS)))
+    table = str(tmp_path / "table")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        ingest_returns(spark, str(tmp_path / "in"), table)
+    files = [f for _, _, fs in os.walk(table) for f in fs if f.endswith(".parquet")]
+    assert files == []
+    # loaded one by one, both files are read by name
+    ingest_returns(spark, a, table)
+    ingest_returns(spark, str(tmp_path / "in" / "b.tsv"), table)
+    got = sorted((r.month, r.return_quantity) for r in read_returns(spark, table).collect())
+    assert got == [("February", 3), ("January", 2)]
+
+
+def test_several_files_same_header_load_together(spark, tmp_path):
+    for i, m in enumerate(("Jan", "Feb", "Mar")):
+        write_returns(str(tmp_path / "in" / f"{m}.tsv"), [returns_row(f"5-{m}-24", str(i + 1))])
+    table = str(tmp_path / "table")
+    ingest_returns(spark, str(tmp_path / "in"), table)
+    assert read_returns(spark, table).agg(F.sum("return_quantity")).collect()[0][0] == 6
