@@ -17,12 +17,21 @@ from rmalytics.operators.monthly import (
 from rmalytics.operators.search import search_products
 from rmalytics.operators.suggest import suggest_skus
 from rmalytics.operators.top_returned import top_returned
-from rmalytics.sources.reports import load_returns_report, load_sales_report
-from rmalytics.sources.tables import read_returns, read_sales
+from rmalytics.sources.csv_sink import write_export_csv
+from rmalytics.sources.reports import (
+    ingest_returns,
+    ingest_sales,
+    load_returns_report,
+    load_sales_report,
+)
+from rmalytics.sources.tables import append_table, read_returns, read_sales
 
 __all__ = [
+    "append_table",
     "export_returns",
     "freshness",
+    "ingest_returns",
+    "ingest_sales",
     "load_returns_report",
     "load_sales_report",
     "monthly_pivot",
@@ -34,6 +43,7 @@ __all__ = [
     "search_products",
     "suggest_skus",
     "top_returned",
+    "write_export_csv",
     "year_series",
     "yearly_total",
 ]

@@ -9,6 +9,8 @@ from rmalytics.functions.dates import (
     report_month_year,
     us_date_text,
 )
+from rmalytics.functions.display import count_text, pct_text, product_link
+from rmalytics.functions.keys import fold, key_of, keyed_sums, spelling
 from rmalytics.functions.numbers import blank_to_zero_float, strict_int, text_flag
 from rmalytics.functions.rates import (
     has_returns,
@@ -19,9 +21,15 @@ from rmalytics.functions.text import like_pattern, matches, py_strip
 
 __all__ = [
     "blank_to_zero_float",
+    "count_text",
+    "fold",
+    "key_of",
+    "keyed_sums",
     "has_returns",
     "like_pattern",
     "matches",
+    "pct_text",
+    "product_link",
     "month_name",
     "month_number",
     "month_window_filter",
@@ -31,6 +39,7 @@ __all__ = [
     "rate_band",
     "report_month_year",
     "return_rate",
+    "spelling",
     "strict_int",
     "text_flag",
     "us_date_text",
