@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rmalytics.functions.numbers import strict_int
 from rmalytics.functions.text import py_strip
 from rmalytics.schemas import MONTHS
 
@@ -34,9 +35,7 @@ def report_month_year(c: Column) -> tuple[Column, Column]:
     parts = F.split(py_strip(c), "-")
     ok = F.size(parts) == 3
     mon = F.try_to_date(F.concat(F.lit("1-"), F.get(parts, 1), F.lit("-2000")), "d-MMM-yyyy")
-    yy = F.get(parts, 2)
-    year_txt = F.when(yy.rlike(r"^\s*[+]?[0-9]+\s*$"), yy)
-    year = year_txt.try_cast("int")
+    year = strict_int(F.get(parts, 2))  # Python int(): blanks, '+', '_' between digits
     year = F.when(year < 100, year + 2000).otherwise(year)
     valid = ok & mon.isNotNull() & year.isNotNull()
     return (F.when(valid, F.date_format(mon, "MMMM")), F.when(valid, year))

@@ -25,7 +25,7 @@ def one_col(spark, values, expr_fn, typ="string"):
 def test_report_date(spark):
     vals = ["5-Jan-24", "05-JAN-2024", " 5-jan-24 ", "99-Jan-24", "-Jan-24", "5-Dec-1999",
             "5/Jan/24", "5-Foo-24", "", None, "5-January-24", "5-Jan-24-1", "5-Jan-x", "5- Jan-24",
-            "\t5-Jan-24" + NBSP]
+            "\t5-Jan-24" + NBSP, "5-Jan-2_024", "5-Jan-+24", "5-Jan-" + NBSP + "24"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     m, y = report_month_year(F.col("v"))
     got = [tuple(r) for r in df.select(m, y).collect()]
@@ -33,6 +33,7 @@ def test_report_date(spark):
     assert got[:6] == [ok, ok, ok, ok, ok, ("December", 1999)]
     assert got[6:14] == [(None, None)] * 8
     assert got[14] == ok
+    assert got[15:] == [ok, ok, ok]
 
 
 def test_purchase_date_wall_clock(spark):
@@ -54,12 +55,13 @@ def test_strict_int(spark):
 
 
 def test_blank_to_zero_float(spark):
-    got = one_col(spark, ["", "   ", NBSP, None, "12.5", " 7 ", "12.5x", "1e3", "1_000.5", "inf"],
-                  blank_to_zero_float)
+    got = one_col(spark, ["", "   ", NBSP, None, "12.5", " 7 ", "12.5x", "1e3", "1_000.5", "inf",
+                          "-nan", "+NaN", "-Infinity"], blank_to_zero_float)
     assert got[:4] == [0.0] * 4
     assert got[4:6] == [12.5, 7.0]
     assert got[6] is None
     assert got[7] == 1000.0 and got[8] == 1000.5 and got[9] == float("inf")
+    assert got[10] != got[10] and got[11] != got[11] and got[12] == float("-inf")
 
 
 def test_text_flag(spark):
