@@ -1,8 +1,8 @@
 """Ingest projections: report rows (all strings) -> typed table rows.
 
 Every check is a column expression; a row's problems are collected in an
-``_errors`` array so that a whole load can be validated before anything is
-written (policy ``fail``) or bad rows split off (policy ``quarantine``).
+``_errors`` array, so that one bad row fails the whole load with nothing
+written (policy ``fail``) or bad rows are split off (policy ``quarantine``).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rmalytics.functions.dates import purchase_month_year, report_month_year
+from rmalytics.functions.dates import month_number, purchase_month_year, report_month_year
 from rmalytics.functions.numbers import blank_to_zero_float, strict_int, text_flag
 from rmalytics.schemas import (
     RETURNS_HEADERS,
@@ -87,8 +87,6 @@ def prepare_sales(renamed: DataFrame) -> DataFrame:
 
 
 def _with_month_no(df: DataFrame) -> DataFrame:
-    from rmalytics.functions.dates import month_number
-
     return df.withColumn("month_no", F.when(month_number(F.col("month")) > 0,
                                              month_number(F.col("month"))))
 

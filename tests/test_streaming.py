@@ -50,3 +50,17 @@ def test_stream_sales_reports(spark, tmp_path):
     t = read_sales(spark, table)
     assert sorted(r.quantity for r in t.collect()) == [2, 5]
     assert os.path.isdir(table + "_checkpoint")
+
+
+def test_stream_fail_policy_stops_without_writing(spark, tmp_path):
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "table")
+    os.makedirs(landing)
+    write_returns(f"{landing}/bad.tsv", [returns_row("5-Jan-24", "2"), returns_row("5/Jan/24", "1")])
+    q = report_stream(spark, landing, table, "returns", on_error="fail", available_now=True)
+    try:
+        q.awaitTermination(120)
+    except Exception:  # noqa: BLE001 - the query is expected to fail
+        pass
+    assert q.exception() is not None
+    files = [f for _, _, fs in os.walk(table) for f in fs if f.endswith(".parquet")]
+    assert files == []
