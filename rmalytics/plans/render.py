@@ -88,9 +88,11 @@ def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(*[values.get(h, F.lit("")).alias(header.get(h, h)) for h in SALES_HEADERS])
 
 
-def write_report(df: DataFrame, path: str, files: int | None = None) -> str:
+def write_report(df: DataFrame, path: str, key: str, files: int | None = None) -> str:
     """Write as ``files`` report files (default: the session's parallelism),
-    as a seller would upload several monthly files."""
+    as a seller would upload several monthly files. Rows are spread by a
+    hash of ``key`` (the order id): deterministic on a retry, without the
+    sort a round-robin repartition needs for that."""
     n = files or df.sparkSession.sparkContext.defaultParallelism
-    df.repartition(n).write.options(**WRITE_OPTIONS).csv(path)
+    df.repartition(n, F.col(f"`{key}`")).write.options(**WRITE_OPTIONS).csv(path)
     return path

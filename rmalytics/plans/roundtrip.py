@@ -21,7 +21,7 @@ from rmalytics.sources.tables import read_returns, read_sales
 
 def ingest_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "returns-load")
-    src = render.write_report(render.returns_report(spark, sf_dir), f"{base}/report")
+    src = render.write_report(render.returns_report(spark, sf_dir), f"{base}/report", "Order ID")
     ingest_returns(spark, src, f"{base}/table")
     t = read_returns(spark, f"{base}/table")
     return t.groupBy("year", "month").agg(
@@ -42,7 +42,7 @@ def ingest_returns_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("`Order ID`").cast("long") % 11 == 0, F.lit("1.5"))
                          .otherwise(F.col("`Return quantity`")))
     base = scratch_path(spark, "returns-quarantine")
-    src = render.write_report(rep, f"{base}/report")
+    src = render.write_report(rep, f"{base}/report", "Order ID")
     good, bad = load_returns_report(spark, src, on_error="quarantine")
     g = good.select(F.lit("loaded").alias("status"), F.lit("").alias("error"))
     b = bad.select(F.lit("rejected").alias("status"), F.array_join("_errors", "; ").alias("error"))
@@ -51,7 +51,7 @@ def ingest_returns_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_sales_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "sales-load")
-    src = render.write_report(render.sales_report(spark, sf_dir), f"{base}/report")
+    src = render.write_report(render.sales_report(spark, sf_dir), f"{base}/report", "amazon-order-id")
     ingest_sales(spark, src, f"{base}/table")
     t = read_sales(spark, f"{base}/table")
     return t.groupBy("year", "month").agg(
