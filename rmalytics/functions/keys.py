@@ -1,21 +1,47 @@
 """Grouping keys under the source database's text equality.
 
-The source tables compare text without regard to letter case: 'abc' and
-'ABC' are one SKU. Operators therefore group and join on folded keys
-(``lower``) and show one spelling per key, the smallest in binary order.
-Accents stay significant (a recorded deviation). ``fold_case=False`` in the
+The source tables compare text without regard to letter case or accents:
+'abc', 'ABC' and 'ábc' are one SKU. Operators therefore group and join on
+folded keys and show one spelling per key, the smallest in binary order.
+Folding lower-cases and strips accents from the Latin letters (U+00C0 to
+U+024F) whose Unicode decomposition is a base letter plus combining marks;
+expansions such as 'ß' -> 'ss' are not made. ``fold_case=False`` in the
 operators compares text exactly, which keeps every aggregate a plain
 HashAggregate.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _accent_table() -> tuple[str, str]:
+    """Accented Latin letters and their base letters, from Unicode NFD."""
+    src, dst = [], []
+    for cp in range(0xC0, 0x250):
+        d = unicodedata.normalize("NFD", chr(cp))
+        if len(d) > 1 and d[0].isascii() and d[0].isalpha() \
+                and all(unicodedata.category(x) == "Mn" for x in d[1:]):
+            src.append(chr(cp))
+            dst.append(d[0])
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, UNACCENTED = _accent_table()
+_UNACCENT = str.maketrans(ACCENTED, UNACCENTED)
+
+
 def fold(c: Column) -> Column:
-    return F.lower(c)
+    """Text -> its comparison key: accents stripped, lower case."""
+    return F.lower(F.translate(c, ACCENTED, UNACCENTED))
+
+
+def fold_text(s: str) -> str:
+    """The same fold for a Python string (search patterns)."""
+    return s.translate(_UNACCENT).lower()
 
 
 def key_of(name: str, fold_case: bool) -> Column:

@@ -50,10 +50,13 @@ def like_pattern(term: str, literal: bool = False) -> str:
 
 
 def matches(term: str, *cols: str, literal: bool = False) -> Column:
-    """OR of case-insensitive ``LIKE '%term%'`` over ``cols``."""
-    pattern = like_pattern(term, literal)
+    """OR of ``LIKE '%term%'`` over ``cols``, ignoring letter case and accents
+    as the source database's collation does."""
+    from rmalytics.functions.keys import fold, fold_text
+
+    pattern = fold_text(like_pattern(term, literal))
     cond = None
     for c in cols:
-        one = F.col(c).ilike(pattern)
+        one = fold(F.col(c)).like(pattern)
         cond = one if cond is None else (cond | one)
     return F.coalesce(cond, F.lit(False))

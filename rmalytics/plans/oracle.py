@@ -97,13 +97,16 @@ ORDER BY w.year""")
 
 
 def _matched(term: str, literal: bool = False) -> str:
+    # LIKE without regard to letter case or accents, as the source collation
     if not term.strip():
         return "matched AS (SELECT * FROM returns WHERE false)"
+    t = term.strip().replace("'", "''")
     if literal:
-        t = term.strip().lower().replace("'", "''")
-        cond = f"(contains(lower(merchant_sku), '{t}') OR contains(lower(asin), '{t}'))"
+        cond = " OR ".join(f"contains(lower(strip_accents({c})), lower(strip_accents('{t}')))"
+                           for c in ("merchant_sku", "asin"))
     else:
-        cond = f"(merchant_sku ILIKE {like(term.strip())} OR asin ILIKE {like(term.strip())})"
+        cond = " OR ".join(f"lower(strip_accents({c})) LIKE lower(strip_accents('%{t}%'))"
+                           for c in ("merchant_sku", "asin"))
     return f"matched AS (SELECT * FROM returns WHERE {cond})"
 
 
@@ -115,13 +118,13 @@ def _products_ctes(term: str, years, literal: bool = False) -> str:
         f"pa.returns_{y}, CAST(COALESCE(s.s{y}, 0) AS BIGINT) AS sales_{y}, "
         f"{half_up(f'pa.returns_{y}', f'COALESCE(s.s{y}, 0)')} AS return_rate_{y}" for y in years)
     return f"""{_matched(term, literal)},
-per_sku AS (SELECT lower(asin) AS ak, lower(merchant_sku) AS sk, min(asin) AS asin,
+per_sku AS (SELECT lower(strip_accents(asin)) AS ak, lower(strip_accents(merchant_sku)) AS sk, min(asin) AS asin,
                    min(merchant_sku) AS merchant_sku, {rc}
             FROM matched GROUP BY 1, 2),
 per_asin AS (SELECT ak, min(asin) AS asin,
                     string_agg(merchant_sku, ',' ORDER BY merchant_sku) AS merchant_skus, {ra}
              FROM per_sku GROUP BY ak),
-s AS (SELECT lower(asin) AS ak, {sc} FROM sales GROUP BY 1),
+s AS (SELECT lower(strip_accents(asin)) AS ak, {sc} FROM sales GROUP BY 1),
 products AS (SELECT pa.asin, pa.merchant_skus, {pc} FROM per_asin pa LEFT JOIN s ON pa.ak = s.ak)"""
 
 
@@ -133,7 +136,7 @@ def product_search(term: str, years, literal: bool = False) -> str:
 def _reason_ctes(years) -> str:
     cc = ", ".join(f"CAST(SUM(CASE WHEN year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS count_{y}"
                    for y in years)
-    return (f"reasons AS (SELECT lower(asin) AS ak, lower(return_reason) AS rk, min(asin) AS asin, "
+    return (f"reasons AS (SELECT lower(strip_accents(asin)) AS ak, lower(strip_accents(return_reason)) AS rk, min(asin) AS asin, "
             f"min(return_reason) AS return_reason, {cc} FROM matched GROUP BY 1, 2)")
 
 
@@ -151,7 +154,7 @@ SELECT p.*, COALESCE(CAST(to_json(n.rr) AS VARCHAR), '[]') AS return_reasons_jso
 FROM products p LEFT JOIN (
   SELECT ak, list(struct_pack({fields}) ORDER BY count_{years[-1]} DESC, return_reason) AS rr
   FROM reasons GROUP BY ak) n
-ON lower(p.asin) IS NOT DISTINCT FROM n.ak"""
+ON lower(strip_accents(p.asin)) IS NOT DISTINCT FROM n.ak"""
     return with_views(body, f"{_products_ctes(term, years)},\n{_reason_ctes(years)}")
 
 
@@ -170,8 +173,8 @@ def combined_reasons(term: str, years) -> str:
     cc = ", ".join(f"CAST(SUM(CASE WHEN year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS count_{y}"
                    for y in years)
     return with_views(
-        f"SELECT min(return_reason) AS return_reason, {cc} FROM matched GROUP BY lower(return_reason) "
-        f"ORDER BY count_{years[-1]} DESC, lower(return_reason)", _matched(term))
+        f"SELECT min(return_reason) AS return_reason, {cc} FROM matched GROUP BY lower(strip_accents(return_reason)) "
+        f"ORDER BY count_{years[-1]} DESC, lower(strip_accents(return_reason))", _matched(term))
 
 
 def rate_bands(term: str, years) -> str:
@@ -190,13 +193,14 @@ SELECT min(asin) AS asin, min(merchant_sku) AS merchant_sku,
 FROM returns
 WHERE CAST(try_strptime('01-' || month || '-' || CAST(year AS VARCHAR), '%d-%B-%Y') AS DATE)
       BETWEEN DATE '{start}' AND DATE '{end}'
-GROUP BY lower(asin), lower(merchant_sku)""")
+GROUP BY lower(strip_accents(asin)), lower(strip_accents(merchant_sku))""")
 
 
 def suggest_skus(term: str, n: int) -> str:
     return with_views(f"""
-SELECT min(merchant_sku) AS merchant_sku FROM returns WHERE merchant_sku ILIKE {like(term)}
-GROUP BY lower(merchant_sku) ORDER BY 1 LIMIT {n}""")
+SELECT min(merchant_sku) AS merchant_sku FROM returns
+WHERE lower(strip_accents(merchant_sku)) LIKE lower(strip_accents({like(term)}))
+GROUP BY lower(strip_accents(merchant_sku)) ORDER BY 1 LIMIT {n}""")
 
 
 def freshness() -> str:
@@ -253,11 +257,11 @@ def _top_cte(year: int, n: int) -> str:
          {half_even('total_returns', 'total_sold')} AS return_pct
   FROM (
     SELECT r.asin, r.merchant_sku, r.total_returns, s.total_sold, r.ak, r.sk
-    FROM (SELECT lower(asin) AS ak, lower(merchant_sku) AS sk, min(asin) AS asin,
+    FROM (SELECT lower(strip_accents(asin)) AS ak, lower(strip_accents(merchant_sku)) AS sk, min(asin) AS asin,
                  min(merchant_sku) AS merchant_sku,
                  CAST(SUM(return_quantity) AS BIGINT) AS total_returns
           FROM returns WHERE year = {year} GROUP BY 1, 2) r
-    LEFT JOIN (SELECT lower(asin) AS ak, CAST(SUM(quantity) AS BIGINT) AS total_sold
+    LEFT JOIN (SELECT lower(strip_accents(asin)) AS ak, CAST(SUM(quantity) AS BIGINT) AS total_sold
                FROM sales WHERE year = {year} GROUP BY 1) s
     ON r.ak = s.ak
     ORDER BY r.total_returns DESC, r.ak, r.sk
@@ -282,12 +286,14 @@ SELECT '{{' || string_agg('"' || CAST(year AS VARCHAR) || '":[' ||
 FROM ({_slots()}) p""")
 
 
-# The same returns with mixed letter case: odd quantities show the SKU in
-# upper case, quantities divisible by 3 show the ASIN in lower case.
+# The same returns with mixed spelling: quantities divisible by 5 show the
+# SKU with e-acute for 'e', other odd quantities in upper case; quantities
+# divisible by 3 show the ASIN in lower case.
 MIXED_CASE_RETURNS = """,
 returns AS (
   SELECT * REPLACE (
-    CASE WHEN return_quantity % 2 = 1 THEN upper(merchant_sku) ELSE merchant_sku END AS merchant_sku,
+    CASE WHEN return_quantity % 5 = 0 THEN replace(merchant_sku, 'e', chr(233))
+         WHEN return_quantity % 2 = 1 THEN upper(merchant_sku) ELSE merchant_sku END AS merchant_sku,
     CASE WHEN return_quantity % 3 = 0 THEN lower(asin) ELSE asin END AS asin)
   FROM returns_as_loaded
 ),

@@ -136,11 +136,14 @@ def q_monthly_series_json(spark, sf_dir):
 
 
 def mixed_case_returns(returns: DataFrame) -> DataFrame:
-    """Returns whose spelling varies by row: odd quantities show the SKU in
-    upper case, quantities divisible by 3 show the ASIN in lower case."""
+    """Returns whose spelling varies by row: quantities divisible by 5 show
+    the SKU with e-acute for 'e', other odd quantities in upper case;
+    quantities divisible by 3 show the ASIN in lower case."""
     q = F.col("return_quantity")
+    sku = F.col("merchant_sku")
     return returns.withColumns({
-        "merchant_sku": F.when(q % 2 == 1, F.upper("merchant_sku")).otherwise(F.col("merchant_sku")),
+        "merchant_sku": F.when(q % 5 == 0, F.translate(sku, "e", chr(0xE9)))
+                         .when(q % 2 == 1, F.upper(sku)).otherwise(sku),
         "asin": F.when(q % 3 == 0, F.lower("asin")).otherwise(F.col("asin")),
     })
 
