@@ -44,6 +44,18 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         return _loaded[key]
 
 
+_frames: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rp, sp = load(spark, sf_dir)
-    return read_returns(spark, rp), read_sales(spark, sp)
+    """DataFrames over the two tables. The tables never change once written,
+    so one pair (with its listed file index) serves every plan."""
+    key = _key(spark, sf_dir)
+    with _lock:
+        frames = _frames.get(key)
+    if frames is None:
+        rp, sp = load(spark, sf_dir)
+        frames = (read_returns(spark, rp), read_sales(spark, sp))
+        with _lock:
+            frames = _frames.setdefault(key, frames)
+    return frames
