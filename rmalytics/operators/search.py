@@ -29,12 +29,13 @@ class SearchResult:
     ``products`` is built at once; the other outputs are built on first use.
     """
 
-    def __init__(self, matched: DataFrame, products: DataFrame, years: tuple[int, ...],
+    def __init__(self, matched: DataFrame, unsorted_products: DataFrame, years: tuple[int, ...],
                  fold_case: bool):
         self.matched = matched    # returns rows whose SKU or ASIN contains the term
-        self.products = products  # one row per ASIN
         self.years = years
         self.fold_case = fold_case
+        self._unsorted = unsorted_products
+        self.products = _product_order(unsorted_products, years)  # one row per ASIN
 
     @cached_property
     def reasons(self) -> DataFrame:
@@ -44,7 +45,7 @@ class SearchResult:
     @cached_property
     def summary(self) -> DataFrame:
         """One row of totals and rates."""
-        return search_summary(self.products, self.years)
+        return search_summary(self._unsorted, self.years)
 
     @cached_property
     def combined_reasons(self) -> DataFrame:
@@ -52,7 +53,9 @@ class SearchResult:
         return combined_reasons(self.matched, self.years, self.fold_case)
 
     def products_with_reasons(self) -> DataFrame:
-        return nest_reasons(self.products, self.reasons, self.years, self.fold_case)
+        """``products`` with a ``return_reasons`` list, in the same order."""
+        nested = nest_reasons(self._unsorted, self.reasons, self.years, self.fold_case)
+        return _product_order(nested, self.years)
 
 
 def _year_sums(years, value=None, prefix="returns") -> dict:
@@ -70,7 +73,7 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     returns_<y>, sales_<y>, return_rate_<y> (half-up, NULL without sales),
     ordered by returns of the last year descending, then asin. Sales are the
     whole ASIN's, even when only one of its SKUs matched. Matching ignores
-    letter case; so does grouping unless ``fold_case=False``.
+    letter case and accents; so does grouping unless ``fold_case=False``.
     """
     years = tuple(int(y) for y in years)
     term = (term or "").strip()
@@ -105,10 +108,12 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
         s = F.coalesce(F.col(f"sales_{y}"), F.lit(0)).cast("bigint")
         cols += [F.col(f"returns_{y}"), s.alias(f"sales_{y}"),
                  return_rate(F.col(f"returns_{y}"), s, "half_up").alias(f"return_rate_{y}")]
-    products = j.select(*cols)
-    if years:
-        products = products.orderBy(F.desc(f"returns_{years[-1]}"), F.asc("asin"))
-    return SearchResult(matched, products, years, fold_case)
+    return SearchResult(matched, j.select(*cols), years, fold_case)
+
+
+def _product_order(products: DataFrame, years) -> DataFrame:
+    """Most returns in the last year first, then by ASIN."""
+    return products.orderBy(F.desc(f"returns_{years[-1]}"), F.asc("asin")) if years else products
 
 
 def return_reasons(matched: DataFrame, years, fold_case: bool = True) -> DataFrame:

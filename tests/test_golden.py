@@ -68,8 +68,9 @@ def test_search_products(golden):
                     "total_sales_2024": 3, "return_rate_2023": 25.0, "return_rate_2024": 100.0}
     comb = {x.return_reason: (x.count_2023, x.count_2024) for x in res.combined_reasons.collect()}
     assert comb == {"Too small": (1, 1), "Defective": (0, 2), "": (0, 0)}
-    nested = {x.asin: [tuple(e) for e in x.return_reasons]
-              for x in res.products_with_reasons().collect()}
+    with_reasons = res.products_with_reasons().collect()
+    assert [x.asin for x in with_reasons] == ["A1", "A2"]
+    nested = {x.asin: [tuple(e) for e in x.return_reasons] for x in with_reasons}
     assert nested == {"A1": [("Defective", 0, 1), ("Too small", 1, 1)],
                       "A2": [("Defective", 0, 1), ("", 0, 0)]}
 
