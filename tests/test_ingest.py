@@ -200,3 +200,18 @@ def test_several_files_same_header_load_together(spark, tmp_path):
     table = str(tmp_path / "table")
     ingest_returns(spark, str(tmp_path / "in"), table)
     assert read_returns(spark, table).agg(F.sum("return_quantity")).collect()[0][0] == 6
+
+
+def test_sales_short_row_counts_missing_fields_as_blank(spark, tmp_path):
+    """A row that stops early: its missing prices load as 0.0 (FIXTURES 4; the
+    source application fails on it)."""
+    full = [sales_row()[h] for h in SALES_HEADERS]
+    cut = SALES_HEADERS.index("item-price")
+    p = str(tmp_path / "s.tsv")
+    with open(p, "w", encoding="latin-1", newline="") as f:
+        f.write("\t".join(SALES_HEADERS) + "\n")
+        f.write("\t".join(full) + "\n")
+        f.write("\t".join(full[:cut]) + "\n")
+    rows = load_sales_report(spark, p).collect()
+    assert [r.item_price for r in rows] == [12.5, 0.0]
+    assert rows[1].is_business_order is False and rows[1].ship_city == ""
