@@ -195,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_returns_roundtrip": roundtrip.ingest_returns_roundtrip,
     "ingest_returns_quarantine": roundtrip.ingest_returns_quarantine,
     "ingest_sales_roundtrip": roundtrip.ingest_sales_roundtrip,
+    "stream_returns_roundtrip": roundtrip.stream_returns_roundtrip,
 }
 
 ORACLE: dict[str, str] = {
@@ -225,4 +226,5 @@ ORACLE: dict[str, str] = {
     "ingest_returns_roundtrip": oracle.ingest_returns_roundtrip(),
     "ingest_returns_quarantine": oracle.ingest_returns_quarantine(),
     "ingest_sales_roundtrip": oracle.ingest_sales_roundtrip(),
+    "stream_returns_roundtrip": oracle.ingest_returns_roundtrip(),
 }

@@ -23,7 +23,10 @@ def ingest_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "returns-load")
     src = render.write_report(render.returns_report(spark, sf_dir), f"{base}/report", "Order ID")
     ingest_returns(spark, src, f"{base}/table")
-    t = read_returns(spark, f"{base}/table")
+    return _returns_summary(read_returns(spark, f"{base}/table"))
+
+
+def _returns_summary(t: DataFrame) -> DataFrame:
     return t.groupBy("year", "month").agg(
         F.sum("return_quantity").cast("bigint").alias("return_units"),
         F.count(F.lit(1)).alias("return_lines"),
@@ -68,3 +71,19 @@ def export_csv_roundtrip(spark: SparkSession, sf_dir: str, start, end) -> DataFr
     path = write_export_csv(export_returns(r, start, end), scratch_path(spark, "export"))
     back = read_export_csv(spark, path)
     return back.select("asin", "merchant_sku", F.col("return_quantity").cast("bigint").alias("return_quantity"))
+
+
+def stream_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returns report dropped into a landing folder and loaded by the
+    file stream (one availableNow run); summarised like the batch load."""
+    from rmalytics.streaming import report_stream
+
+    base = scratch_path(spark, "returns-stream")
+    render.write_report(render.returns_report(spark, sf_dir), f"{base}/landing", "Order ID")
+    q = report_stream(spark, f"{base}/landing", f"{base}/table", "returns",
+                      checkpoint_dir=f"{base}/checkpoint", on_error="fail",
+                      file_glob="*.csv", available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"stream failed: {q.exception()}")
+    return _returns_summary(read_returns(spark, f"{base}/table"))
