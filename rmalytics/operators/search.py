@@ -147,13 +147,14 @@ def nest_reasons(products: DataFrame, reasons: DataFrame, years, fold_case: bool
 
 
 def search_summary(products: DataFrame, years) -> DataFrame:
-    """One row: total_returns_<y>, total_sales_<y>, return_rate_<y>
-    (half-even, 0 without sales). Zeros when nothing matched."""
-    aggs = []
+    """One row: product_count, total_returns_<y>, total_sales_<y>,
+    return_rate_<y> (half-even, 0 without sales). Zeros when nothing
+    matched. (The source's page shows it when more than one product matched.)"""
+    aggs = [F.count(F.lit(1)).alias("product_count")]
     for y in years:
         aggs += [F.coalesce(F.sum(f"returns_{y}"), F.lit(0)).cast("bigint").alias(f"total_returns_{y}"),
                  F.coalesce(F.sum(f"sales_{y}"), F.lit(0)).cast("bigint").alias(f"total_sales_{y}")]
-    t = products.agg(*aggs) if aggs else products.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    t = products.agg(*aggs)
     rates = [return_rate(F.col(f"total_returns_{y}"), F.col(f"total_sales_{y}"), "half_even",
                          zero_when_no_sales=True).alias(f"return_rate_{y}") for y in years]
     return t.select("*", *rates)

@@ -165,7 +165,7 @@ def search_summary(term: str, years) -> str:
     rates = ", ".join(
         f"COALESCE({half_even(f'total_returns_{y}', f'total_sales_{y}')}, 0.0) AS return_rate_{y}"
         for y in years)
-    return with_views(f"SELECT *, {rates} FROM (SELECT {tot} FROM products) t",
+    return with_views(f"SELECT *, {rates} FROM (SELECT COUNT(*) AS product_count, {tot} FROM products) t",
                       _products_ctes(term, years))
 
 

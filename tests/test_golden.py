@@ -64,7 +64,7 @@ def test_search_products(golden):
                   "return_rate_2023": None, "returns_2024": 1, "sales_2024": 0,
                   "return_rate_2024": None}
     summ = res.summary.collect()[0].asDict()
-    assert summ == {"total_returns_2023": 1, "total_sales_2023": 4, "total_returns_2024": 3,
+    assert summ == {"product_count": 2, "total_returns_2023": 1, "total_sales_2023": 4, "total_returns_2024": 3,
                     "total_sales_2024": 3, "return_rate_2023": 25.0, "return_rate_2024": 100.0}
     comb = {x.return_reason: (x.count_2023, x.count_2024) for x in res.combined_reasons.collect()}
     assert comb == {"Too small": (1, 1), "Defective": (0, 2), "": (0, 0)}
@@ -98,7 +98,7 @@ def test_search_blank_and_no_match(golden):
         assert res.products.count() == 0
         assert res.combined_reasons.count() == 0
         summ = res.summary.collect()[0].asDict()
-        assert summ == {"total_returns_2023": 0, "total_sales_2023": 0, "total_returns_2024": 0,
+        assert summ == {"product_count": 0, "total_returns_2023": 0, "total_sales_2023": 0, "total_returns_2024": 0,
                         "total_sales_2024": 0, "return_rate_2023": 0.0, "return_rate_2024": 0.0}
 
 
