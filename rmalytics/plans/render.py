@@ -21,10 +21,13 @@ sales report
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rmalytics.schemas import RETURNS_HEADERS, SALES_HEADERS
+from rmalytics.session import scratch_path
 from rmalytics.sources.driver import asin_of
 
 WRITE_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"',
@@ -96,3 +99,36 @@ def write_report(df: DataFrame, path: str, key: str, files: int | None = None) -
     n = files or df.sparkSession.sparkContext.defaultParallelism
     df.repartition(n, F.col(f"`{key}`")).write.options(**WRITE_OPTIONS).csv(path)
     return path
+
+
+def returns_report_with_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returns report with rejectable rows: a slash date when the order
+    key is divisible by 7, a quantity of '1.5' when divisible by 11."""
+    rep = returns_report(spark, sf_dir)
+    order = F.col("`Order ID`").cast("long")
+    return rep.withColumns({
+        "Return request date": F.when(order % 7 == 0, F.lit("5/Jan/96"))
+                                .otherwise(F.col("`Return request date`")),
+        "Return quantity": F.when(order % 11 == 0, F.lit("1.5")).otherwise(F.col("`Return quantity`")),
+    })
+
+
+_REPORTS = {
+    "returns": (returns_report, "Order ID"),
+    "returns_with_bad_rows": (returns_report_with_bad_rows, "Order ID"),
+    "sales": (sales_report, "amazon-order-id"),
+}
+_lock = threading.Lock()
+_rendered: dict[tuple[str, str, str], str] = {}
+
+
+def rendered(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Folder of report files of ``kind`` rendered from ``sf_dir``, written
+    once per application (they never change afterwards)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    with _lock:
+        if key not in _rendered:
+            build, order_col = _REPORTS[kind]
+            path = f"{scratch_path(spark, 'report')}/{kind}"
+            _rendered[key] = write_report(build(spark, sf_dir), path, order_col)
+        return _rendered[key]

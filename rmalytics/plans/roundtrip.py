@@ -21,8 +21,7 @@ from rmalytics.sources.tables import read_returns, read_sales
 
 def ingest_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "returns-load")
-    src = render.write_report(render.returns_report(spark, sf_dir), f"{base}/report", "Order ID")
-    ingest_returns(spark, src, f"{base}/table")
+    ingest_returns(spark, render.rendered(spark, sf_dir, "returns"), f"{base}/table")
     return _returns_summary(read_returns(spark, f"{base}/table"))
 
 
@@ -37,15 +36,7 @@ def _returns_summary(t: DataFrame) -> DataFrame:
 
 def ingest_returns_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a slash date or a non-integer quantity are split off."""
-    rep = render.returns_report(spark, sf_dir)
-    ln_bad_date = F.col("`Order ID`").cast("long") % 7 == 0
-    rep = rep.withColumn("Return request date",
-                         F.when(ln_bad_date, F.lit("5/Jan/96")).otherwise(F.col("`Return request date`")))
-    rep = rep.withColumn("Return quantity",
-                         F.when(F.col("`Order ID`").cast("long") % 11 == 0, F.lit("1.5"))
-                         .otherwise(F.col("`Return quantity`")))
-    base = scratch_path(spark, "returns-quarantine")
-    src = render.write_report(rep, f"{base}/report", "Order ID")
+    src = render.rendered(spark, sf_dir, "returns_with_bad_rows")
     good, bad = load_returns_report(spark, src, on_error="quarantine")
     g = good.select(F.lit("loaded").alias("status"), F.lit("").alias("error"))
     b = bad.select(F.lit("rejected").alias("status"), F.array_join("_errors", "; ").alias("error"))
@@ -54,8 +45,7 @@ def ingest_returns_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_sales_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "sales-load")
-    src = render.write_report(render.sales_report(spark, sf_dir), f"{base}/report", "amazon-order-id")
-    ingest_sales(spark, src, f"{base}/table")
+    ingest_sales(spark, render.rendered(spark, sf_dir, "sales"), f"{base}/table")
     t = read_sales(spark, f"{base}/table")
     return t.groupBy("year", "month").agg(
         F.sum("quantity").cast("bigint").alias("units"),
@@ -79,8 +69,8 @@ def stream_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rmalytics.streaming import report_stream
 
     base = scratch_path(spark, "returns-stream")
-    render.write_report(render.returns_report(spark, sf_dir), f"{base}/landing", "Order ID")
-    q = report_stream(spark, f"{base}/landing", f"{base}/table", "returns",
+    landing = render.rendered(spark, sf_dir, "returns")
+    q = report_stream(spark, landing, f"{base}/table", "returns",
                       checkpoint_dir=f"{base}/checkpoint", on_error="fail",
                       file_glob="*.csv", available_now=True)
     q.awaitTermination()
