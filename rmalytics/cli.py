@@ -113,11 +113,14 @@ def main(argv=None, spark: SparkSession | None = None, out=None) -> int:
               top.withColumn("return_pct_text", pct_text(F.col("return_pct"))), args.json, out)
         _emit("last updated", freshness(r), args.json, out)
     elif args.cmd == "products":
-        res = search_products(r, s, args.term, args.years, literal=args.literal)
-        _emit("summary", res.summary, args.json, out)
-        _emit("products", with_rate_bands(res.products, res.years), args.json, out)
-        _emit("reasons", res.reasons, args.json, out)
-        _emit("combined reasons", res.combined_reasons, args.json, out)
+        res = search_products(r, s, args.term, args.years, literal=args.literal).persist()
+        try:
+            _emit("summary", res.summary, args.json, out)
+            _emit("products", with_rate_bands(res.products, res.years), args.json, out)
+            _emit("reasons", res.reasons, args.json, out)
+            _emit("combined reasons", res.combined_reasons, args.json, out)
+        finally:
+            res.unpersist()
     elif args.cmd == "export":
         write_export_csv(export_returns(r, args.start, args.end), args.out)
         print(args.out, file=out)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,15 @@ class SearchResult:
         """One row per reason over all matched products."""
         return combined_reasons(self.matched, self.years, self.fold_case)
 
+    def persist(self) -> "SearchResult":
+        """Keep the matched rows (memory, spilling to disk) while several
+        outputs are collected; a lost block is recomputed from the table."""
+        self.matched.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def unpersist(self) -> None:
+        self.matched.unpersist()
+
     def products_with_reasons(self) -> DataFrame:
         """``products`` with a ``return_reasons`` list, in the same order."""
         nested = nest_reasons(self._unsorted, self.reasons, self.years, self.fold_case)
