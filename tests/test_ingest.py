@@ -1,5 +1,6 @@
 """Report ingest: scan, header checks, typed projection, load policy, append."""
 
+import csv
 import os
 
 import pytest
@@ -215,3 +216,19 @@ def test_sales_short_row_counts_missing_fields_as_blank(spark, tmp_path):
     rows = load_sales_report(spark, p).collect()
     assert [r.item_price for r in rows] == [12.5, 0.0]
     assert rows[1].is_business_order is False and rows[1].ship_city == ""
+
+
+def test_crlf_line_endings(spark, tmp_path):
+    rows = [returns_row("5-Jan-24", "2", **{"Refunded Amount": "9.99"}),
+            returns_row("6-Feb-24", "3", **{"Item Name": "two\r\nlines"})]
+    p = str(tmp_path / "crlf.tsv")
+    with open(p, "w", encoding="latin-1", newline="") as f:
+        w = csv.writer(f, delimiter="\t", lineterminator="\r\n")
+        w.writerow(RETURNS_HEADERS)
+        for r in rows:
+            w.writerow([r[h] for h in RETURNS_HEADERS])
+    got = sorted((x.month, x.return_quantity, x.refunded_amount, x.item_name)
+                 for x in load_returns_report(spark, p).collect())
+    assert got[0][:3] == ("February", 3, ""), got
+    assert got[0][3] in ("two\r\nlines", "two\nlines"), repr(got[0][3])
+    assert got[1] == ("January", 2, "9.99", "thing")
