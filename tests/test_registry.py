@@ -7,6 +7,9 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
+DUCK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +32,8 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    otypes = dict(zip(ocols, [str(d[1]) for d in cur.description]))
+    assert {c: DUCK_TYPES.get(t, t) for c, t in df.dtypes} == otypes
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
