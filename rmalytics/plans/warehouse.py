@@ -44,13 +44,13 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         return _loaded[key]
 
 
-_frames: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_frames: dict[tuple[SparkSession, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """DataFrames over the two tables. The tables never change once written,
     so one pair (with its listed file index) serves every plan."""
-    key = _key(spark, sf_dir)
+    key = (spark, sf_dir.rstrip("/"))  # files per application, DataFrames per session
     with _lock:
         frames = _frames.get(key)
     if frames is None:
