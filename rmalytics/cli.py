@@ -61,6 +61,10 @@ def _parser() -> argparse.ArgumentParser:
     sp.add_argument("kind", choices=["returns", "sales"])
     sp.add_argument("files", nargs="+")
     sp.add_argument("--on-error", choices=["fail", "quarantine"], default="fail")
+    sp.add_argument("--rejected", default=None,
+                    help="folder for quarantined rows (default: <warehouse>/<kind>_rejected)")
+    sp.add_argument("--single-line-records", action="store_true",
+                    help="no field spans lines: let Spark split large files")
     common(sp)
 
     sp = sub.add_parser("dashboard", help="monthly returns, top returned SKUs, freshness")
@@ -96,11 +100,16 @@ def main(argv=None, spark: SparkSession | None = None, out=None) -> int:
 
     if args.cmd == "load":
         ingest = ingest_returns if args.kind == "returns" else ingest_sales
-        bad = ingest(spark, args.files, f"{w}/{args.kind}", on_error=args.on_error)
+        bad = ingest(spark, args.files, f"{w}/{args.kind}", on_error=args.on_error,
+                     multiline=not args.single_line_records)
         if bad is not None:
-            _emit("rejected rows", bad.select(F.array_join("_errors", "; ").alias("errors"),
-                                              *[c for c in bad.columns if c != "_errors"]),
-                  args.json, out)
+            # rejected rows go to a folder, not through the driver; only counts are printed
+            where = args.rejected or f"{w}/{args.kind}_rejected"
+            bad.write.mode("append").parquet(where)
+            counts = (spark.read.parquet(where)
+                      .groupBy(F.array_join("_errors", "; ").alias("errors"))
+                      .agg(F.count(F.lit(1)).alias("rows")).orderBy("errors"))
+            _emit(f"rejected rows in {where}", counts, args.json, out)
         return 0
 
     r, s = _tables(spark, w)

@@ -24,7 +24,8 @@ def test_cli_screens(spark, tmp_path):
     s = write_sales(str(tmp_path / "s.tsv"), [sales_row(**{"asin": "A1", "quantity": "4",
                                                            "purchase-date": "2024-03-01T10:00:00Z"})])
     out = run(spark, "load", "returns", r, "--warehouse", wh, "--on-error", "quarantine")
-    assert "bad Return request date" in out
+    assert "bad Return request date\t1" in out
+    assert spark.read.parquet(f"{wh}/returns_rejected").count() == 1
     run(spark, "load", "sales", s, "--warehouse", wh)
 
     dash = run(spark, "dashboard", "--warehouse", wh, "--year", "2024", "--series-year", "2025")

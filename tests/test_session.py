@@ -13,3 +13,32 @@ def test_scratch_paths_are_unique_and_under_shared_dir(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b
     assert a.startswith(shared_dir(spark) + "/rmalytics-x-")
+
+
+def test_cluster_without_checkpoint_dir_is_refused():
+    """No machine-local fallback on a cluster master."""
+    import pytest
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key):
+                raise KeyError(key)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
