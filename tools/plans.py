@@ -15,12 +15,31 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def summary(tree: str, details: str) -> str:
+    """One line: shuffles, broadcasts, aggregates, pruned/pushed scans."""
+    hashx = len(re.findall(r"hashpartitioning", details))
+    rangex = len(re.findall(r"rangepartitioning", details))
+    bcast = tree.count("BroadcastExchange")
+    joins = sorted(set(re.findall(r"(BroadcastHashJoin \w+|SortMergeJoin \w*)", tree)))
+    aggs = {k: len(re.findall(rf"(?<![A-Za-z]){k} \(", tree))
+            for k in ("HashAggregate", "ObjectHashAggregate", "SortAggregate")}
+    scans = details.count("Scan parquet")
+    pruned = len(re.findall(r"PartitionFilters: \[[^\]]", details))
+    pushed = len(re.findall(r"PushedFilters: \[[^\]]", details))
+    agg = ", ".join(f"{k} x{v}" for k, v in aggs.items() if v)
+    return (f"shuffles: {hashx} hash + {rangex} range; broadcasts: {bcast}"
+            f"{' (' + ', '.join(j.strip() for j in joins) + ')' if joins else ''}; "
+            f"aggregates: {agg or 'none'}; parquet scans: {scans}, "
+            f"with partition filters: {pruned}, with pushed filters: {pushed}")
+
+
 def digest(df) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain(mode="formatted")
     text = buf.getvalue()
     tree, _, details = text.partition("\n\n\n")
+    head = summary(tree, details)
     tree = tree.replace("== Physical Plan ==\n", "")
     scans = []
     for block in details.split("\n\n"):
@@ -30,7 +49,7 @@ def digest(df) -> str:
                 if ln.startswith(("(", "PartitionFilters", "PushedFilters", "ReadSchema"))]
         keep = [re.sub(r"#\d+L?", "", ln) for ln in keep]
         scans.append("\n".join(keep))
-    return tree.rstrip() + "\n\n" + "\n\n".join(scans)
+    return head + "\n\n" + tree.rstrip() + "\n\n" + "\n\n".join(scans)
 
 
 def main():
