@@ -232,3 +232,16 @@ def test_crlf_line_endings(spark, tmp_path):
     assert got[0][:3] == ("February", 3, ""), got
     assert got[0][3] in ("two\r\nlines", "two\nlines"), repr(got[0][3])
     assert got[1] == ("January", 2, "9.99", "thing")
+
+
+def test_gzipped_report(spark, tmp_path):
+    import gzip
+    import shutil
+
+    plain = write_returns(str(tmp_path / "r.tsv"), [returns_row("5-Jan-24", "2"), returns_row("6-Feb-24", "3")])
+    gz = str(tmp_path / "in" / "r.tsv.gz")
+    os.makedirs(os.path.dirname(gz))
+    with open(plain, "rb") as src, gzip.open(gz, "wb") as dst:
+        shutil.copyfileobj(src, dst)
+    got = sorted((x.month, x.return_quantity) for x in load_returns_report(spark, gz).collect())
+    assert got == [("February", 3), ("January", 2)]
