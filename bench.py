@@ -25,7 +25,7 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
 
     from __spark_entry__ import queries
-    from rmalytics.plans.render import rendered
+    from rmalytics.plans.render import render_all
     from rmalytics.plans.warehouse import load
     from rmalytics.session import local_session
 
@@ -43,8 +43,7 @@ def main() -> None:
     times["load_tables"] = round(time.perf_counter() - t0, 3)
     # report files for the ingest plans, rendered from the driver's tables
     t0 = time.perf_counter()
-    for kind in ("returns", "returns_with_bad_rows", "sales"):
-        rendered(spark, sf_dir, kind)
+    render_all(spark, sf_dir)
     times["render_reports"] = round(time.perf_counter() - t0, 3)
 
     for name, fn in queries().items():

@@ -22,6 +22,7 @@ sales report
 from __future__ import annotations
 
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +120,7 @@ _REPORTS = {
     "sales": (sales_report, "amazon-order-id"),
 }
 _lock = threading.Lock()
+_key_locks: dict[tuple[str, str, str], threading.Lock] = {}
 _rendered: dict[tuple[str, str, str], str] = {}
 
 
@@ -127,8 +129,17 @@ def rendered(spark: SparkSession, sf_dir: str, kind: str) -> str:
     once per application (they never change afterwards)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
     with _lock:
+        key_lock = _key_locks.setdefault(key, threading.Lock())
+    with key_lock:  # one writer per report; different reports in parallel
         if key not in _rendered:
             build, order_col = _REPORTS[kind]
             path = f"{scratch_path(spark, 'report')}/{kind}"
             _rendered[key] = write_report(build(spark, sf_dir), path, order_col)
         return _rendered[key]
+
+
+def render_all(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Every report kind, rendered as concurrent jobs."""
+    with ThreadPoolExecutor(max_workers=len(_REPORTS)) as pool:
+        futures = {k: pool.submit(rendered, spark, sf_dir, k) for k in _REPORTS}
+        return {k: f.result() for k, f in futures.items()}
