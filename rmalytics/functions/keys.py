@@ -3,11 +3,11 @@
 The source tables compare text without regard to letter case or accents:
 'abc', 'ABC' and 'ábc' are one SKU. Operators therefore group and join on
 folded keys and show one spelling per key, the smallest in binary order.
-Folding lower-cases and strips accents from the Latin letters (U+00C0 to
-U+024F) whose Unicode decomposition is a base letter plus combining marks;
-expansions such as 'ß' -> 'ss' are not made. ``fold_case=False`` in the
-operators compares text exactly, which keeps every aggregate a plain
-HashAggregate.
+Folding strips accents from the Latin letters (U+00C0 to U+024F) whose
+Unicode decomposition is a base letter plus combining marks, lower-cases,
+and applies the collation's equalities for letters Unicode does not
+decompose (below). ``fold_case=False`` in the operators compares text
+exactly, which keeps every aggregate a plain HashAggregate.
 """
 
 from __future__ import annotations
@@ -30,18 +30,31 @@ def _accent_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+# --- fixed values: equalities of the source collation (utf8mb4_0900_ai_ci) for
+# letters without a Unicode decomposition; applied after lower-casing ---
+COLLATION_LETTERS = (("ø", "o"), ("đ", "d"), ("ħ", "h"), ("ł", "l"), ("ŧ", "t"))
+COLLATION_EXPANSIONS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ĳ", "ij"))
+
 ACCENTED, UNACCENTED = _accent_table()
 _UNACCENT = str.maketrans(ACCENTED, UNACCENTED)
 
 
 def fold(c: Column) -> Column:
-    """Text -> its comparison key: accents stripped, lower case."""
-    return F.lower(F.translate(c, ACCENTED, UNACCENTED))
+    """Text -> its comparison key: accents stripped, lower case, the
+    collation's letter equalities applied."""
+    k = F.lower(F.translate(c, ACCENTED, UNACCENTED))
+    k = F.translate(k, "".join(a for a, _ in COLLATION_LETTERS), "".join(b for _, b in COLLATION_LETTERS))
+    for a, b in COLLATION_EXPANSIONS:
+        k = F.replace(k, F.lit(a), F.lit(b))
+    return k
 
 
 def fold_text(s: str) -> str:
     """The same fold for a Python string (search patterns)."""
-    return s.translate(_UNACCENT).lower()
+    k = s.translate(_UNACCENT).lower()
+    for a, b in COLLATION_LETTERS + COLLATION_EXPANSIONS:
+        k = k.replace(a, b)
+    return k
 
 
 def key_of(name: str, fold_case: bool) -> Column:

@@ -1,5 +1,6 @@
 """DuckDB SQL for every registered plan, over the driver's tables.
 
+Text keys use FOLD(x), expanded to the same steps as the Spark fold.
 Rates use integer arithmetic so that the oracle's rounding is exact:
 half-up  = (a*20000 + b) // (2*b) / 100
 half-even: q = a*10000 // b, r = a*10000 % b; q + 1 if 2r > b or (2r = b and q odd)
@@ -7,6 +8,8 @@ half-even: q = a*10000 // b, r = a*10000 % b; q + 1 if 2r > b or (2r = b and q o
 
 from __future__ import annotations
 
+from rmalytics.functions.keys import COLLATION_EXPANSIONS, COLLATION_LETTERS
+
 VIEWS = """
 returns AS (
   SELECT 'B' || lpad(CAST(l.l_partkey // 4 AS VARCHAR), 9, '0') AS asin,
@@ -37,9 +40,45 @@ MONTHS_SQL = ("January", "February", "March", "April", "May", "June", "July",
               "August", "September", "October", "November", "December")
 
 
+def fold_sql(x: str) -> str:
+    """SQL for the comparison key of text ``x`` (rmalytics.functions.keys.fold):
+    accents stripped, lower case, the collation's letter equalities."""
+    k = f"lower(strip_accents({x}))"
+    src = "".join(a for a, _ in COLLATION_LETTERS)
+    dst = "".join(b for _, b in COLLATION_LETTERS)
+    k = f"translate({k}, '{src}', '{dst}')"
+    for a, b in COLLATION_EXPANSIONS:
+        k = f"replace({k}, '{a}', '{b}')"
+    return k
+
+
+def expand_fold(sql: str) -> str:
+    """Replace every FOLD(<expr>) by fold_sql(<expr>) (parentheses matched,
+    quoted text skipped)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("FOLD(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth, quote = j + 5, 1, False
+        while depth:
+            ch = sql[k]
+            if ch == "'":
+                quote = not quote
+            elif not quote and ch == "(":
+                depth += 1
+            elif not quote and ch == ")":
+                depth -= 1
+            k += 1
+        out.append(fold_sql(expand_fold(sql[j + 5:k - 1])))
+        i = k
+
+
 def with_views(body: str, extra_ctes: str = "") -> str:
     ctes = VIEWS + ("," + extra_ctes if extra_ctes else "")
-    return f"WITH {ctes}\n{body}"
+    return expand_fold(f"WITH {ctes}\n{body}")
 
 
 def half_up(a: str, b: str) -> str:
@@ -102,10 +141,10 @@ def _matched(term: str, literal: bool = False) -> str:
         return "matched AS (SELECT * FROM returns WHERE false)"
     t = term.strip().replace("'", "''")
     if literal:
-        cond = " OR ".join(f"contains(lower(strip_accents({c})), lower(strip_accents('{t}')))"
+        cond = " OR ".join(f"contains(FOLD({c}), FOLD('{t}'))"
                            for c in ("merchant_sku", "asin"))
     else:
-        cond = " OR ".join(f"lower(strip_accents({c})) LIKE lower(strip_accents('%{t}%'))"
+        cond = " OR ".join(f"FOLD({c}) LIKE FOLD('%{t}%')"
                            for c in ("merchant_sku", "asin"))
     return f"matched AS (SELECT * FROM returns WHERE {cond})"
 
@@ -118,13 +157,13 @@ def _products_ctes(term: str, years, literal: bool = False) -> str:
         f"pa.returns_{y}, CAST(COALESCE(s.s{y}, 0) AS BIGINT) AS sales_{y}, "
         f"{half_up(f'pa.returns_{y}', f'COALESCE(s.s{y}, 0)')} AS return_rate_{y}" for y in years)
     return f"""{_matched(term, literal)},
-per_sku AS (SELECT lower(strip_accents(asin)) AS ak, lower(strip_accents(merchant_sku)) AS sk, min(asin) AS asin,
+per_sku AS (SELECT FOLD(asin) AS ak, FOLD(merchant_sku) AS sk, min(asin) AS asin,
                    min(merchant_sku) AS merchant_sku, {rc}
             FROM matched GROUP BY 1, 2),
 per_asin AS (SELECT ak, min(asin) AS asin,
                     string_agg(merchant_sku, ',' ORDER BY merchant_sku) AS merchant_skus, {ra}
              FROM per_sku GROUP BY ak),
-s AS (SELECT lower(strip_accents(asin)) AS ak, {sc} FROM sales GROUP BY 1),
+s AS (SELECT FOLD(asin) AS ak, {sc} FROM sales GROUP BY 1),
 products AS (SELECT pa.asin, pa.merchant_skus, {pc} FROM per_asin pa LEFT JOIN s ON pa.ak = s.ak)"""
 
 
@@ -136,7 +175,7 @@ def product_search(term: str, years, literal: bool = False) -> str:
 def _reason_ctes(years) -> str:
     cc = ", ".join(f"CAST(SUM(CASE WHEN year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS count_{y}"
                    for y in years)
-    return (f"reasons AS (SELECT lower(strip_accents(asin)) AS ak, lower(strip_accents(return_reason)) AS rk, min(asin) AS asin, "
+    return (f"reasons AS (SELECT FOLD(asin) AS ak, FOLD(return_reason) AS rk, min(asin) AS asin, "
             f"min(return_reason) AS return_reason, {cc} FROM matched GROUP BY 1, 2)")
 
 
@@ -154,7 +193,7 @@ SELECT p.*, COALESCE(CAST(to_json(n.rr) AS VARCHAR), '[]') AS return_reasons_jso
 FROM products p LEFT JOIN (
   SELECT ak, list(struct_pack({fields}) ORDER BY count_{years[-1]} DESC, return_reason) AS rr
   FROM reasons GROUP BY ak) n
-ON lower(strip_accents(p.asin)) IS NOT DISTINCT FROM n.ak"""
+ON FOLD(p.asin) IS NOT DISTINCT FROM n.ak"""
     return with_views(body, f"{_products_ctes(term, years)},\n{_reason_ctes(years)}")
 
 
@@ -173,8 +212,8 @@ def combined_reasons(term: str, years) -> str:
     cc = ", ".join(f"CAST(SUM(CASE WHEN year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS count_{y}"
                    for y in years)
     return with_views(
-        f"SELECT min(return_reason) AS return_reason, {cc} FROM matched GROUP BY lower(strip_accents(return_reason)) "
-        f"ORDER BY count_{years[-1]} DESC, lower(strip_accents(return_reason))", _matched(term))
+        f"SELECT min(return_reason) AS return_reason, {cc} FROM matched GROUP BY FOLD(return_reason) "
+        f"ORDER BY count_{years[-1]} DESC, FOLD(return_reason)", _matched(term))
 
 
 def rate_bands(term: str, years) -> str:
@@ -193,14 +232,14 @@ SELECT min(asin) AS asin, min(merchant_sku) AS merchant_sku,
 FROM returns
 WHERE CAST(try_strptime('01-' || month || '-' || CAST(year AS VARCHAR), '%d-%B-%Y') AS DATE)
       BETWEEN DATE '{start}' AND DATE '{end}'
-GROUP BY lower(strip_accents(asin)), lower(strip_accents(merchant_sku))""")
+GROUP BY FOLD(asin), FOLD(merchant_sku)""")
 
 
 def suggest_skus(term: str, n: int) -> str:
     return with_views(f"""
 SELECT min(merchant_sku) AS merchant_sku FROM returns
-WHERE lower(strip_accents(merchant_sku)) LIKE lower(strip_accents({like(term)}))
-GROUP BY lower(strip_accents(merchant_sku)) ORDER BY 1 LIMIT {n}""")
+WHERE FOLD(merchant_sku) LIKE FOLD({like(term)})
+GROUP BY FOLD(merchant_sku) ORDER BY 1 LIMIT {n}""")
 
 
 def freshness() -> str:
@@ -257,11 +296,11 @@ def _top_cte(year: int, n: int) -> str:
          {half_even('total_returns', 'total_sold')} AS return_pct
   FROM (
     SELECT r.asin, r.merchant_sku, r.total_returns, s.total_sold, r.ak, r.sk
-    FROM (SELECT lower(strip_accents(asin)) AS ak, lower(strip_accents(merchant_sku)) AS sk, min(asin) AS asin,
+    FROM (SELECT FOLD(asin) AS ak, FOLD(merchant_sku) AS sk, min(asin) AS asin,
                  min(merchant_sku) AS merchant_sku,
                  CAST(SUM(return_quantity) AS BIGINT) AS total_returns
           FROM returns WHERE year = {year} GROUP BY 1, 2) r
-    LEFT JOIN (SELECT lower(strip_accents(asin)) AS ak, CAST(SUM(quantity) AS BIGINT) AS total_sold
+    LEFT JOIN (SELECT FOLD(asin) AS ak, CAST(SUM(quantity) AS BIGINT) AS total_sold
                FROM sales WHERE year = {year} GROUP BY 1) s
     ON r.ak = s.ak
     ORDER BY r.total_returns DESC, r.ak, r.sk
