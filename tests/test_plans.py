@@ -34,6 +34,12 @@ def test_no_sort_aggregate(plans):
         assert "SortAggregate" not in p, name
 
 
+def test_top_returned_prunes_every_scan_to_the_year(plans):
+    details = plans["top_returned_skus"].split("\n\n\n", 1)[1]
+    scans = [b for b in details.split("\n\n") if b.lstrip().startswith("(") and "Scan parquet" in b]
+    assert scans and all("PartitionFilters: [isnotnull(year" in b and "= 1996)]" in b for b in scans)
+
+
 def test_top_returned_plan(plans):
     p = plans["top_returned_skus"]
     assert "TakeOrderedAndProject" in p
