@@ -119,8 +119,10 @@ def enforce(prepared: DataFrame, on_error: str = "fail"):
     if on_error != "fail":
         raise ValueError("on_error must be 'fail' or 'quarantine'")
     msg = F.concat(F.lit(ROW_ERROR_TAG), F.array_join("_errors", "; "))
-    guarded = F.when(F.size("_errors") > 0, F.raise_error(msg)).otherwise(F.col("year"))
-    return prepared.withColumn("year", guarded.cast("int")).drop("_errors")
+    # a filter, not a column: column pruning cannot drop it whatever the
+    # caller selects afterwards
+    guard = F.when(F.size("_errors") > 0, F.raise_error(msg).isNull()).otherwise(F.lit(True))
+    return prepared.filter(guard).drop("_errors")
 
 
 def raise_row_error(exc: Exception) -> None:

@@ -245,3 +245,9 @@ def test_gzipped_report(spark, tmp_path):
         shutil.copyfileobj(src, dst)
     got = sorted((x.month, x.return_quantity) for x in load_returns_report(spark, gz).collect())
     assert got == [("February", 3), ("January", 2)]
+
+
+def test_fail_guard_survives_column_pruning(spark, tmp_path):
+    p = write_returns(str(tmp_path / "r.tsv"), [returns_row(), returns_row("5/Jan/24", "1")])
+    with pytest.raises(Exception, match="rows cannot be loaded"):
+        load_returns_report(spark, p).select("asin").count()
