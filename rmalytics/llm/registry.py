@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rmalytics.llm import oracle
+from rmalytics.llm.piece_tokens import piece_tokens
 from rmalytics.llm.quality_rules import quality_rules
+from rmalytics.llm.token_binary import ids_crc32, token_binary
+from rmalytics.llm.token_counts import token_counts
+
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+END_ID = 2
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,8 +32,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+
+
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_crc32(token_binary(spark, _read(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=END_ID))
+
+
+def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens(_read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op7_token_counts": op7_token_counts,
+    "op8_token_binary": op8_token_binary,
+    "op10_piece_tokens": op10_piece_tokens,
 }
 
 ORACLE: dict[str, str] = {
