@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rmalytics.llm import oracle
 from rmalytics.llm.piece_tokens import piece_tokens
 from rmalytics.llm.quality_rules import quality_rules
+from rmalytics.llm.sharding import shard_rows
+from rmalytics.llm.source_mixing import mix_sources
 from rmalytics.llm.token_binary import ids_crc32, token_binary
 from rmalytics.llm.token_counts import token_counts
+from rmalytics.llm.warc_bundles import warc_bundles
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
@@ -27,11 +31,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(spark, _read(spark, sf_dir, "documents"), F.array("source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_bundles(spark, _read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
@@ -40,17 +54,25 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(token_binary(spark, _read(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=END_ID))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(spark, _read(spark, sf_dir, "documents"))
+
+
 def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(_read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc_bundles": op6_warc_bundles,
     "op7_token_counts": op7_token_counts,
     "op8_token_binary": op8_token_binary,
+    "op9_sharding": op9_sharding,
     "op10_piece_tokens": op10_piece_tokens,
 }
 
 ORACLE: dict[str, str] = {
     "op5_quality_rules": oracle.QUALITY,
+    "op6_warc_bundles": oracle.WARC,
 }

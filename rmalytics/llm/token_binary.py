@@ -121,7 +121,7 @@ def write_token_files(spark: SparkSession, df: DataFrame, path: str, folder: str
     _files.make_folder(folder)
     ranks = frequency_ranks(df, path, end_id, text)
     system, where = _files.open_fs(folder)
-    with system.open_output_stream(f"{where}/ranks.npy") as out:
+    with system.open_output_stream(f"{where}/ranks.npy", compression=None) as out:
         np.save(buffer := io.BytesIO(), ranks)
         out.write(buffer.getvalue())
     rank_of = np.zeros(len(ranks), dtype=np.uint32)
@@ -149,7 +149,7 @@ def write_token_files(spark: SparkSession, df: DataFrame, path: str, folder: str
                 control, data = encode_ranks(to_rank[ids])
                 if out is None:
                     name = _files.new_name(f"part-{part:06d}-{block:04d}", ".frvb")
-                    out = system.open_output_stream(f"{where}/{name}")
+                    out = system.open_output_stream(f"{where}/{name}", compression=None)
                     out.write(MAGIC)
                 own = keys.slice(a, b - a)
                 for x in (
@@ -185,11 +185,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, where = _files.open_fs(folder)
-        with system.open_input_stream(f"{where}/ranks.npy") as f:
+        with system.open_input_stream(f"{where}/ranks.npy", compression=None) as f:
             ranks = np.load(io.BytesIO(f.read()))
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_input_stream(f"{where}/{name}") as f:
+                with system.open_input_stream(f"{where}/{name}", compression=None) as f:
                     if f.read(4) != MAGIC:
                         raise ValueError(f"{name} is not a token file")
                     while len(head := f.read(40)) == 40:
