@@ -14,6 +14,7 @@ from rmalytics.llm.sharding import shard_rows
 from rmalytics.llm.source_mixing import mix_sources
 from rmalytics.llm.token_binary import ids_crc32, token_binary
 from rmalytics.llm.token_counts import token_counts
+from rmalytics.llm.topk_search import top_k
 from rmalytics.llm.warc_bundles import warc_bundles
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -36,6 +37,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -64,6 +69,7 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_topk_search": op3_topk_search,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_bundles": op6_warc_bundles,
     "op7_token_counts": op7_token_counts,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_topk_search": oracle.TOP_K,
     "op5_quality_rules": oracle.QUALITY,
     "op6_warc_bundles": oracle.WARC,
 }
