@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rmalytics.llm import oracle
+from rmalytics.llm.jaccard_join import jaccard_components
 from rmalytics.llm.piece_tokens import piece_tokens
+from rmalytics.llm.pseudonyms import pseudonyms
 from rmalytics.llm.quality_rules import quality_rules
 from rmalytics.llm.sharding import shard_rows
 from rmalytics.llm.source_mixing import mix_sources
@@ -19,6 +21,8 @@ from rmalytics.llm.warc_bundles import warc_bundles
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
+#: of the registered query; users give a secret of their own
+PSEUDONYM_KEY = b"registered query"
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +36,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(_read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(spark, _read(spark, sf_dir, "documents"), F.array("source"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -41,6 +49,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, _read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -68,8 +80,10 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudonyms": op1_pseudonyms,
     "op2_source_mixing": op2_source_mixing,
     "op3_topk_search": op3_topk_search,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_bundles": op6_warc_bundles,
     "op7_token_counts": op7_token_counts,
