@@ -127,11 +127,17 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+#: first digits of payment cards
+_ISSUERS = "23456"
+
+
 def _card(f, m, back):
     d = _digits(m.group())
-    if luhn_digit(d[:-1]) != d[-1] or not d.strip(d[0]):
+    if luhn_digit(d[:-1]) != d[-1] or d[0] not in _ISSUERS or not d.strip(d[0]):
         return None
-    body = _in_classes(f, d[:-1], "card", back)
+    rest = 10 ** (len(d) - 2)
+    x = f.permuted(_ISSUERS.index(d[0]) * rest + int(d[1:-1]), len(_ISSUERS) * rest, "card", back)
+    body = f"{_ISSUERS[x // rest]}{x % rest:0{len(d) - 2}d}"
     return _refill(m.group(), body + luhn_digit(body))
 
 
@@ -221,7 +227,7 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
     ("access key", "AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
     ("secret", "", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9_/+.~-]{8,})(?P=quote)(?<!\.)"), _secret),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("card", "", re.compile(r"(?<!\d)\d{13,19}(?!\d)"), _card),
+    ("card", "", re.compile(r"(?<![\w.])\d{13,19}(?!\w|\.\d)"), _card),
     ("card", "", re.compile(r"(?<![\w-])\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?![\w-])"), _card),
     ("ipv4", ".", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"), _ip),
     ("date", "-", re.compile(r"(?<![\w-])(?:19|20)\d\d-\d\d-\d\d(?![\w-])"), _date("ymd")),

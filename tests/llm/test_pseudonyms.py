@@ -59,7 +59,7 @@ def test_one_day_in_three_formats_stays_one_day():
     assert n == 3 and (y, m, d) == (y2, m2, d2) == (y3, m3, d3)
 
 
-@pytest.mark.parametrize("text", ["4111111111111112", "Version 2.0 of 1999", "CC BY-NC 4.0.", "2021-02-30", "256.1.1.1", "a @ b", "000-12-3456", "DE88370400440532013000", "1.2.3.4.5", "x" * 5000, "password=short", "see page 12-34"])
+@pytest.mark.parametrize("text", ["4111111111111112", "7992739871300019", "0.4111111111111111", "Version 2.0 of 1999", "CC BY-NC 4.0.", "2021-02-30", "256.1.1.1", "a @ b", "000-12-3456", "DE88370400440532013000", "1.2.3.4.5", "x" * 5000, "password=short", "see page 12-34"])
 def test_what_fails_its_check_stays(text):
     assert pseudonymised(Feistel(KEY), text) == (text, 0)
 
@@ -95,4 +95,5 @@ def test_documents_equal_a_plain_loop(spark):
     text = {r.doc_id: r.text for r in df.collect()}
     for i, (new, _) in got.items():
         for value in re.findall(r"\S+@\S+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b", text[i]):
-            assert value not in new
+            if "@" in value or "+" in value or (luhn_ok(value) and value[0] in "23456"):
+                assert value not in new
