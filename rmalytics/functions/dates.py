@@ -74,7 +74,7 @@ def _as_date(d) -> _dt.date:
         return d.date()
     if isinstance(d, _dt.date):
         return d
-    return _dt.date.fromisoformat(str(d)[:10])
+    return _dt.datetime.fromisoformat(str(d)).date()  # the whole text, or ValueError
 
 
 def month_window_filter(start, end, year: str = "year", month_no: str = "month_no") -> Column:

@@ -19,10 +19,6 @@ from rmalytics.functions.keys import key_of, keyed_sums, spelling
 from rmalytics.functions.rates import has_returns, rate_band, return_rate
 from rmalytics.functions.text import matches
 
-# Above this many matched ASINs the sales side is aggregated in full and
-# joined co-partitioned instead of being semi-joined to a broadcast key list.
-BROADCAST_KEYS_LIMIT = 200_000
-
 
 class SearchResult:
     """Outputs of one search; all built from the same filtered ``matched``.
@@ -75,8 +71,7 @@ def _year_sums(years, value=None, prefix="returns") -> dict:
 
 
 def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023, 2024),
-                    literal: bool = False, broadcast_keys_limit: int = BROADCAST_KEYS_LIMIT,
-                    fold_case: bool = True) -> SearchResult:
+                    literal: bool = False, fold_case: bool = True) -> SearchResult:
     """Search ``term`` (trimmed; blank -> no products) in merchant_sku or asin.
 
     products: asin, merchant_skus (distinct, sorted, comma joined),
@@ -84,6 +79,11 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     ordered by returns of the last year descending, then asin. Sales are the
     whole ASIN's, even when only one of its SKUs matched. Matching ignores
     letter case and accents; so does grouping unless ``fold_case=False``.
+    ``merchant_skus`` is NULL only where every SKU is NULL: a blank SKU is ''.
+
+    Sales are summed by ASIN before they are shuffled (one row per ASIN and
+    task, so a hot ASIN is no more than others) and then meet the products,
+    whose ASINs come from the one filtered scan of ``returns``.
     """
     years = tuple(int(y) for y in years)
     term = (term or "").strip()
@@ -94,21 +94,17 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     # then (asin) over that small input.
     per_sku = keyed_sums(matched, ["asin", "merchant_sku"], _year_sums(years), fold_case)
     per_asin = per_sku.groupBy("asin_key").agg(
-        F.array_join(F.array_sort(F.collect_list("merchant_sku")), ",").alias("_skus"),
+        F.array_sort(F.collect_list("merchant_sku")).alias("_skus"),
         *([spelling("asin").alias("asin")] if fold_case else []),
         *[F.sum(f"returns_{y}").cast("bigint").alias(f"returns_{y}") for y in years])
     if not fold_case:
         per_asin = per_asin.withColumn("asin", F.col("asin_key"))
-    per_asin = per_asin.withColumn("merchant_skus", F.nullif(F.col("_skus"), F.lit(""))).drop("_skus")
+    per_asin = per_asin.withColumn("merchant_skus", F.when(F.size("_skus") > 0, F.array_join("_skus", ","))).drop("_skus")
 
     # Rows of other years add 0 to every sales_<y>, so only the wanted
     # years' partitions are read.
     sales_y = sales.filter(F.col("year").isin(*years)) if years else sales.limit(0)
     sales_y = sales_y.select(key_of("asin", fold_case).alias("asin_key"), "year", "quantity")
-    keys = (matched.select(key_of("asin", fold_case).alias("m_asin"))
-            .filter(F.col("m_asin").isNotNull()).distinct())
-    if broadcast_keys_limit and keys.limit(broadcast_keys_limit + 1).count() <= broadcast_keys_limit:
-        sales_y = sales_y.join(F.broadcast(keys), F.col("asin_key") == F.col("m_asin"), "left_semi")
     sold = sales_y.groupBy("asin_key").agg(
         *[F.sum(e).cast("bigint").alias(n) for n, e in _year_sums(years, "quantity", "sales").items()])
 

@@ -19,11 +19,11 @@ def top_returned(returns: DataFrame, sales: DataFrame, year: int, n: int = 50,
 
     Plan: returns (pruned to the year's partition) -> partial/final
     aggregate on the keys (numeric buffers: HashAggregate) -> top-n. Only
-    then are sales touched, and only for the <= n ASINs kept: a broadcast of
-    n keys (size bounded by ``n``) semi-joins the year's sales before their
-    aggregate, so no sales row is shuffled except the winners', and the
-    final joins are broadcasts of <= n rows. With ``fold_case`` the
-    displayed spellings are looked up for the <= n winners only.
+    then are sales touched, and only for the <= n ASINs kept: the n keys
+    semi-join the year's sales before their aggregate. How each join is done
+    is left to adaptive execution, which sees the real size of the winners.
+    With ``fold_case`` the displayed spellings are looked up for the <= n
+    winners only.
     """
     r = (returns.filter(F.col("year") == year)
          .select(key_of("asin", fold_case).alias("asin_key"),
@@ -34,21 +34,21 @@ def top_returned(returns: DataFrame, sales: DataFrame, year: int, n: int = 50,
     order = [F.desc("total_returns"), F.asc("asin_key"), F.asc("sku_key")]
     top = per_sku.orderBy(*order).limit(n)
 
-    winners = F.broadcast(top.select(F.col("asin_key").alias("w_asin")))
+    winners = top.select(F.col("asin_key").alias("w_asin"))
     sold = (sales.filter(F.col("year") == year)
             .select(key_of("asin", fold_case).alias("asin_key"), "quantity")
             .join(winners, F.col("asin_key") == F.col("w_asin"), "left_semi")
             .groupBy("asin_key")
             .agg(F.sum("quantity").cast("bigint").alias("total_sold")))
-    out = top.join(F.broadcast(sold), "asin_key", "left")
+    out = top.join(sold, "asin_key", "left")
 
     if fold_case:
-        w = F.broadcast(top.select(F.col("asin_key").alias("w_asin"), F.col("sku_key").alias("w_sku")))
+        w = top.select(F.col("asin_key").alias("w_asin"), F.col("sku_key").alias("w_sku"))
         spelled = (r.join(w, F.col("asin_key").eqNullSafe(F.col("w_asin"))
                           & F.col("sku_key").eqNullSafe(F.col("w_sku")), "left_semi")
                    .groupBy(F.col("asin_key").alias("s_asin"), F.col("sku_key").alias("s_sku"))
                    .agg(spelling("asin").alias("asin"), spelling("merchant_sku").alias("merchant_sku")))
-        out = out.join(F.broadcast(spelled), F.col("asin_key").eqNullSafe(F.col("s_asin"))
+        out = out.join(spelled, F.col("asin_key").eqNullSafe(F.col("s_asin"))
                        & F.col("sku_key").eqNullSafe(F.col("s_sku")), "left")
     else:
         out = out.withColumn("asin", F.col("asin_key")).withColumn("merchant_sku", F.col("sku_key"))

@@ -30,6 +30,7 @@ SEARCH_YEARS = (1996, 1997)
 WILDCARD_TERM = "r_ng-1"
 LITERAL_TERM = "-1"
 SERIES_YEARS = (1996, 2025)
+YEARS_WITH_GAP = (1996, 2025)  # no sales and no returns in the second
 EXPORT_START, EXPORT_END = "1996-01-15", "1997-06-30"
 SUGGEST_TERM, SUGGEST_N = "ring", 10
 LINK_BASE = "https://marketplace.example/dp/"
@@ -77,8 +78,9 @@ def q_product_search_literal(spark, sf_dir):
     return _search(spark, sf_dir, LITERAL_TERM, literal=True).products
 
 
-def q_product_search_blank(spark, sf_dir):
-    return _search(spark, sf_dir, "   ").products
+def q_product_search_year_without_sales(spark, sf_dir):
+    r, s = tables(spark, sf_dir)
+    return search_products(r, s, SEARCH_TERM, YEARS_WITH_GAP).products
 
 
 def q_return_reasons(spark, sf_dir):
@@ -94,10 +96,6 @@ def q_search_summary(spark, sf_dir):
     return _search(spark, sf_dir).summary
 
 
-def q_search_summary_blank(spark, sf_dir):
-    return _search(spark, sf_dir, "").summary
-
-
 def q_combined_reasons(spark, sf_dir):
     return _search(spark, sf_dir).combined_reasons
 
@@ -176,11 +174,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "product_search": q_product_search,
     "product_search_wildcard": q_product_search_wildcard,
     "product_search_literal": q_product_search_literal,
-    "product_search_blank": q_product_search_blank,
+    "product_search_year_without_sales": q_product_search_year_without_sales,
     "return_reasons": q_return_reasons,
     "products_with_nested_reasons": q_products_with_nested_reasons,
     "search_summary": q_search_summary,
-    "search_summary_blank": q_search_summary_blank,
     "combined_reasons": q_combined_reasons,
     "rate_bands": q_rate_bands,
     "export_range": q_export_range,
@@ -207,11 +204,10 @@ ORACLE: dict[str, str] = {
     "product_search": oracle.product_search(SEARCH_TERM, SEARCH_YEARS),
     "product_search_wildcard": oracle.product_search(WILDCARD_TERM, SEARCH_YEARS),
     "product_search_literal": oracle.product_search(LITERAL_TERM, SEARCH_YEARS, literal=True),
-    "product_search_blank": oracle.product_search("   ", SEARCH_YEARS),
+    "product_search_year_without_sales": oracle.product_search(SEARCH_TERM, YEARS_WITH_GAP),
     "return_reasons": oracle.return_reasons(SEARCH_TERM, SEARCH_YEARS),
     "products_with_nested_reasons": oracle.nested_reasons_json(SEARCH_TERM, SEARCH_YEARS),
     "search_summary": oracle.search_summary(SEARCH_TERM, SEARCH_YEARS),
-    "search_summary_blank": oracle.search_summary("", SEARCH_YEARS),
     "combined_reasons": oracle.combined_reasons(SEARCH_TERM, SEARCH_YEARS),
     "rate_bands": oracle.rate_bands(SEARCH_TERM, SEARCH_YEARS),
     "export_range": oracle.export_range(EXPORT_START, EXPORT_END),

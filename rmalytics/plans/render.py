@@ -32,7 +32,8 @@ from rmalytics.session import scratch_path
 from rmalytics.sources.driver import asin_of
 
 WRITE_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"',
-                 "encoding": "ISO-8859-1", "emptyValue": ""}
+                 "encoding": "ISO-8859-1", "emptyValue": "",
+                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 SPECIAL_NAME_PARTS = ('"', "\t", "\n", "\u00e9")
 

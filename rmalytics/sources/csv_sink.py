@@ -14,6 +14,9 @@ CSV_OPTIONS = {
     "nullValue": "",
     "emptyValue": "",
     "lineSep": "\r\n",
+    # the writer trims fields unless told not to
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 
@@ -31,5 +34,6 @@ def read_export_csv(spark: SparkSession, path: str, headers: dict[str, str] | No
     headers = EXPORT_HEADERS if headers is None else headers
     back = {v: k for k, v in headers.items()}
     df = spark.read.options(header="true", sep=",", quote='"', escape='"',
-                            multiLine="true", inferSchema="false").csv(path)
+                            multiLine="true", inferSchema="false", ignoreLeadingWhiteSpace="false",
+                            ignoreTrailingWhiteSpace="false").csv(path)
     return df.select(*[df[f"`{c}`"].alias(back.get(c, c)) for c in df.columns])

@@ -17,7 +17,6 @@ def test_bench_contract():
     assert len(lines) == 1
     res = json.loads(lines[0])
     assert res["unit"] == "sec" and res["sf"] == 0.001 and res["value"] > 0
-    sys.path.insert(0, ROOT)
-    from __spark_entry__ import queries
-    assert set(queries()) <= set(res["queries"])
+    from rmalytics.plans.registry import QUERIES
+    assert set(QUERIES) <= set(res["queries"])
     assert {"load_tables", "render_reports"} <= set(res["queries"])

@@ -102,12 +102,24 @@ def test_search_blank_and_no_match(golden):
                         "total_sales_2024": 0, "return_rate_2023": 0.0, "return_rate_2024": 0.0}
 
 
-def test_search_both_sales_strategies_agree(golden):
+def test_building_a_search_runs_no_job(golden, spark):
     r, s = golden
-    a = search_products(r, s, "a", years=(2023, 2024)).products.collect()
-    b = search_products(r, s, "a", years=(2023, 2024), broadcast_keys_limit=0).products.collect()
-    c = search_products(r, s, "a", years=(2023, 2024), broadcast_keys_limit=1).products.collect()
-    assert a == b == c
+    spark.sparkContext.setJobGroup("build-only", "no action")
+    res = search_products(r, s, "a", years=(2023, 2024))
+    _ = res.products, res.summary, res.reasons, res.combined_reasons, res.products_with_reasons()
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not ran
+
+
+def test_blank_sku_is_shown_and_null_skus_are_not(spark, golden):
+    _, s = golden
+    rows = [("A7", "", 1, "x", "May", 2024), ("A8", None, 1, "x", "May", 2024), ("A9", "", 1, "x", "May", 2024),
+            ("A9", "S1", 1, "x", "May", 2024)]
+    r = spark.createDataFrame(rows, "asin string, merchant_sku string, return_quantity int, return_reason string, "
+                                    "month string, year int")
+    got = {x.asin: x.merchant_skus for x in search_products(r, s, "a", years=(2024,)).products.collect()}
+    assert got == {"A7": "", "A8": None, "A9": ",S1"}
 
 
 def test_export_month_granular(golden):

@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from __spark_entry__ import queries
+from rmalytics.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +19,8 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    names = [n for n in queries() if not n.startswith(("ingest_", "export_csv", "stream_"))]
-    return {n: plan(queries()[n](spark, SF)) for n in names}
+    names = [n for n in QUERIES if not n.startswith(("ingest_", "export_csv", "stream_"))]
+    return {n: plan(QUERIES[n](spark, SF)) for n in names}
 
 
 def test_no_python_in_any_plan(plans):
@@ -62,9 +62,9 @@ def test_suggest_is_top_k(plans):
     assert "TakeOrderedAndProject" in plans["suggest_skus"]
 
 
-def test_search_fallback_join_is_co_partitioned(spark):
-    """Over the key limit: aggregated sales join the aggregated products with
-    no exchange beyond the aggregation shuffles; raw rows only ever meet
+def test_search_without_broadcasts(spark):
+    """No side small enough to broadcast: one scan of each table, a sort-merge
+    join without exchanges of its own, and raw rows only ever meet
     HashAggregates (the spelling aggregate sees pre-aggregated rows)."""
     from rmalytics.operators.search import search_products
     from rmalytics.plans.warehouse import tables
@@ -73,15 +73,16 @@ def test_search_fallback_join_is_co_partitioned(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plans = {fold: plan(search_products(r, s, "ring", (1996, 1997), broadcast_keys_limit=0,
-                                            fold_case=fold).products) for fold in (False, True)}
+        plans = {fold: plan(search_products(r, s, "ring", (1996, 1997), fold_case=fold).products)
+                 for fold in (False, True)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     for fold, p in plans.items():
         assert "SortMergeJoin" in p and "BroadcastExchange" not in p
         tree = p.split("\n\n\n")[0]
+        lines = tree.splitlines()
+        assert sum("Scan parquet" in ln for ln in lines) == 2, tree
         # exact: (asin, sku), (asin), sales (asin), final sort; folded adds (key, spelling)
         assert tree.count("Exchange (") == (5 if fold else 4), tree
-        lines = tree.splitlines()
         scan = max(i for i, ln in enumerate(lines) if "Scan parquet" in ln and ":" in ln)
         assert "HashAggregate" in "".join(lines[scan - 3:scan]) and "Object" not in lines[scan - 2]
