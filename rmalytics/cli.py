@@ -100,14 +100,12 @@ def main(argv=None, spark: SparkSession | None = None, out=None) -> int:
 
     if args.cmd == "load":
         ingest = ingest_returns if args.kind == "returns" else ingest_sales
+        where = args.rejected or f"{w}/{args.kind}_rejected"
         bad = ingest(spark, args.files, f"{w}/{args.kind}", on_error=args.on_error,
-                     multiline=not args.single_line_records)
+                     multiline=not args.single_line_records, rejected_path=where)
         if bad is not None:
-            # rejected rows go to a folder, not through the driver; only counts are printed
-            where = args.rejected or f"{w}/{args.kind}_rejected"
-            bad.write.mode("append").parquet(where)
-            counts = (spark.read.parquet(where)
-                      .groupBy(F.array_join("_errors", "; ").alias("errors"))
+            # rejected rows are in a folder of this load; only counts are printed
+            counts = (bad.groupBy(F.array_join("_errors", "; ").alias("errors"))
                       .agg(F.count(F.lit(1)).alias("rows")).orderBy("errors"))
             _emit(f"rejected rows in {where}", counts, args.json, out)
         return 0

@@ -1,10 +1,8 @@
 """Column-expression helpers (all JVM-side Spark SQL, no Python UDFs)."""
 
 from rmalytics.functions.dates import (
-    month_name,
     month_number,
     month_window_filter,
-    period,
     purchase_month_year,
     report_month_year,
     us_date_text,
@@ -30,10 +28,8 @@ __all__ = [
     "matches",
     "pct_text",
     "product_link",
-    "month_name",
     "month_number",
     "month_window_filter",
-    "period",
     "purchase_month_year",
     "py_strip",
     "rate_band",

@@ -18,14 +18,8 @@ def month_number(name: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, name), F.lit(0))
 
 
-def month_name(month_no: Column) -> Column:
-    """1..12 -> English month name; else NULL."""
-    n = month_no.cast("int")
-    return F.when(n.between(1, 12), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), n))
-
-
-def report_month_year(c: Column) -> tuple[Column, Column]:
-    """Returns-report request date ``D-Mon-YY`` / ``D-Mon-YYYY`` -> (month, year).
+def report_month_year(c: Column) -> tuple[Column, Column, Column]:
+    """Returns-report request date ``D-Mon-YY`` / ``D-Mon-YYYY`` -> (month, year, month number).
 
     The text is stripped and split on '-'; exactly three parts are required.
     The day part is not checked. The month abbreviation is matched without
@@ -38,7 +32,7 @@ def report_month_year(c: Column) -> tuple[Column, Column]:
     year = strict_int(F.get(parts, 2))  # Python int(): blanks, '+', '_' between digits
     year = F.when(year < 100, year + 2000).otherwise(year)
     valid = ok & mon.isNotNull() & year.isNotNull()
-    return (F.when(valid, F.date_format(mon, "MMMM")), F.when(valid, year))
+    return (F.when(valid, F.date_format(mon, "MMMM")), F.when(valid, year), F.when(valid, F.month(mon)))
 
 
 # Text Python's datetime.strptime(s, '%Y-%m-%dT%H:%M:%S%z') accepts (seconds 60-61
@@ -50,8 +44,8 @@ _ISO_OFFSET = (
 )
 
 
-def purchase_month_year(c: Column) -> tuple[Column, Column]:
-    """Sales purchase date ``YYYY-MM-DDTHH:MM:SS+hh:mm`` -> (month, year).
+def purchase_month_year(c: Column) -> tuple[Column, Column, Column]:
+    """Sales purchase date ``YYYY-MM-DDTHH:MM:SS+hh:mm`` -> (month, year, month number).
 
     Month and year are those of the written wall clock, not of UTC: the
     offset is validated but not applied. The calendar date must exist.
@@ -61,12 +55,7 @@ def purchase_month_year(c: Column) -> tuple[Column, Column]:
     m = F.substring_index(F.substring_index(date_part, "-", 2), "-", -1)
     d = F.trim(F.substring_index(date_part, "-", -1))
     day = F.when(c.rlike(_ISO_OFFSET), F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d"))
-    return (F.date_format(day, "MMMM"), F.year(day))
-
-
-def period(year: Column, month_no: Column) -> Column:
-    """First day of the month, or NULL for an unknown month."""
-    return F.when(month_no.between(1, 12), F.make_date(year, month_no, F.lit(1)))
+    return (F.date_format(day, "MMMM"), F.year(day), F.month(day))
 
 
 def _as_date(d) -> _dt.date:

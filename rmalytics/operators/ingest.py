@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rmalytics.functions.dates import month_number, purchase_month_year, report_month_year
+from rmalytics.functions.dates import purchase_month_year, report_month_year
 from rmalytics.functions.numbers import blank_to_zero_float, strict_int, text_flag
 from rmalytics.schemas import (
     RETURNS_HEADERS,
@@ -47,29 +47,30 @@ def prepare_returns(raw: DataFrame) -> DataFrame:
     be integers; the request date must be ``D-Mon-YY[YY]``.
     """
     text = {h: F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in RETURNS_HEADERS}
-    month, year = report_month_year(F.col("`Return request date`"))
+    month, year, number = report_month_year(F.col("`Return request date`"))
     cols = []
     for h in RETURNS_HEADERS:
         c = strict_int(F.col(f"`{h}`")) if h in RETURNS_INT_HEADERS else text[h]
         cols.append(c.alias(snake(h)))
-    out = raw.select(
+    return raw.select(
         *cols,
         month.alias("month"),
         year.alias("year"),
+        number.alias("month_no"),
         F.localtimestamp().alias("last_updated"),
         _errors(
             (month.isNull() | year.isNull(), "bad Return request date"),
             *[(strict_int(F.col(f"`{h}`")).isNull(), f"bad {h}") for h in RETURNS_INT_HEADERS],
         ).alias("_errors"),
+        *_source_file(raw),
     )
-    return _with_month_no(out)
 
 
 def prepare_sales(renamed: DataFrame) -> DataFrame:
     """39 sales columns (already renamed to snake case) -> typed row."""
     floats = {SALES_RENAME[h] for h in SALES_FLOAT_HEADERS}
     flags = {SALES_RENAME[h] for h in SALES_FLAG_HEADERS}
-    month, year = purchase_month_year(F.col("purchase_date"))
+    month, year, number = purchase_month_year(F.col("purchase_date"))
     cols = []
     for c in SALES_COLUMNS:
         if c in floats:
@@ -81,22 +82,23 @@ def prepare_sales(renamed: DataFrame) -> DataFrame:
         else:
             e = F.coalesce(F.col(c), F.lit(""))
         cols.append(e.alias(c))
-    out = renamed.select(
+    return renamed.select(
         *cols,
         month.alias("month"),
         year.alias("year"),
+        number.alias("month_no"),
         F.localtimestamp().alias("last_updated"),
         _errors(
             (month.isNull(), "bad purchase-date"),
             (strict_int(F.col("quantity")).isNull(), "bad quantity"),
         ).alias("_errors"),
+        *_source_file(renamed),
     )
-    return _with_month_no(out)
 
 
-def _with_month_no(df: DataFrame) -> DataFrame:
-    return df.withColumn("month_no", F.when(month_number(F.col("month")) > 0,
-                                             month_number(F.col("month"))))
+def _source_file(raw: DataFrame) -> list[Column]:
+    """The file a row came from, where the scan tells it (kept with rejected rows)."""
+    return [F.col("_file")] if "_file" in raw.columns else []
 
 
 ROW_ERROR_TAG = "rmalytics: rows cannot be loaded: "
@@ -114,7 +116,7 @@ def enforce(prepared: DataFrame, on_error: str = "fail"):
     """
     if on_error == "quarantine":
         bad = prepared.filter(F.size("_errors") > 0)
-        good = prepared.filter(F.size("_errors") == 0).drop("_errors")
+        good = prepared.filter(F.size("_errors") == 0).drop("_errors", "_file")
         return good, bad
     if on_error != "fail":
         raise ValueError("on_error must be 'fail' or 'quarantine'")
@@ -122,7 +124,7 @@ def enforce(prepared: DataFrame, on_error: str = "fail"):
     # a filter, not a column: column pruning cannot drop it whatever the
     # caller selects afterwards
     guard = F.when(F.size("_errors") > 0, F.raise_error(msg).isNull()).otherwise(F.lit(True))
-    return prepared.filter(guard).drop("_errors")
+    return prepared.filter(guard).drop("_errors", "_file")
 
 
 def raise_row_error(exc: Exception) -> None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import types as T
+
 # --- fixed values: must equal the report contract ---------------------------
 
 # Required columns of the returns report (tab separated, header row).
@@ -71,6 +73,21 @@ SALES_COLUMNS = tuple(SALES_RENAME.values())
 # Columns added at ingest to both tables.
 DERIVED_COLUMNS = ("month", "month_no", "year", "last_updated")
 
+
+
+def _table(columns: tuple[str, ...], kinds: dict[str, T.DataType]) -> T.StructType:
+    derived = {"month": T.StringType(), "year": T.IntegerType(), "month_no": T.IntegerType(),
+               "last_updated": T.TimestampNTZType()}
+    kinds = {**dict.fromkeys(columns, T.StringType()), **kinds, **derived}
+    return T.StructType([T.StructField(c, k) for c, k in kinds.items()])
+
+
+# Declared layouts of the two tables.
+RETURNS_SCHEMA = _table(RETURNS_COLUMNS, {snake(h): T.IntegerType() for h in RETURNS_INT_HEADERS})
+SALES_SCHEMA = _table(SALES_COLUMNS, {
+    **{SALES_RENAME[h]: T.FloatType() for h in SALES_FLOAT_HEADERS},
+    **{SALES_RENAME[h]: T.BooleanType() for h in SALES_FLAG_HEADERS}, "quantity": T.IntegerType()})
+
 # Display headers of the export file (CSV sink).
 EXPORT_HEADERS = {"asin": "ASIN", "merchant_sku": "Merchant SKU",
                   "return_quantity": "Return quantity"}

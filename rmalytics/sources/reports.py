@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rmalytics.schemas import RETURNS_HEADERS, SALES_RENAME
@@ -30,24 +35,53 @@ class ReportHeaderError(ValueError):
         super().__init__(f"{kind} report is missing columns: {', '.join(self.missing)}")
 
 
-def read_report(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
-    """All columns as strings, located by header name (order free, extras kept).
+def report_layouts(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header row: {column names: files}.
+
+    Executors read the first line of each file (as text, by the scan that
+    sees the file's start); the driver gets one line for each file.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(paths).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("at"),
+                                         F.monotonically_increasing_id().alias("line"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        names = next(csv.reader([row.header.rstrip("\r")], delimiter="\t"), [])
+        layouts.setdefault(_unique(names), []).append(unquote(row.file))
+    return layouts
+
 
-    The column names come from the first file's header. Every other file's
-    header is checked against them by the scan itself (``enforceSchema``
-    off), so a file whose columns differ or come in another order fails the
-    load instead of being read by position into the wrong columns; load such
-    files separately.
+def _unique(names: list[str]) -> tuple[str, ...]:
+    """Of columns with one name the last keeps it, as in a mapping by name."""
+    return tuple(n if n not in names[k + 1:] else f"{n} (column {k + 1})" for k, n in enumerate(names))
+
+
+def read_report(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
+    """All columns as strings, each file's located by its own header (order
+    free, extras kept, NULL in files without them), and the file as ``_file``.
 
     Quoted fields may span lines, so by default each file is parsed by one
     task (parallel across files: reports come one per month).
     ``multiline=False`` lets Spark split large files when no field holds a
     newline.
     """
+    return _read_layouts(spark, report_layouts(spark, paths), multiline)
+
+
+def _read_layouts(spark: SparkSession, layouts: dict[tuple[str, ...], list[str]], multiline: bool,
+                  trim_names: bool = False) -> DataFrame:
     opts = {**REPORT_OPTIONS, "multiLine": str(multiline).lower()}
-    names = spark.read.options(**opts).csv(paths).columns
-    schema = StructType([StructField(c, StringType()) for c in names])
-    return spark.read.options(**opts).option("enforceSchema", "false").schema(schema).csv(paths)
+    out = None
+    for names, files in layouts.items():
+        schema = StructType([StructField(c, StringType()) for c in names])
+        # the files' own header row is skipped, the names are those read from it
+        one = spark.read.options(**opts).schema(schema).csv(files)
+        one = one.select("*", F.col("_metadata.file_path").alias("_file"))
+        if trim_names:
+            one = one.toDF(*[c.strip() for c in one.columns])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return spark.createDataFrame([], "_file string") if out is None else out
 
 
 def check_returns_header(df: DataFrame) -> DataFrame:
@@ -75,56 +109,97 @@ def check_sales_header(df: DataFrame) -> DataFrame:
     return renamed
 
 
+def _prepared(spark: SparkSession, kind: str, paths, on_error: str, multiline: bool) -> DataFrame:
+    """Scan, header check and typed projection, with ``_errors`` and ``_file``.
+
+    A file without the required columns raises ReportHeaderError (``fail``),
+    or is one rejected row that names the file (``quarantine``): the other
+    files are loaded.
+    """
+    from rmalytics.operators.ingest import prepare_returns, prepare_sales
+
+    required = RETURNS_HEADERS if kind == "returns" else tuple(SALES_RENAME)
+    check = check_returns_header if kind == "returns" else check_sales_header
+    prepare = prepare_returns if kind == "returns" else prepare_sales
+    good, rejected = {}, []
+    for names, files in report_layouts(spark, paths).items():
+        try:
+            check(spark.createDataFrame([], StructType([StructField(c, StringType()) for c in names])))
+            good[names] = files
+        except ReportHeaderError as e:
+            if on_error == "fail":
+                raise
+            rejected += [(f, [str(e)]) for f in files]
+    raw = _read_layouts(spark, good, multiline, trim_names=kind == "sales") if good else \
+        spark.createDataFrame([], StructType([StructField(c, StringType()) for c in (*required, "_file")]))
+    out = prepare(check(raw))
+    if rejected:  # one row for each file
+        out = out.unionByName(spark.createDataFrame(rejected, "_file string, _errors array<string>"),
+                              allowMissingColumns=True)
+    return out
+
+
 def load_returns_report(spark: SparkSession, paths, on_error: str = "fail", multiline: bool = True):
     """Scan + header check (eager, raises ReportHeaderError) + typed projection.
 
     Returns the table-shaped DataFrame (``on_error='fail'``: an action on it
     fails at the first bad row) or ``(good, bad)`` with ``'quarantine'``.
     """
-    from rmalytics.operators.ingest import enforce, prepare_returns
+    from rmalytics.operators.ingest import enforce
 
-    raw = check_returns_header(read_report(spark, paths, multiline))
-    return enforce(prepare_returns(raw), on_error)
+    return enforce(_prepared(spark, "returns", paths, on_error, multiline), on_error)
 
 
 def load_sales_report(spark: SparkSession, paths, on_error: str = "fail", multiline: bool = True):
     """Scan + header check + typed projection of all-orders (sales) reports."""
-    from rmalytics.operators.ingest import enforce, prepare_sales
+    from rmalytics.operators.ingest import enforce
 
-    raw = check_sales_header(read_report(spark, paths, multiline))
-    return enforce(prepare_sales(raw), on_error)
+    return enforce(_prepared(spark, "sales", paths, on_error, multiline), on_error)
 
 
-def _ingest(load, spark, paths, table_path, on_error, multiline):
-    from rmalytics.operators.ingest import raise_row_error
+def _ingest(kind, spark, paths, table_path, on_error, multiline, rejected_path):
+    from rmalytics.operators.ingest import enforce, raise_row_error
     from rmalytics.sources.tables import append_table
 
-    loaded = load(spark, paths, on_error, multiline)
-    good, bad = loaded if on_error == "quarantine" else (loaded, None)
+    prepared = _prepared(spark, kind, paths, on_error, multiline)
+    if on_error != "quarantine":
+        try:
+            append_table(enforce(prepared, on_error), table_path)
+        except Exception as exc:  # noqa: BLE001 - translated below
+            raise_row_error(exc)
+        return None
+    # one parse for both outputs; rejected rows are safe before good ones count
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        good, bad = enforce(prepared, on_error)
+        where = f"{(rejected_path or table_path.rstrip('/') + '_rejected').rstrip('/')}/load={uuid.uuid4().hex[:12]}"
+        bad.write.parquet(where)
         append_table(good, table_path)
-    except Exception as exc:  # noqa: BLE001 - translated below
-        raise_row_error(exc)
-    return bad
+    finally:
+        prepared.unpersist()
+    return spark.read.parquet(where)
 
 
 def ingest_returns(spark: SparkSession, paths, table_path: str, on_error: str = "fail",
-                   multiline: bool = True):
+                   multiline: bool = True, rejected_path: str | None = None):
     """Load returns reports and append them to the table at ``table_path``.
 
     ``fail``: one bad row fails the load and nothing is written
-    (ReportRowError). ``quarantine``: good rows are appended and the bad
-    ones returned as a DataFrame with an ``_errors`` column.
+    (ReportRowError). ``quarantine``: the bad rows, with ``_errors`` and
+    ``_file``, are written to a folder of this load under ``rejected_path``
+    (default ``<table_path>_rejected``), then the good ones are appended;
+    returns this load's rejected rows, read from there.
     """
-    return _ingest(load_returns_report, spark, paths, table_path, on_error, multiline)
+    return _ingest("returns", spark, paths, table_path, on_error, multiline, rejected_path)
 
 
 def ingest_sales(spark: SparkSession, paths, table_path: str, on_error: str = "fail",
-                 multiline: bool = True):
-    """Load all-orders reports and append them to the table at ``table_path``."""
-    return _ingest(load_sales_report, spark, paths, table_path, on_error, multiline)
+                 multiline: bool = True, rejected_path: str | None = None):
+    """Load all-orders reports and append them to the table at ``table_path``
+    (policies as for returns)."""
+    return _ingest("sales", spark, paths, table_path, on_error, multiline, rejected_path)
 
 
 __all__ = ["REPORT_OPTIONS", "ReportHeaderError", "check_returns_header",
            "check_sales_header", "ingest_returns", "ingest_sales", "load_returns_report",
-           "load_sales_report", "read_report"]
+           "load_sales_report", "read_report", "report_layouts"]

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rmalytics.schemas import RETURNS_SCHEMA, SALES_SCHEMA
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table; one that has never been loaded is empty, with the declared columns."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return spark.createDataFrame([], schema)
+        raise
     # `year` is a directory name; keep it an int even where partition type
     # inference is off (the cast is a no-op otherwise and pruning still works).
-    df = spark.read.parquet(path)
     return df.withColumn("year", F.col("year").cast("int"))
 
 
 def read_returns(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path)
+    return _read(spark, path, RETURNS_SCHEMA)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path)
+    return _read(spark, path, SALES_SCHEMA)
 
 
 def append_table(df: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:

@@ -40,12 +40,15 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def report_stream(spark: SparkSession, landing_dir: str, table_path: str, kind: str = "returns",
                   checkpoint_dir: str | None = None, on_error: str = "quarantine",
                   file_glob: str = "*", max_files_per_trigger: int = 64,
-                  available_now: bool = False, processing_time: str = "1 minute") -> StreamingQuery:
+                  available_now: bool = False, processing_time: str = "1 minute",
+                  multiline: bool = True) -> StreamingQuery:
     """Start the stream; returns the running query.
 
     ``checkpoint_dir`` defaults to ``<table_path>_checkpoint``.
     ``available_now=True`` loads what is there and stops (useful for
-    scheduled runs and tests).
+    scheduled runs and tests). ``multiline=False`` lets large files be split.
+    A file without the required columns is a rejected row of its own
+    (``quarantine``) and doesn't hold up the others.
     """
     if kind not in _LOADERS:
         raise ValueError("kind must be 'returns' or 'sales'")
@@ -61,7 +64,7 @@ def report_stream(spark: SparkSession, landing_dir: str, table_path: str, kind:
         paths = sorted(r.path for r in batch.collect())
         if not paths:
             return
-        loaded = load(batch.sparkSession, paths, on_error)
+        loaded = load(batch.sparkSession, paths, on_error, multiline)
         if on_error == "quarantine":
             good, bad = loaded
             _write_batch(good, table_path, batch_id)

@@ -64,3 +64,17 @@ def test_stream_fail_policy_stops_without_writing(spark, tmp_path):
     assert q.exception() is not None
     files = [f for _, _, fs in os.walk(table) for f in fs if f.endswith(".parquet")]
     assert files == []
+
+
+def test_a_file_with_other_columns_does_not_hold_up_the_stream(spark, tmp_path):
+    from rmalytics.schemas import RETURNS_HEADERS
+
+    landing, table, ckpt = (str(tmp_path / x) for x in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+    write_returns(f"{landing}/a.tsv", [returns_row("5-Jan-24", "2")])
+    write_returns(f"{landing}/b.tsv", [returns_row("5-Feb-24", "3")], header=list(reversed(RETURNS_HEADERS)))
+    write_returns(f"{landing}/c.tsv", [returns_row("5-Mar-24", "4")], header=RETURNS_HEADERS[:-1])
+    run_once(spark, landing, table, ckpt)
+    assert sorted(r.month for r in read_returns(spark, table).collect()) == ["February", "January"]
+    rejected = spark.read.parquet(table + "_rejected").collect()
+    assert len(rejected) == 1 and "missing columns" in rejected[0]["_errors"] and rejected[0]["_file"].endswith("c.tsv")
