@@ -46,7 +46,7 @@ def year_series(spark: SparkSession, returns: DataFrame, years: list[int]) -> Da
     """The pivot for the requested years only; a year without data gives
     twelve zeros. The pivot is computed for those years only (partition
     pruning), and the requested list is a handful of literals."""
-    wanted = spark.createDataFrame([(int(y),) for y in years], "year int")
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(int(y)) for y in years]).cast("array<int>")).alias("year"))
     piv = monthly_pivot(returns.filter(F.col("year").isin(*[int(y) for y in years])))
-    out = F.broadcast(wanted).join(piv, "year", "left").na.fill(0, subset=[*SLOTS, "total"])
+    out = wanted.join(piv, "year", "left").na.fill(0, subset=[*SLOTS, "total"])
     return out.select("year", *SLOTS, "total").orderBy("year")

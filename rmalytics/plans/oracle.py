@@ -339,7 +339,44 @@ returns AS (
 sales AS ("""
 
 
+# Returns with gaps: quantities divisible by 7 have an unknown month, by 11 no
+# ASIN, by 13 a blank SKU.
+RETURNS_WITH_GAPS = """,
+returns AS (
+  SELECT * REPLACE (
+    CASE WHEN return_quantity % 7 = 0 THEN 'Smarch' ELSE month END AS month,
+    CASE WHEN return_quantity % 7 = 0 THEN NULL ELSE month_no END AS month_no,
+    CASE WHEN return_quantity % 11 = 0 THEN NULL ELSE asin END AS asin,
+    CASE WHEN return_quantity % 13 = 0 THEN '' ELSE merchant_sku END AS merchant_sku)
+  FROM returns_as_loaded
+),
+sales AS ("""
+
+# Returns whose SKUs have blanks around them: even quantities spaces, those
+# divisible by 3 a tab before.
+PADDED_RETURNS = """,
+returns AS (
+  SELECT * REPLACE (
+    CASE WHEN return_quantity % 2 = 0 THEN '  ' || merchant_sku || ' '
+         WHEN return_quantity % 3 = 0 THEN chr(9) || merchant_sku ELSE merchant_sku END AS merchant_sku)
+  FROM returns_as_loaded
+),
+sales AS ("""
+
+
+def _over(sql: str, returns: str) -> str:
+    out = sql.replace("\nreturns AS (\n", "\nreturns_as_loaded AS (\n", 1)
+    return out.replace(",\nsales AS (", returns, 1)
+
+
 def mixed_case(sql: str) -> str:
     """Rewrite a plan's SQL to read the mixed-case returns."""
-    out = sql.replace("\nreturns AS (\n", "\nreturns_as_loaded AS (\n", 1)
-    return out.replace(",\nsales AS (", MIXED_CASE_RETURNS, 1)
+    return _over(sql, MIXED_CASE_RETURNS)
+
+
+def with_gaps(sql: str) -> str:
+    return _over(sql, RETURNS_WITH_GAPS)
+
+
+def padded(sql: str) -> str:
+    return _over(sql, PADDED_RETURNS)

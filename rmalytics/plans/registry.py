@@ -27,6 +27,7 @@ TOP_YEAR = 1996
 TOP_N = 50
 SEARCH_TERM = "ring"
 SEARCH_YEARS = (1996, 1997)
+GAP_TERM = "b"  # every ASIN; a blank SKU has no term of its own
 WILDCARD_TERM = "r_ng-1"
 LITERAL_TERM = "-1"
 SERIES_YEARS = (1996, 2025)
@@ -146,6 +147,48 @@ def mixed_case_returns(returns: DataFrame) -> DataFrame:
     })
 
 
+def returns_with_gaps(returns: DataFrame) -> DataFrame:
+    """Returns of which some have an unknown month (quantities divisible by
+    7), no ASIN (by 11) or a blank SKU (by 13)."""
+    q = F.col("return_quantity")
+    return returns.withColumns({
+        "month": F.when(q % 7 == 0, "Smarch").otherwise(F.col("month")),
+        "month_no": F.when(q % 7 != 0, F.col("month_no")),
+        "asin": F.when(q % 11 != 0, F.col("asin")),
+        "merchant_sku": F.when(q % 13 == 0, "").otherwise(F.col("merchant_sku")),
+    })
+
+
+def padded_returns(returns: DataFrame) -> DataFrame:
+    """Returns whose SKUs have spaces or a tab around them."""
+    q, sku = F.col("return_quantity"), F.col("merchant_sku")
+    return returns.withColumn("merchant_sku", F.when(q % 2 == 0, F.concat(F.lit("  "), sku, F.lit(" ")))
+                              .when(q % 3 == 0, F.concat(F.lit("\t"), sku)).otherwise(sku))
+
+
+def q_returns_by_year_month_gaps(spark, sf_dir):
+    return returns_by_year_month(returns_with_gaps(tables(spark, sf_dir)[0]))
+
+
+def q_monthly_pivot_gaps(spark, sf_dir):
+    return monthly_pivot(returns_with_gaps(tables(spark, sf_dir)[0]))
+
+
+def q_nested_reasons_gaps(spark, sf_dir):
+    r, s = tables(spark, sf_dir)
+    p = search_products(returns_with_gaps(r), s, GAP_TERM, SEARCH_YEARS).products_with_reasons()
+    return p.withColumn("return_reasons_json", F.to_json("return_reasons")).drop("return_reasons")
+
+
+def q_export_range_gaps(spark, sf_dir):
+    return export_returns(returns_with_gaps(tables(spark, sf_dir)[0]), EXPORT_START, EXPORT_END)
+
+
+def q_export_padded_roundtrip(spark, sf_dir):
+    r = padded_returns(tables(spark, sf_dir)[0])
+    return roundtrip.export_csv_roundtrip(spark, r, EXPORT_START, EXPORT_END)
+
+
 def q_top_returned_mixed_case(spark, sf_dir):
     r, s = tables(spark, sf_dir)
     return top_returned(mixed_case_returns(r), s, TOP_YEAR, TOP_N)
@@ -162,7 +205,7 @@ def q_export_mixed_case(spark, sf_dir):
 
 
 def q_export_csv_roundtrip(spark, sf_dir):
-    return roundtrip.export_csv_roundtrip(spark, sf_dir, EXPORT_START, EXPORT_END)
+    return roundtrip.export_csv_roundtrip(spark, tables(spark, sf_dir)[0], EXPORT_START, EXPORT_END)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -189,6 +232,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_mixed_case": q_export_mixed_case,
     "monthly_series_json": q_monthly_series_json,
     "export_csv_roundtrip": q_export_csv_roundtrip,
+    "returns_by_year_month_gaps": q_returns_by_year_month_gaps,
+    "monthly_pivot_gaps": q_monthly_pivot_gaps,
+    "nested_reasons_gaps": q_nested_reasons_gaps,
+    "export_range_gaps": q_export_range_gaps,
+    "export_padded_roundtrip": q_export_padded_roundtrip,
     "ingest_returns_roundtrip": roundtrip.ingest_returns_roundtrip,
     "ingest_returns_quarantine": roundtrip.ingest_returns_quarantine,
     "ingest_sales_roundtrip": roundtrip.ingest_sales_roundtrip,
@@ -219,6 +267,11 @@ ORACLE: dict[str, str] = {
     "export_mixed_case": oracle.mixed_case(oracle.export_range(EXPORT_START, EXPORT_END)),
     "monthly_series_json": oracle.monthly_series_json(),
     "export_csv_roundtrip": oracle.export_range(EXPORT_START, EXPORT_END),
+    "returns_by_year_month_gaps": oracle.with_gaps(oracle.returns_by_year_month()),
+    "monthly_pivot_gaps": oracle.with_gaps(oracle.monthly_pivot()),
+    "nested_reasons_gaps": oracle.with_gaps(oracle.nested_reasons_json(GAP_TERM, SEARCH_YEARS)),
+    "export_range_gaps": oracle.with_gaps(oracle.export_range(EXPORT_START, EXPORT_END)),
+    "export_padded_roundtrip": oracle.padded(oracle.export_range(EXPORT_START, EXPORT_END)),
     "ingest_returns_roundtrip": oracle.ingest_returns_roundtrip(),
     "ingest_returns_quarantine": oracle.ingest_returns_quarantine(),
     "ingest_sales_roundtrip": oracle.ingest_sales_roundtrip(),

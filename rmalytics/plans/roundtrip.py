@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from rmalytics.operators.export import export_returns
 from rmalytics.plans import render
-from rmalytics.plans.warehouse import tables
 from rmalytics.session import scratch_path
 from rmalytics.sources.csv_sink import read_export_csv, write_export_csv
-from rmalytics.sources.reports import ingest_returns, ingest_sales, load_returns_report
+from rmalytics.sources.reports import ingest_returns, ingest_sales
 from rmalytics.sources.tables import read_returns, read_sales
 
 
@@ -35,9 +34,12 @@ def _returns_summary(t: DataFrame) -> DataFrame:
 
 
 def ingest_returns_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with a slash date or a non-integer quantity are split off."""
+    """Rows with a slash date or a non-integer quantity are split off; both
+    written tables are read back."""
+    base = scratch_path(spark, "returns-quarantine")
     src = render.rendered(spark, sf_dir, "returns_with_bad_rows")
-    good, bad = load_returns_report(spark, src, on_error="quarantine")
+    bad = ingest_returns(spark, src, f"{base}/table", on_error="quarantine")
+    good = read_returns(spark, f"{base}/table")
     g = good.select(F.lit("loaded").alias("status"), F.lit("").alias("error"))
     b = bad.select(F.lit("rejected").alias("status"), F.array_join("_errors", "; ").alias("error"))
     return g.unionByName(b).groupBy("status", "error").agg(F.count(F.lit(1)).alias("rows"))
@@ -56,9 +58,8 @@ def ingest_sales_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def export_csv_roundtrip(spark: SparkSession, sf_dir: str, start, end) -> DataFrame:
-    r, _ = tables(spark, sf_dir)
-    path = write_export_csv(export_returns(r, start, end), scratch_path(spark, "export"))
+def export_csv_roundtrip(spark: SparkSession, returns: DataFrame, start, end) -> DataFrame:
+    path = write_export_csv(export_returns(returns, start, end), scratch_path(spark, "export"))
     back = read_export_csv(spark, path)
     return back.select("asin", "merchant_sku", F.col("return_quantity").cast("bigint").alias("return_quantity"))
 
