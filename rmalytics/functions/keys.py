@@ -57,9 +57,29 @@ def fold_text(s: str) -> str:
     return k
 
 
-def key_of(name: str, fold_case: bool) -> Column:
-    """The grouping key of column ``name``."""
-    return fold(F.col(name)) if fold_case else F.col(name)
+# Folded keys that the stored tables carry beside the text, made at ingest.
+STORED_KEYS = {"asin": "asin_key", "merchant_sku": "sku_key", "return_reason": "reason_key"}
+
+
+def with_stored_keys(df: DataFrame) -> DataFrame:
+    """Adds the folded key of each text column that tables keep one for."""
+    return df.withColumns({key: fold(F.col(c)) for c, key in STORED_KEYS.items() if c in df.columns})
+
+
+def without_stored_keys(df: DataFrame) -> DataFrame:
+    """For frames whose texts are changed: keys are folded anew where needed."""
+    return df.drop(*STORED_KEYS.values())
+
+
+def folded(df: DataFrame, name: str) -> Column:
+    """The folded key of column ``name``: the stored one if ``df`` has it."""
+    key = STORED_KEYS.get(name)
+    return F.col(key) if key in df.columns else fold(F.col(name))
+
+
+def key_of(df: DataFrame, name: str, fold_case: bool) -> Column:
+    """The grouping key of column ``name`` of ``df``."""
+    return folded(df, name) if fold_case else F.col(name)
 
 
 def spelling(name: str) -> Column:
@@ -90,7 +110,7 @@ def keyed_sums(df: DataFrame, cols: list[str], sums: dict[str, Column], fold_cas
     if not fold_case:
         out = df.groupBy(*cols).agg(*named.values()) if named else df.select(*cols).distinct()
         return out.select(*[F.col(c).alias(key_name(c)) for c in cols], "*")
-    keyed = df.select(*[fold(F.col(c)).alias(key_name(c)) for c in cols], *cols,
+    keyed = df.select(*[folded(df, c).alias(key_name(c)) for c in cols], *cols,
                       *[e.alias(n) for n, e in sums.items()])
     pairs = keyed.groupBy(*[key_name(c) for c in cols], *cols).agg(
         *[F.sum(n).alias(n) for n in sums]) if sums else \

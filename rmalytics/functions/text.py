@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters Python's str.strip() removes: everything str.isspace() accepts.
@@ -49,14 +49,14 @@ def like_pattern(term: str, literal: bool = False) -> str:
     return "%" + "".join(out) + "%"
 
 
-def matches(term: str, *cols: str, literal: bool = False) -> Column:
-    """OR of ``LIKE '%term%'`` over ``cols``, ignoring letter case and accents
-    as the source database's collation does."""
-    from rmalytics.functions.keys import fold, fold_text
+def matches(df: DataFrame, term: str, *cols: str, literal: bool = False) -> Column:
+    """OR of ``LIKE '%term%'`` over ``cols`` of ``df``, ignoring letter case and
+    accents as the source database's collation does (on stored keys if any)."""
+    from rmalytics.functions.keys import fold_text, folded
 
     pattern = fold_text(like_pattern(term, literal))
     cond = None
     for c in cols:
-        one = fold(F.col(c)).like(pattern)
+        one = folded(df, c).like(pattern)
         cond = one if cond is None else (cond | one)
     return F.coalesce(cond, F.lit(False))

@@ -87,7 +87,7 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     """
     years = tuple(int(y) for y in years)
     term = (term or "").strip()
-    matched = returns.filter(matches(term, "merchant_sku", "asin", literal=literal)) if term \
+    matched = returns.filter(matches(returns, term, "merchant_sku", "asin", literal=literal)) if term \
         else returns.limit(0)
 
     # (asin, sku) first: collapses a hot ASIN to one row per SKU map-side,
@@ -104,7 +104,7 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     # Rows of other years add 0 to every sales_<y>, so only the wanted
     # years' partitions are read.
     sales_y = sales.filter(F.col("year").isin(*years)) if years else sales.limit(0)
-    sales_y = sales_y.select(key_of("asin", fold_case).alias("asin_key"), "year", "quantity")
+    sales_y = sales_y.select(key_of(sales_y, "asin", fold_case).alias("asin_key"), "year", "quantity")
     sold = sales_y.groupBy("asin_key").agg(
         *[F.sum(e).cast("bigint").alias(n) for n, e in _year_sums(years, "quantity", "sales").items()])
 
@@ -142,12 +142,12 @@ def nest_reasons(products: DataFrame, reasons: DataFrame, years, fold_case: bool
     entry = F.struct(*([(-F.col(last)).alias("_k")] if last else []),
                      F.col("return_reason").alias("reason"),
                      *[F.col(f"count_{y}") for y in years])
-    nested = (reasons.groupBy(key_of("asin", fold_case).alias("_asin"))
+    nested = (reasons.groupBy(key_of(reasons, "asin", fold_case).alias("_asin"))
               .agg(F.sort_array(F.collect_list(entry)).alias("_r")))
     drop_key = F.transform("_r", lambda e: F.struct(
         e["reason"].alias("reason"), *[e[f"count_{y}"].alias(f"count_{y}") for y in years]))
     nested = nested.select("_asin", drop_key.alias("return_reasons"))
-    j = products.join(nested, key_of("asin", fold_case).eqNullSafe(nested["_asin"]), "left")
+    j = products.join(nested, key_of(products, "asin", fold_case).eqNullSafe(nested["_asin"]), "left")
     empty = F.array().cast(nested.schema["return_reasons"].dataType)
     return j.drop("_asin").withColumn("return_reasons", F.coalesce("return_reasons", empty))
 

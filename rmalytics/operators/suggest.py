@@ -14,9 +14,8 @@ def suggest_skus(returns: DataFrame, term: str, n: int = 10, literal: bool = Fal
     (case-insensitive, not trimmed). A blank term gives no rows.
     Plan: filtered scan -> partial/final distinct -> top-n. With
     ``fold_case`` SKUs differing only in letter case count once."""
-    skus = returns.select("merchant_sku")
     if not term:
-        return skus.limit(0)
-    hits = skus.filter(matches(term, "merchant_sku", literal=literal))
+        return returns.select("merchant_sku").limit(0)
+    hits = returns.filter(matches(returns, term, "merchant_sku", literal=literal))
     return keyed_sums(hits, ["merchant_sku"], {}, fold_case).select("merchant_sku") \
         .orderBy("merchant_sku").limit(n)

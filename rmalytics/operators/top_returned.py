@@ -26,8 +26,8 @@ def top_returned(returns: DataFrame, sales: DataFrame, year: int, n: int = 50,
     winners only.
     """
     r = (returns.filter(F.col("year") == year)
-         .select(key_of("asin", fold_case).alias("asin_key"),
-                 key_of("merchant_sku", fold_case).alias("sku_key"),
+         .select(key_of(returns, "asin", fold_case).alias("asin_key"),
+                 key_of(returns, "merchant_sku", fold_case).alias("sku_key"),
                  "asin", "merchant_sku", "return_quantity"))
     per_sku = (r.groupBy("asin_key", "sku_key")
                .agg(F.sum("return_quantity").cast("bigint").alias("total_returns")))
@@ -36,7 +36,7 @@ def top_returned(returns: DataFrame, sales: DataFrame, year: int, n: int = 50,
 
     winners = top.select(F.col("asin_key").alias("w_asin"))
     sold = (sales.filter(F.col("year") == year)
-            .select(key_of("asin", fold_case).alias("asin_key"), "quantity")
+            .select(key_of(sales, "asin", fold_case).alias("asin_key"), "quantity")
             .join(winners, F.col("asin_key") == F.col("w_asin"), "left_semi")
             .groupBy("asin_key")
             .agg(F.sum("quantity").cast("bigint").alias("total_sold")))

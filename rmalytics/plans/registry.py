@@ -20,6 +20,7 @@ from rmalytics.operators.suggest import suggest_skus
 from rmalytics.operators.top_returned import top_returned
 from rmalytics.plans import oracle, roundtrip
 from rmalytics.plans.warehouse import tables
+from rmalytics.functions.keys import without_stored_keys
 from rmalytics.functions.display import count_text, pct_text, product_link
 from rmalytics.sources.json_out import series_json
 
@@ -140,7 +141,7 @@ def mixed_case_returns(returns: DataFrame) -> DataFrame:
     quantities divisible by 3 show the ASIN in lower case."""
     q = F.col("return_quantity")
     sku = F.col("merchant_sku")
-    return returns.withColumns({
+    return without_stored_keys(returns).withColumns({
         "merchant_sku": F.when(q % 5 == 0, F.translate(sku, "e", chr(0xE9)))
                          .when(q % 2 == 1, F.upper(sku)).otherwise(sku),
         "asin": F.when(q % 3 == 0, F.lower("asin")).otherwise(F.col("asin")),
@@ -151,7 +152,7 @@ def returns_with_gaps(returns: DataFrame) -> DataFrame:
     """Returns of which some have an unknown month (quantities divisible by
     7), no ASIN (by 11) or a blank SKU (by 13)."""
     q = F.col("return_quantity")
-    return returns.withColumns({
+    return without_stored_keys(returns).withColumns({
         "month": F.when(q % 7 == 0, "Smarch").otherwise(F.col("month")),
         "month_no": F.when(q % 7 != 0, F.col("month_no")),
         "asin": F.when(q % 11 != 0, F.col("asin")),
@@ -162,7 +163,7 @@ def returns_with_gaps(returns: DataFrame) -> DataFrame:
 def padded_returns(returns: DataFrame) -> DataFrame:
     """Returns whose SKUs have spaces or a tab around them."""
     q, sku = F.col("return_quantity"), F.col("merchant_sku")
-    return returns.withColumn("merchant_sku", F.when(q % 2 == 0, F.concat(F.lit("  "), sku, F.lit(" ")))
+    return without_stored_keys(returns).withColumn("merchant_sku", F.when(q % 2 == 0, F.concat(F.lit("  "), sku, F.lit(" ")))
                               .when(q % 3 == 0, F.concat(F.lit("\t"), sku)).otherwise(sku))
 
 

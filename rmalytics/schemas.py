@@ -78,7 +78,10 @@ DERIVED_COLUMNS = ("month", "month_no", "year", "last_updated")
 def _table(columns: tuple[str, ...], kinds: dict[str, T.DataType]) -> T.StructType:
     derived = {"month": T.StringType(), "year": T.IntegerType(), "month_no": T.IntegerType(),
                "last_updated": T.TimestampNTZType()}
-    kinds = {**dict.fromkeys(columns, T.StringType()), **kinds, **derived}
+    # the keys of functions.keys.STORED_KEYS, beside the texts they belong to
+    keys = {k: T.StringType() for c, k in (("asin", "asin_key"), ("merchant_sku", "sku_key"),
+                                           ("return_reason", "reason_key")) if c in columns}
+    kinds = {**dict.fromkeys(columns, T.StringType()), **kinds, **derived, **keys}
     return T.StructType([T.StructField(c, k) for c, k in kinds.items()])
 
 

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rmalytics.functions.keys import with_stored_keys
 from rmalytics.schemas import RETURNS_SCHEMA, SALES_SCHEMA
 
 
@@ -36,8 +37,9 @@ def append_table(df: DataFrame, path: str, max_records_per_file: int = 5_000_000
     One job through Spark's file commit protocol: a failed load leaves no
     visible files. Rows are clustered by month inside each year partition so
     row-group statistics on ``month_no`` skip data for month-range queries.
+    The folded text keys that operators group and match on are stored too.
     """
-    (df.sortWithinPartitions("year", "month_no")
+    (with_stored_keys(df).sortWithinPartitions("year", "month_no")
        .write.mode("append")
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy("year")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rmalytics.functions.keys import with_stored_keys
 from rmalytics.sources.reports import load_returns_report, load_sales_report
 
 _BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -29,7 +30,7 @@ _LOADERS = {"returns": load_returns_report, "sales": load_sales_report}
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("load_id", F.lit(f"b{batch_id:09d}"))
+    (with_stored_keys(df).withColumn("load_id", F.lit(f"b{batch_id:09d}"))
        .sortWithinPartitions("year", "month_no")
        .write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
