@@ -258,7 +258,8 @@ SELECT CAST(CASE WHEN l_linenumber % 2 = 0 THEN year(l_shipdate) % 100 + 2000
        CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS return_units,
        COUNT(*) AS return_lines,
        CAST(SUM(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS BIGINT) AS blank_reasons,
-       CAST(SUM(length({name})) AS BIGINT) AS name_chars
+       CAST(SUM(length({name})) AS BIGINT) AS name_chars,
+       COUNT(*) AS mapped_lines, COUNT(*) AS stamped_lines
 FROM lineitem WHERE l_returnflag = 'R'
 GROUP BY 1, 2"""
 
@@ -284,7 +285,8 @@ SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
                 THEN 1 ELSE 0 END) AS BIGINT) AS zero_prices,
        CAST(SUM(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS BIGINT) AS null_prices,
        CAST(SUM(CASE WHEN l_linenumber <> 5 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT)
-         AS business_lines
+         AS business_lines,
+       COUNT(*) AS mapped_lines, COUNT(*) AS stamped_lines
 FROM lineitem
 GROUP BY 1, 2"""
 

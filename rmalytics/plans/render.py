@@ -11,11 +11,15 @@ returns report
   item name:    line == 3 holds a quote, a tab, a newline and an e-acute
   reason:       line == 7 blank; else l_linestatus
   columns:      written in reverse order, plus one extra column
+  other text:   '<header>:<order id>', so that no two columns can be mixed up
 sales report
   purchase date: l_shipdate at 00:30 wall clock; offset by line % 3:
                  '+09:00', 'Z', '-0500'
   item-price:   line == 1 blank, line == 2 a no-break space, line == 7 '12.5x'
   is-business-order: even line 'TRUE', odd 'false', line == 5 'yes'
+  other floats: 10 * line + the column's place among the floats; merchant-order-id holds the line
+  signature-confirmation-recommended: line % 3 == 0 'True', else 'no'
+  other text:   '<header>:<order id>'
   header names: ' asin ' and 'quantity ' padded
 """
 
@@ -27,7 +31,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rmalytics.schemas import RETURNS_HEADERS, SALES_HEADERS
+from rmalytics.schemas import RETURNS_HEADERS, SALES_FLOAT_HEADERS, SALES_HEADERS
 from rmalytics.session import scratch_path
 from rmalytics.sources.driver import asin_of
 
@@ -38,6 +42,18 @@ WRITE_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"',
 SPECIAL_NAME_PARTS = ('"', "\t", "\n", "\u00e9")
 
 
+# Headers that the reports fill by a rule of their own.
+RETURNS_FILLED = ("Order ID", "Order date", "Return request date", "ASIN", "Merchant SKU", "Item Name",
+                  "Return quantity", "Order quantity", "Return Reason", "Order Amount")
+SALES_FILLED = ("amazon-order-id", "purchase-date", "asin", "sku", "quantity", "is-business-order",
+                "signature-confirmation-recommended", "merchant-order-id", *SALES_FLOAT_HEADERS)
+
+
+def filler(header: str, order_id: F.Column) -> F.Column:
+    """Text that tells its column and row."""
+    return F.concat(F.lit(f"{header}:"), order_id.cast("string"))
+
+
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
 
@@ -67,7 +83,7 @@ def returns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Return Reason": F.when(ln == 7, F.lit("")).otherwise(F.col("l_linestatus")),
         "Order Amount": F.col("l_extendedprice").cast("string"),
     }
-    cols = [values.get(h, F.lit("")).alias(h) for h in reversed(RETURNS_HEADERS)]
+    cols = [values.get(h, filler(h, F.col("l_orderkey"))).alias(h) for h in reversed(RETURNS_HEADERS)]
     return li.select(*cols, F.lit("x").alias("Extra note"))
 
 
@@ -87,10 +103,12 @@ def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quantity": F.col("l_quantity").cast("int").cast("string"),
         "item-price": price,
         "is-business-order": business,
-        "signature-confirmation-recommended": F.lit("false"),
+        "signature-confirmation-recommended": F.when(ln % 3 == 0, "True").otherwise("no"),
+        "merchant-order-id": ln.cast("string"),
     }
+    values |= {h: (ln * 10 + k).cast("string") for k, h in enumerate(SALES_FLOAT_HEADERS) if h not in values}
     header = {"asin": " asin ", "quantity": "quantity "}
-    return li.select(*[values.get(h, F.lit("")).alias(header.get(h, h)) for h in SALES_HEADERS])
+    return li.select(*[values.get(h, filler(h, F.col("l_orderkey"))).alias(header.get(h, h)) for h in SALES_HEADERS])
 
 
 def write_report(df: DataFrame, path: str, key: str, files: int | None = None) -> str:
