@@ -1,22 +1,22 @@
 """N-gram Jaccard join under several global token orders.
 
-A document is the set of its distinct ``k``-word shingles (64-bit hashes). Two
-sets of n and m shingles reach the similarity t only if each shares one of its
-first ``n - ceil(t * n) + 1`` shingles, in any order of all shingles, with the
-other's. Three orders are used, and a pair is compared in full only if it
-passes all of them:
-
-1. a hash order, with shingles that very many documents hold put last: its
-   prefixes are what the whole corpus shuffles;
-2. rarest first, counted among the documents that the first order leaves:
-   shingles held once can't be shared, so prefixes shrink to few shingles;
-3. another hash order, taken on the two sets when they meet.
+A document is the set of its distinct ``k``-word shingles (64-bit hashes). Take
+any order of all shingles, c = ceil(t * n) and l = 1 + n // 16 for a set of n:
+if two sets reach the similarity t, then their first ``n - c + l`` shingles have
+at least the smaller l in common (of the m >= c shared ones, the l-th has m - l
+others behind it). Candidates must pass this under three orders:
+
+1. a hash order with shingles that very many documents hold put last. Its
+   prefixes are shuffled by shingle; a document stays if enough of its prefix
+   is shared with documents of a near size, a pair if enough is shared by both.
+2. and 3.: other hash orders, taken on the two sets when they meet, before all
+   their shingles are compared.
 
 Equal sets are one document from the start. Links are found in two steps, so
 that groups of near copies don't make all their pairs: every document is
 compared with the two leaders (smallest member) that it shares most prefix
-shingles with, and the links found give components; then all pairs with a
-common prefix shingle *across* components are compared. A pair within a
+shingles with, and the links found give components; then all pairs that share
+enough of their prefixes *across* components are compared. A pair within a
 component can add nothing to it, so the components are exact. Shingles of many
 documents are dealt to blocks, and pairs of blocks to tasks.
 
@@ -31,9 +31,10 @@ are equal sets; other columns are left out.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,11 @@ from rmalytics.session import scratch_path
 WORDS = 5
 HEAVY = 65_536
 #: in so many sets of one piece of text a shingle is reported as frequent
-OFTEN = 8
+OFTEN = 4
+#: prefixes are longer by 1 + n // MORE than to share one shingle, and share so many
+MORE = 16
 BLOCK = 512
-_SALT1, _SALT2, _STEP = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+_SALT1, _SALT2, _SALT3, _STEP = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0xD6E8FEB86659FD93))
 _TOP = np.uint64(1 << 63)
 
 
@@ -87,8 +90,13 @@ def least_shared(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def in_common(n: int) -> int:
+    """Shingles that prefixes of linked sets have in common, for the smaller set's n."""
+    return 1 + n // MORE
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
-    return n - least_shared(n, num, den) + 1
+    return min(n, n - least_shared(n, num, den) + in_common(n))
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -97,7 +105,7 @@ def size_class(n: int, num: int, den: int) -> int:
 
 
 class Order:
-    """The first (or third) order: hashed, frequent shingles last and rarer of them first."""
+    """Hashed, frequent shingles last and the rarer of them first."""
 
     def __init__(self, heavy: np.ndarray, salt: np.uint64):
         self.heavy, self.salt = np.sort(heavy), salt
@@ -186,103 +194,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """rid and the whole set (as bytes) of rows with rid and text."""
+    """rid and the whole set (as bytes) of rows with rid and text; rows of one rid are in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             row = 0
             for sets in shingle_sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(sets)], pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "tokens"])
+                rids, blobs = [], []
+                for rid, x in zip(batch.column(0)[row : row + len(sets)].to_pylist(), sets, strict=True):
+                    if rid not in seen:
+                        seen.add(rid)
+                        rids.append(rid)
+                        blobs.append(x.tobytes())
                 row += len(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(blobs, pa.binary())], ["rid", "tokens"])
 
     return rows.select("rid", "text").mapInArrow(run, "rid long, tokens binary")
 
 
-def _light_tokens(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(token, rid) of the shingles that aren't among the frequent ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.sort(heavy)
-        for batch in batches:
-            rids, tokens = [], []
-            for rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(blob, dtype=np.uint64)
-                if len(hot):
-                    at = np.searchsorted(hot, x)
-                    at[at == len(hot)] = 0
-                    x = x[hot[at] != x]
-                tokens.append(x)
-                rids.append(np.full(len(x), rid, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(rids))], ["token", "rid"])
-
-    return sets.mapInArrow(run, "token long, rid long")
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those of tokens with more than one row, with their number."""
-    token, rid = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def closed(token, rid):
-        if not len(token):
-            return None
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        df = np.diff(np.append(first, len(token)))
-        each = np.repeat(df, df)
-        keep = each > 1
-        return pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(token[keep]), pa.array(each[keep].astype(np.int64))], ["rid", "token", "df"])
-
-    for batch in batches:
-        token = np.concatenate([token, batch.column(0).to_numpy(zero_copy_only=False)])
-        rid = np.concatenate([rid, batch.column(1).to_numpy(zero_copy_only=False)])
-        end = np.searchsorted(token, token[-1]) if len(token) else 0
-        if (out := closed(token[:end], rid[:end])) is not None:
-            yield out
-        token, rid = token[end:], rid[end:]
-    if (out := closed(token, rid)) is not None:
-        yield out
-
-
-def _rare_first(sets: DataFrame, shared: DataFrame, heavy: np.ndarray, num: int, den: int) -> DataFrame:
-    """(token, rid): the second order's prefixes, without shingles that one set holds.
-
-    ``shared`` has (rid, token, df) of the shared shingles that aren't frequent.
-    """
-    lists = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # one set's shingles
-    rows = sets.join(lists, "rid", "left").select("rid", "tokens", F.coalesce(F.transform("t", lambda x: x["token"]), F.array().cast("array<bigint>")).alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, place = np.sort(heavy), np.argsort(heavy, kind="stable")
-        for batch in batches:
-            rids, tokens = [], []
-            for rid, blob, light in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(blob, dtype=np.uint64)
-                own = np.empty(0, np.uint64)
-                if len(hot):
-                    at = np.searchsorted(hot, x)
-                    at[at == len(hot)] = 0
-                    is_hot = hot[at] == x
-                    own = x[is_hot][np.argsort(-place[at[is_hot]], kind="stable")]
-                alone = len(x) - len(own) - len(light)
-                left = prefix_size(len(x), num, den) - alone
-                if left > 0:
-                    take = np.concatenate([np.array(light[:left], dtype=np.int64), own[: max(0, left - len(light))].view(np.int64)])
-                    tokens.append(take)
-                    rids.append(np.full(len(take), rid, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(rids))], ["token", "rid"])
-
-    return rows.mapInArrow(run, "token long, rid long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, heavy: np.ndarray, num: int, den: int) -> DataFrame:
-    """x, y, linked of the pairs (x, y): further orders' prefixes first, then all shingles."""
+    """x, y, linked of the pairs (x, y): the further orders' prefixes first, then all shingles."""
     a = sets.select(F.col("rid").alias("x"), F.col("tokens").alias("tx"))
     b = sets.select(F.col("rid").alias("y"), F.col("tokens").alias("ty"))
     both = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [Order(heavy, _SALT1), Order(heavy, _SALT2)]
+        orders = [Order(heavy, _SALT2), Order(heavy, _SALT3)]
         for batch in batches:
             linked = []
             for tx, ty in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -290,9 +228,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, heavy: np.ndarray, num: int, de
                 small, large = sorted((len(u), len(v)))
                 ok = den * small >= num * large
                 for order in orders:
-                    ok = ok and _meet(order.first(u, prefix_size(len(u), num, den)), order.first(v, prefix_size(len(v), num, den)))
+                    ok = ok and _shared_by(order.first(u, prefix_size(len(u), num, den)), order.first(v, prefix_size(len(v), num, den))) >= in_common(small)
                 if ok:
-                    same = len(np.intersect1d(u, v, assume_unique=True))
+                    same = _shared_by(u, v)
                     ok = den * same >= num * (len(u) + len(v) - same)
                 linked.append(bool(ok))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["x", "y", "linked"])
@@ -300,104 +238,136 @@ def _verified(pairs: DataFrame, sets: DataFrame, heavy: np.ndarray, num: int, de
     return both.mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _meet(u: np.ndarray, v: np.ndarray) -> bool:
-    return len(np.intersect1d(u, v, assume_unique=True)) > 0
+def _shared_by(u: np.ndarray, v: np.ndarray) -> int:
+    return len(np.intersect1d(u, v, assume_unique=True))
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of rows (token, lo, hi, side, rid, comp) sorted by the first three.
+    """Pairs across components (x, y, shared, need) of rows (token, lo, hi, side,
+    rid, comp, n) sorted by the first three.
 
     A group is a pair of blocks of one shingle, at most about two blocks long.
     """
-    seen: set[tuple[int, int]] = set()
+    shared: dict[tuple[int, int], int] = {}
+    size: dict[int, int] = {}
 
-    def pairs(g: np.ndarray) -> np.ndarray:
+    def count(g: np.ndarray) -> None:
         side, rid, comp = g[3], g[4], g[5]
         if (comp == comp[0]).all():
-            return np.empty((2, 0), np.int64)
+            return
         one, other = np.flatnonzero(side == g[1, 0]), np.flatnonzero(side == g[2, 0])
         far = (comp[one][:, None] != comp[other][None, :]) & (np.abs((rid[one] >> 56)[:, None] - (rid[other] >> 56)[None, :]) <= 1)
         if g[1, 0] == g[2, 0]:
             far &= rid[one][:, None] < rid[other][None, :]
         i, j = np.nonzero(far)
         x, y = rid[one[i]], rid[other[j]]
-        return np.stack([np.minimum(x, y), np.maximum(x, y)])
-
-    def close(g: np.ndarray) -> pa.RecordBatch | None:
-        if len(seen) > 1_000_000:
-            seen.clear()
-        new = [p for p in zip(*pairs(g).tolist(), strict=True) if p not in seen]
-        seen.update(new)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], ["x", "y"]) if new else None
-
-    rest = np.empty((6, 0), np.int64)
+        for p in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True):
+            shared[p] = shared.get(p, 0) + 1
+        met = np.unique(np.concatenate([one[i], other[j]]))
+        size.update(zip(rid[met].tolist(), g[6][met].tolist(), strict=True))
+
+    def given() -> pa.RecordBatch:
+        rows = [(x, y, c, in_common(min(size[x], size[y]))) for (x, y), c in shared.items()]
+        shared.clear()
+        size.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["x", "y", "shared", "need"])
+
+    rest = np.empty((7, 0), np.int64)
     for batch in batches:
         rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-        key = rest[:3]
-        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        cut = np.flatnonzero((rest[:3, 1:] != rest[:3, :-1]).any(axis=0)) + 1
         for a, b in zip([0, *cut[:-1]], cut, strict=False):
-            if b - a > 1 and (out := close(rest[:, a:b])) is not None:
-                yield out
+            if b - a > 1:
+                count(rest[:, a:b])
+                if len(shared) > 500_000:
+                    yield given()
         rest = rest[:, cut[-1] :] if len(cut) else rest
-    if rest.shape[1] > 1 and (out := close(rest)) is not None:
-        yield out
-
-
-def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, num: int = 3, den: int = 4, most_heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
-    """rid, doc_id, th, n_shingles, component_id, keeper of every row.
-
-    ``th`` is xxhash64 of the text; ``keeper`` marks one row of each component,
-    that with the smallest id.
-    """
-    folder = scratch_path(spark, "jaccard")
-
-    def kept(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
+    if rest.shape[1] > 1:
+        count(rest)
+    yield given()
+
+
+@contextlib.contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Each step writes a table; its shuffle files go when the step is over."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
+def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], k: int, num: int, den: int, most_heavy: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their sets' fingerprints, one row for each set, and the
+    sets' components (node, label)."""
     heavy = heavy_shingles(docs, k, most_heavy)
     rows = kept(_signatures(docs, heavy, k, num, den), "rows")
-    # one row for each set; ties by rid, so that the choice is the written table's
+    # one row for each set: the document with the smallest id, and the row that gave the prefix
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid", "th")).alias("first")
-    reps = rows.where("n > 0").groupBy("fp").agg(first, F.min(F.when(F.size("prefix") > 0, F.col("rid"))).alias("rid"))
-    reps = kept(reps.select("fp", "rid", F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("first_rid"), F.col("first.th").alias("th")), "reps")
+    reps = rows.where("n > 0").groupBy("fp").agg(first, F.min(F.when(F.size("prefix") > 0, F.col("rid"))).alias("rid"), F.max("n").alias("n"))
+    reps = kept(reps.select("fp", "rid", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("first_rid"), F.col("first.th").alias("th")), "reps")
 
+    # the first order: who shares enough of the prefix with anyone of a near size
     posts = rows.select(F.explode("prefix").alias("token"), "rid")
     posts = posts.repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_shared, "token long, rid long")
-    posts = kept(posts, "shared").join(reps.select("rid"), "rid", "left_semi")
-    twice = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    left = kept(posts.join(twice, "token").select("rid").distinct(), "left")
-
-    wanted = left.join(reps, "rid").select("rid", F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    sets = kept(_sets(texts, k).dropDuplicates(["rid"]), "sets")
-
-    shared = _light_tokens(sets, heavy).repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_frequencies, "rid long, token long, df long")
-    posts = kept(_rare_first(sets, shared, heavy, num, den), "rare")
-    size = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("rid").alias("leader")).where("c > 1")
+    posts = kept(posts, "shared").join(reps.select("rid", "n"), "rid")
+    least = F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den))
+    enough = F.col("c") >= 1 + F.floor(least / F.lit(MORE))
+    for turn in (1, 2):
+        twice = posts.groupBy("token").agg(F.count("*").alias("t")).where("t > 1")
+        posts = posts.join(twice.select("token"), "token", "left_semi")
+        left = posts.groupBy("rid", "n").agg(F.count("*").alias("c")).where(enough).select("rid")
+        posts = kept(posts.join(left, "rid", "left_semi"), f"posts-{turn}")
+
+    # the sets of those documents; a null id stands for any, as the text's hash is compared as well
+    key = F.coalesce("doc_id", F.lit(-1)).alias("d")
+    left = posts.select("rid").distinct()
+    wanted = left.join(reps, "rid").select("rid", key, F.col("th").alias("t"))
+    texts = docs.select(key, F.col("th").alias("t"), "text").repartition("d", "t").join(wanted, ["d", "t"])
+    sets = kept(_sets(texts, k), "sets")
+
+    size = posts.groupBy("token").agg(F.count("*").alias("t"), F.min("rid").alias("leader")).where("t > 1")
     posts = kept(posts.join(size, "token"), "posts")
-    near = lambda a, b: F.abs(F.shiftright(a, 56) - F.shiftright(b, 56)) <= 1
-
-    star = posts.where(F.col("rid") != F.col("leader")).where(near("rid", "leader")).groupBy("rid", "leader").agg(F.count("*").alias("c"))
+    near = F.abs(F.shiftright("rid", 56) - F.shiftright("leader", 56)) <= 1
+    star = posts.where(F.col("rid") != F.col("leader")).where(near).groupBy("rid", "leader").agg(F.count("*").alias("c"))
     best = W.partitionBy("rid").orderBy(F.desc("c"), "leader")
     star = star.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("leader").alias("x"), F.col("rid").alias("y"))
-    sets = kept(sets.join(posts.select("rid").distinct(), "rid", "left_semi"), "candidates")
     tried = kept(_verified(star, sets, heavy, num, den), "tried")
     labels = kept(components(spark, tried.where("linked").select("x", "y")), "labels")
 
     # blocks of a shingle's documents; each meets every block of the same shingle
-    blocks = F.ceil(F.col("c") / block).cast("long")
+    blocks = F.ceil(F.col("t") / block).cast("long")
     dealt = posts.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
     side = F.pmod(F.xxhash64("rid"), blocks)
-    dealt = dealt.select("token", side.alias("side"), "rid", "comp", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "comp")
+    dealt = dealt.select("token", side.alias("side"), "rid", "comp", "n", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "comp", "n")
     dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    across = dealt.mapInArrow(_across, "x long, y long").distinct().join(tried, ["x", "y"], "left_anti")
+    across = dealt.mapInArrow(_across, "x long, y long, shared long, need long")
+    across = across.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    across = across.select("x", "y").join(tried, ["x", "y"], "left_anti")
     more = kept(_verified(across, sets, heavy, num, den).where("linked"), "across")
     links = tried.where("linked").select("x", "y").unionByName(more.select("x", "y"))
-    labels = kept(components(spark, links), "all-labels")
+    return rows, reps, kept(components(spark, links), "all-labels")
+
+
+def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, num: int = 3, den: int = 4, most_heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
+    """rid, doc_id, th, n_shingles, component_id, keeper of every row.
+
+    ``th`` is xxhash64 of the text; ``keeper`` marks one row of each component,
+    that with the smallest id.
+    """
+    folder = scratch_path(spark, "jaccard")
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    with _short_lived_shuffles(spark):
+        rows, reps, labels = _labels(spark, docs, kept, k, num, den, most_heavy, block)
 
     # from sets to components to rows
     reps = reps.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
