@@ -8,14 +8,17 @@ others behind it). Candidates must pass this under three orders:
 
 1. a hash order with shingles that very many documents hold put last. Its
    prefixes are shuffled by shingle; a document stays if enough of its prefix
-   is shared with documents of a near size, a pair if enough is shared by both.
+   is shared with documents of a near size, a pair if the prefixes share so much
+   that all the shingles behind them could make up for the rest.
 2. and 3.: other hash orders, taken on the two sets when they meet, before all
    their shingles are compared.
 
 Equal sets are one document from the start. Links are found in two steps, so
 that groups of near copies don't make all their pairs: every document is
-compared with the two leaders (smallest member) that it shares most prefix
-shingles with, and the links found give components; then all pairs that share
+compared with the two leaders that it shares most prefix shingles with (of each
+shingle's documents the one whose whole prefix is most widely shared: what
+copies were made from, rather than an edited copy), and the links found give
+components; then all pairs that share
 enough of their prefixes *across* components are compared. A pair within a
 component can add nothing to it, so the components are exact. Shingles of many
 documents are dealt to blocks, and pairs of blocks to tasks.
@@ -95,6 +98,14 @@ def in_common(n: int) -> int:
     return 1 + n // MORE
 
 
+def pair_needs(n: int, m: int, num: int, den: int) -> int:
+    """Shingles that the prefixes of linked sets of n and m have in common: shared
+    ones that aren't in both lie behind the prefix that ends first in the order."""
+    shared = -(-num * (n + m) // (num + den))
+    behind = max(n - prefix_size(n, num, den), m - prefix_size(m, num, den))
+    return max(in_common(min(n, m)), shared - behind)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return min(n, n - least_shared(n, num, den) + in_common(n))
 
@@ -242,7 +253,7 @@ def _shared_by(u: np.ndarray, v: np.ndarray) -> int:
     return len(np.intersect1d(u, v, assume_unique=True))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs across components (x, y, shared, need) of rows (token, lo, hi, side,
     rid, comp, n) sorted by the first three.
 
@@ -267,7 +278,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size.update(zip(rid[met].tolist(), g[6][met].tolist(), strict=True))
 
     def given() -> pa.RecordBatch:
-        rows = [(x, y, c, in_common(min(size[x], size[y]))) for (x, y), c in shared.items()]
+        rows = [(x, y, c, pair_needs(size[x], size[y], num, den)) for (x, y), c in shared.items()]
         shared.clear()
         size.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["x", "y", "shared", "need"])
@@ -328,10 +339,13 @@ def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str
     texts = docs.select(key, F.col("th").alias("t"), "text").repartition("d", "t").join(wanted, ["d", "t"])
     sets = kept(_sets(texts, k), "sets")
 
-    size = posts.groupBy("token").agg(F.count("*").alias("t"), F.min("rid").alias("leader")).where("t > 1")
+    size = posts.groupBy("token").agg(F.count("*").alias("t")).where("t > 1")
     posts = kept(posts.join(size, "token"), "posts")
+    spread = posts.groupBy("rid", "n").agg((F.sum("t") / F.col("n")).alias("spread")).select("rid", "spread")
+    leaders = posts.join(spread, "rid").groupBy("token").agg(F.max(F.struct("spread", "rid")).alias("leader"))
+    leaders = leaders.select("token", F.col("leader.rid").alias("leader"))
     near = F.abs(F.shiftright("rid", 56) - F.shiftright("leader", 56)) <= 1
-    star = posts.where(F.col("rid") != F.col("leader")).where(near).groupBy("rid", "leader").agg(F.count("*").alias("c"))
+    star = posts.join(leaders, "token").where(F.col("rid") != F.col("leader")).where(near).groupBy("rid", "leader").agg(F.count("*").alias("c"))
     best = W.partitionBy("rid").orderBy(F.desc("c"), "leader")
     star = star.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("leader").alias("x"), F.col("rid").alias("y"))
     tried = kept(_verified(star, sets, heavy, num, den), "tried")
@@ -344,7 +358,7 @@ def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str
     dealt = dealt.select("token", side.alias("side"), "rid", "comp", "n", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "comp", "n")
     dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    across = dealt.mapInArrow(_across, "x long, y long, shared long, need long")
+    across = dealt.mapInArrow(lambda it: _across(it, num, den), "x long, y long, shared long, need long")
     across = across.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
     across = across.select("x", "y").join(tried, ["x", "y"], "left_anti")
     more = kept(_verified(across, sets, heavy, num, den).where("linked"), "across")
