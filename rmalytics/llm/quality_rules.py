@@ -201,4 +201,9 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", params:
         }
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= params.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= params.max_word_distance)
-    return out.withColumn("kept", ~F.col("base_failed") & near).drop("_words", "_classes", "_spaced", "_common", "_hist", "ref_lang", "ref_classes", "ref_words", "ref_counts", "ref_all_words")
+    out = out.withColumn("kept", ~F.col("base_failed") & near)
+    # a filter on ``kept`` would be pushed through all the projections above, each of whose
+    # columns it would evaluate anew wherever it is used; it isn't pushed through a generator
+    own = [F.col(c) for c in df.columns]
+    out = out.select(*own, F.explode(F.array(F.struct(*made))).alias("_verdict"))
+    return out.select(*own, "_verdict.*")
