@@ -4,15 +4,19 @@ Each document's character-class histogram and common-word histogram are
 compared with references of its language by Jensen-Shannon distance (base 2,
 so between 0 and 1). The references are counted over the whole corpus: per
 language the code points in each class, and the ``n_common`` most frequent
-short words; only languages with at least ``min_share`` of the documents have
-one, which bounds their number (and the size broadcast) by ``1 / min_share``.
+short words. Every language has one, however rare, and so have the documents
+without a language. They are written to the scratch folder, so that Spark knows
+their size and chooses the join: a broadcast, or for very many languages a
+sort-merge join whose large partitions it splits.
 
 The work per document is one row's: no join but that with the references, no
-shuffle but that of the corpus counts.
+shuffle but that of the corpus counts (and of the documents where the
+references are too large to broadcast).
 
-Edge cases: a null text has no words and fails the base rules; a null or rare
-language has no reference, and such a document is judged by the base rules
-alone, as are texts under the minimum lengths for a histogram to be steady.
+Edge cases: a null text has no words and fails the base rules; null is a
+language of its own; the only document of a language is its own reference and
+so at distance 0; texts under the minimum lengths for a histogram to be steady
+are judged by the base rules alone.
 Repeated rows are judged alike. Other columns, whatever their names, pass
 through; the columns made here replace columns of the same name.
 """
@@ -26,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rmalytics.session import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Classes taken off the text one after the other; what is left is the last class.
 CLASSES = (
@@ -50,7 +56,6 @@ class Params:
     min_words_histogram: int = 100
     n_common: int = 24
     max_common_chars: int = 5
-    min_share: float = 0.001
 
 
 def _words(text: Column) -> Column:
@@ -141,25 +146,22 @@ def base_columns(df: DataFrame, text: str = "text", params: Params = Params()) -
 def language_references(df: DataFrame, text: str = "text", lang: str = "lang", params: Params = Params()) -> DataFrame:
     """Per language: class counts, its common words and their counts, all words.
 
-    Counted over every document; one row per language that has at least
-    ``min_share`` of the documents.
+    Counted over every document; one row per language, null being one.
     """
-    slim = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(F.col("_lang").isNotNull())
+    slim = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     classes = _class_columns(slim, "_text", "_classes")
     sums = [F.sum(F.get("_classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    per_lang = classes.groupBy("_lang").agg(F.count("*").alias("_docs"), *sums)
-    # the number of rows beside each language: a sum over the few language rows
-    per_lang = per_lang.withColumn("_all", F.sum("_docs").over(W.partitionBy(F.lit(0))))
-    per_lang = per_lang.where(F.col("_docs") >= params.min_share * F.col("_all"))
+    per_lang = classes.groupBy("_lang").agg(*sums)
     # words that may be common are short; longer ones only count among all words
     word = F.explode(_words(F.coalesce(F.col("_text"), F.lit("")))).alias("_w")
     short = F.when(F.length("_w") <= params.max_common_chars, F.col("_w")).otherwise(F.lit(""))
     counts = slim.select("_lang", word).select("_lang", short.alias("_w")).groupBy("_lang", "_w").agg(F.count("*").alias("_n"))
-    totals = counts.groupBy("_lang").agg(F.sum("_n").alias("_all_words"))
+    totals = counts.groupBy(F.col("_lang").alias("_lang_all")).agg(F.sum("_n").alias("_all_words"))
     by_rank = W.partitionBy("_lang").orderBy(F.desc("_n"), "_w")
     top = counts.where(F.col("_w") != "").withColumn("_rank", F.row_number().over(by_rank)).where(F.col("_rank") <= params.n_common)
-    top = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("_rank", "_w", "_n"))).alias("_top"))
-    return per_lang.join(totals, "_lang", "left").join(top, "_lang", "left").select(
+    top = top.groupBy(F.col("_lang").alias("_lang_top")).agg(F.sort_array(F.collect_list(F.struct("_rank", "_w", "_n"))).alias("_top"))
+    beside = lambda other: F.col("_lang").eqNullSafe(F.col(other))
+    return per_lang.join(totals, beside("_lang_all"), "left").join(top, beside("_lang_top"), "left").select(
         F.col("_lang").alias("ref_lang"),
         F.array(*[f"c{k}" for k in range(len(CLASSES) + 1)]).alias("ref_classes"),
         F.coalesce(F.transform("_top", lambda x: x["_w"]), F.array().cast("array<string>")).alias("ref_words"),
@@ -180,12 +182,15 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", params: Params = Params(), references: DataFrame | None = None) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, char_distance, word_distance (null where not judged) and kept."""
-    refs = language_references(df, text, lang, params) if references is None else references
+    refs = references
+    if refs is None:
+        folder = scratch_path(df.sparkSession, "quality")
+        language_references(df, text, lang, params).write.parquet(folder)
+        refs = df.sparkSession.read.parquet(folder)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     df = df.drop(*[c for c in made if c not in (text, lang)])
     out = base_columns(df, text, params)
-    # at most 1 / min_share languages of n_common words each
-    out = out.join(F.broadcast(refs), F.col(lang) == F.col("ref_lang"), "left")
+    out = out.join(refs, F.col(lang).eqNullSafe(F.col("ref_lang")), "left")
     spaced = F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))
     out = out.withColumn("_spaced", F.when(F.col("n_words") >= params.min_words_histogram, spaced))
     seen = lambda w: ((F.octet_length("_spaced") - F.octet_length(F.replace(F.col("_spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("long")

@@ -212,6 +212,28 @@ def test_clean_labelled_documents_stay(spark):
     assert out.where("not base_failed and not kept").count() == 0
 
 
+@pytest.mark.parametrize("lang", [None, "xx"])
+def test_rare_and_unknown_languages_are_judged(spark, lang):
+    r = random.Random(5)
+    names = ["the", "of", "and", "to", "in", "is", "that", "for", *("word" + chr(97 + k) for k in range(20))]
+    rows = [(k, " ".join(r.choices(names, weights=[9] * 8 + [2] * 20, k=300)), lang) for k in range(30)]
+    rows += [(100, " ".join(x + "#" * 12 for x in r.choices(names, k=300)), lang), (101, " ".join(r.choices("QXZJ", k=8)) + " " + " ".join("".join(r.choices("QXZJKV", k=6)) for _ in range(300)), lang)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    others = spark.range(1000, 61000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"))
+    verdict = {x.doc_id: x for x in quality_rules(df).collect()}
+    assert not any(x.base_failed for x in verdict.values())
+    assert {i for i, x in verdict.items() if x.kept} == set(range(30))
+    # the same, whatever lies beside it, and by either join
+    for limit in ("10m", "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            among = {x.doc_id: x for x in quality_rules(df.union(others)).where("doc_id < 1000").collect()}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert among == verdict
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
