@@ -8,7 +8,10 @@ document, two values never become one, and the key's holder can go back.
 Punctuation stays, and check digits are made anew:
 
 - card numbers (Luhn), IBANs (mod 97), US social security numbers
-- phone numbers: the digits after the country code
+- phone numbers: the digits after the country code. With ``+``: a country code and
+  8 to 15 digits in all, single blanks, dots or dashes anywhere between them and
+  brackets around the first group; ``(0)`` before it stays. Without: ten digits in
+  three groups as in North America, also after ``1``, the same number as with ``+1``
 - IPv4 addresses, as 32-bit numbers
 - calendar dates (ISO, day.month.year, month/day/year), as days of 1900 to 2099,
   the same day in any of the formats staying the same day
@@ -165,12 +168,37 @@ def _ssn(f, m, back):
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: E.164 country codes of one and two digits, and how those of three begin
+_CODES = r"(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[789]|8[05789]|9[679])\d|[2-9]\d)"
+_GAP = "[ .\u00a0-]"
+
+
+def _american(f: Feistel, digits: str, back: bool) -> str:
+    """Ten digits; those that may stand without country code (not from 0 or 1) stay apart from the others."""
+    national, out = digits[0] > "1", None
+    while out is None or (out[0] > "1") != national:
+        out = f"{f.permuted(int(out or digits), 10**10, 'phone 1', back):010d}"
+    return out
+
+
 def _phone(f, m, back):
-    d = _digits(m.group())
-    if not 8 <= len(d) <= 15:
+    code, head = _digits(m.group("code")) or "1", m.end("code") - m.start()
+    if trunk := m.groupdict().get("trunk"):
+        head = m.end("trunk") - m.start()
+    rest = m.group()[head:]
+    d = _digits(rest)
+    if not 8 <= len(code) + len(d) <= 15:
         return None
-    code = len(m.group("code") or "")
-    return _refill(m.group(), d[:code] + _in_classes(f, d[code:], f"phone {d[:code]}", back))
+    return m.group()[:head] + _refill(rest, _american(f, d, back) if code == "1" else _in_classes(f, d, f"phone {code}", back))
+
+
+def _phone_before(m: re.Match, end: int) -> re.Match | None:
+    """The longest number of at most 15 digits in whole groups that starts as ``m`` and ends by ``end``."""
+    text = m.string
+    while m is not None and (m.end() > end or len(_digits(m.group())) > 15 + len(m.groupdict().get("trunk") or "") // 3):
+        cut = max((k for k in range(m.start(), min(m.end(), end + 1)) if not text[k].isdigit()), default=m.start())
+        m = m.re.match(text, m.start(), cut) if cut > m.start() else None
+    return m
 
 
 def _ip(f, m, back):
@@ -234,9 +262,9 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
     ("date", ".", re.compile(r"(?<![\w.])\d\d\.\d\d\.(?:19|20)\d\d(?!\w|\.\d)"), _date("dmy")),
     ("date", "/", re.compile(r"(?<![\w/])\d\d/\d\d/(?:19|20)\d\d(?![\w/])"), _date("mdy")),
     ("ssn", "-", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), _ssn),
-    ("phone", "+", re.compile(r"(?<![\w+])\+(?P<code>1)[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"), _phone),
-    ("phone", "+", re.compile(r"(?<![\w+])\+(?!1)(?P<code>[2-9]\d)(?P<gap>[ .-]?)\(?\d{1,4}\)?(?:(?P=gap)\d{2,9}){1,4}(?!\w)"), _phone),
-    ("phone", "-", re.compile(r"(?<![\w.+(-])(?P<code>)(?:\([2-9]\d\d\) |[2-9]\d\d-)[2-9]\d\d-\d{4}(?![\w-])"), _phone),
+    ("phone", "+", re.compile(rf"(?<![\w+])\+(?P<code>1){_GAP}?(?:\(\d{{3}}\){_GAP}?\d(?:{_GAP}?\d){{6}}|\d(?:{_GAP}?\d){{9}})(?!\w)"), _phone),
+    ("phone", "+", re.compile(rf"(?<![\w+])\+(?!1)(?P<code>(?>{_CODES}))(?:{_GAP}?(?P<trunk>\(0\)))?{_GAP}?(?:\(\d{{1,5}}\){_GAP}?)?\d(?:{_GAP}?\d){{2,16}}(?!\w)"), _phone),
+    ("phone", "", re.compile(rf"(?<![\w.+(-])(?P<code>(?:1{_GAP})?)(?:\([2-9]\d\d\){_GAP}?|[2-9]\d\d{_GAP})\d{{3}}{_GAP}\d{{4}}(?!\w|[.-]\d)"), _phone),
 )
 
 
@@ -247,6 +275,8 @@ def pseudonymised(f: Feistel, text: str, back: bool = False) -> tuple[str, int]:
         if hint not in text:
             continue
         for m in pattern.finditer(text):
+            if permute is _phone and (m := _phone_before(m, min((a for a, b, _ in found if a < m.end() and m.start() < b), default=len(text)))) is None:
+                continue
             if any(a < m.end() and m.start() < b for a, b, _ in found):
                 continue
             if (new := permute(f, m, back)) is not None:

@@ -64,6 +64,40 @@ def test_what_fails_its_check_stays(text):
     assert pseudonymised(Feistel(KEY), text) == (text, 0)
 
 
+PHONES = ["+353 1 234 5678", "+351 912 345 678", "+420 777 123 456", "+7 495 123-45-67", "+44 (0)20 7946 0958", "(415)555-2671", "(415) 555-2671", "415.555.2671", "415 555 2671", "1-800-555-2671", "555-123-4567", "+49 30 1234-5678", "+7 (495) 123 45 67"]
+
+
+@pytest.mark.parametrize("value", PHONES)
+def test_phones_of_many_spellings(value):
+    f = Feistel(KEY)
+    text, n = pseudonymised(f, f"Call {value}, or {value}.")
+    new = re.fullmatch(r"Call (?P<one>.+), or (?P=one)\.", text)["one"]
+    assert n == 2 and new != value and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+    # nothing of its last group is left as it was, and the way back is exact
+    assert re.findall(r"\d+", new)[-1] != re.findall(r"\d+", value)[-1]
+    assert pseudonymised(f, text, back=True)[0] == f"Call {value}, or {value}."
+
+
+def test_spellings_of_a_phone_stay_one_number():
+    f, digits = Feistel(KEY), lambda t: re.sub(r"\D", "", t)
+    many = ["+49 30 1234-5678", "+49 30 12345678", "+493012345678", "+49 (30) 1234.5678"]
+    assert len({digits(pseudonymised(f, x)[0]) for x in many}) == 1
+    assert digits(pseudonymised(f, "+44 (0)20 7946 0958")[0]) == digits(pseudonymised(f, "+44 20 7946 0958")[0])[:2] + "0" + digits(pseudonymised(f, "+44 20 7946 0958")[0])[2:]
+    assert len({digits(pseudonymised(f, x)[0])[-10:] for x in ("+1 (415) 555-2671", "1-415-555-2671", "415.555.2671", "(415)555-2671")}) == 1
+
+
+def test_phones_beside_other_numbers():
+    f = Feistel(KEY)
+    for text in ("+33 6 12 34 56 78 2021-03-04", "+33 6 12 34 56 78 1234 5678 90", "+44 (0)20 7946 0958 123 4567 89"):
+        new, n = pseudonymised(f, text)
+        assert n >= 1 and new[:3] == text[:3] and new[4:17] != text[4:17]
+        assert pseudonymised(f, new, back=True)[0] == text
+    r = random.Random(3)
+    numbers = {f"{r.randint(200, 999)}-{r.randint(0, 999):03d}-{r.randint(0, 9999):04d}" for _ in range(2000)}
+    got = {x: pseudonymised(f, x)[0] for x in numbers}
+    assert len(set(got.values())) == len(numbers) and all(pseudonymised(f, y, back=True)[0] == x for x, y in got.items())
+
+
 def test_distinct_values_stay_distinct():
     r, f = random.Random(1), Feistel(KEY)
     cards = {(b := "4" + "".join(r.choices("0123456789", k=14))) + luhn_digit(b) for _ in range(3000)}
