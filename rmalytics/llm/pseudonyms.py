@@ -13,8 +13,11 @@ Punctuation stays, and check digits are made anew:
   brackets around the first group; ``(0)`` before it stays. Without: ten digits in
   three groups as in North America, also after ``1``, the same number as with ``+1``
 - IPv4 addresses, as 32-bit numbers
-- calendar dates (ISO, day.month.year, month/day/year), as days of 1900 to 2099,
-  the same day in any of the formats staying the same day
+- calendar dates (year-month-day, also before a time, year/month/day,
+  day.month.year, month/day/year, and day/month/year where that isn't one), with
+  days and months of one or two digits, the same day in any of the formats staying
+  the same day. A day moves within its era (1900 to 2099, 1000 to 1899, before,
+  after) and among days as wide: months to 9 or from 10, days to 9, 12 or 31
 - e-mail addresses: letters and digits of the local part, and of each label
   before the last of the domain, each within its class
 - access keys and secrets given by name (``password=``, ``token = "..."``)
@@ -29,7 +32,7 @@ check stay as they are. A value set of few members may map a value to itself.
 
 from __future__ import annotations
 
-import datetime as dt
+import calendar
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -209,22 +212,39 @@ def _ip(f, m, back):
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
-_FIRST = dt.date(1900, 1, 1).toordinal()
-_DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST
+_ERAS = ((1, 1000), (1000, 1900), (1900, 2100), (2100, 10000))
+_MONTHS, _MONTHDAYS = ((1, 10), (10, 13)), ((1, 10), (10, 13), (13, 32))
 
 
-def _date(order: str) -> Callable:
+def _is_day(y: int, m: int, d: int) -> bool:
+    return 1 <= y <= 9999 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+
+
+def _day(f: Feistel, day: tuple[int, int, int], back: bool) -> tuple[int, int, int]:
+    """Another day that is written as wide and read in the same order of its parts."""
+    (y0, y1), (m0, m1), (d0, d1) = (next(x for x in kinds if x[0] <= v < x[1]) for v, kinds in zip(day, (_ERAS, _MONTHS, _MONTHDAYS), strict=True))
+    y, m, d = day
+    months, days = m1 - m0, d1 - d0
+    x = ((y - y0) * months + m - m0) * days + d - d0
+    while True:
+        x = f.permuted(x, (y1 - y0) * months * days, f"date {y0} {m0} {d0}", back)
+        y, m, d = y0 + x // days // months, m0 + x // days % months, d0 + x % days
+        if _is_day(y, m, d):
+            return y, m, d
+
+
+def _date(*orders: str) -> Callable:
+    """By the first of the orders of year, month and day that is a calendar date."""
+
     def run(f, m, back):
-        part = dict(zip(order, re.findall(r"\d+", m.group()), strict=True))
-        try:
-            day = dt.date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal() - _FIRST
-        except ValueError:
-            return None
-        if not 0 <= day < _DAYS:
-            return None
-        to = dt.date.fromordinal(_FIRST + f.permuted(day, _DAYS, "date", back))
-        sep = re.search(r"\D", m.group()).group()
-        return sep.join({"y": f"{to.year:04d}", "m": f"{to.month:02d}", "d": f"{to.day:02d}"}[c] for c in order)
+        parts = re.findall(r"\d+", m.group())
+        for order in orders:
+            day = tuple(int(parts[order.index(c)]) for c in "ymd")
+            if _is_day(*day):
+                to = dict(zip("ymd", _day(f, day, back), strict=True))
+                sep = re.search(r"\D", m.group()).group()
+                return sep.join(f"{to[c]:0{len(x)}d}" for c, x in zip(order, parts, strict=True))
+        return None
 
     return run
 
@@ -258,9 +278,10 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
     ("card", "", re.compile(r"(?<![\w.])\d{13,19}(?!\w|\.\d)"), _card),
     ("card", "", re.compile(r"(?<![\w-])\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?![\w-])"), _card),
     ("ipv4", ".", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"), _ip),
-    ("date", "-", re.compile(r"(?<![\w-])(?:19|20)\d\d-\d\d-\d\d(?![\w-])"), _date("ymd")),
-    ("date", ".", re.compile(r"(?<![\w.])\d\d\.\d\d\.(?:19|20)\d\d(?!\w|\.\d)"), _date("dmy")),
-    ("date", "/", re.compile(r"(?<![\w/])\d\d/\d\d/(?:19|20)\d\d(?![\w/])"), _date("mdy")),
+    ("date", "-", re.compile(r"(?<![\w-])\d{4}-\d{1,2}-\d{1,2}(?:(?=[Tt]\d\d)|(?![\w-]))"), _date("ymd")),
+    ("date", "/", re.compile(r"(?<![\w/])\d{4}/\d{1,2}/\d{1,2}(?:(?=[Tt]\d\d)|(?![\w/]))"), _date("ymd")),
+    ("date", ".", re.compile(r"(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)"), _date("dmy")),
+    ("date", "/", re.compile(r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"), _date("mdy", "dmy")),
     ("ssn", "-", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), _ssn),
     ("phone", "+", re.compile(rf"(?<![\w+])\+(?P<code>1){_GAP}?(?:\(\d{{3}}\){_GAP}?\d(?:{_GAP}?\d){{6}}|\d(?:{_GAP}?\d){{9}})(?!\w)"), _phone),
     ("phone", "+", re.compile(rf"(?<![\w+])\+(?!1)(?P<code>(?>{_CODES}))(?:{_GAP}?(?P<trunk>\(0\)))?{_GAP}?(?:\(\d{{1,5}}\){_GAP}?)?\d(?:{_GAP}?\d){{2,16}}(?!\w)"), _phone),

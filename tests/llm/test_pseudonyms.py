@@ -64,6 +64,42 @@ def test_what_fails_its_check_stays(text):
     assert pseudonymised(Feistel(KEY), text) == (text, 0)
 
 
+DATES = ["2021-03-04T10:00:00Z", "31/12/2020", "3/4/2021", "4.3.2021", "2021/03/04", "1899-12-31", "1850/7/9", "12/31/2020", "2021-3-14", "29.02.2024"]
+
+
+@pytest.mark.parametrize("value", DATES)
+def test_dates_of_many_spellings(value):
+    f = Feistel(KEY)
+    text, n = pseudonymised(f, f"On {value}, {value}.")
+    new = re.fullmatch(r"On (?P<one>.+), (?P=one)\.", text)["one"]
+    assert n == 2 and new != value and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+    assert new.endswith("T10:00:00Z") == value.endswith("T10:00:00Z")
+    assert pseudonymised(f, text, back=True)[0] == f"On {value}, {value}."
+
+
+def test_one_day_in_all_spellings_stays_one_day():
+    f, day = Feistel(KEY), lambda t: tuple(map(int, re.findall(r"\d+", t)[:3]))
+    y, m, d = day(pseudonymised(f, "2020-12-31")[0])
+    assert day(pseudonymised(f, "31/12/2020")[0]) == day(pseudonymised(f, "31.12.2020")[0]) == (d, m, y)
+    assert day(pseudonymised(f, "12/31/2020")[0]) == (m, d, y) and day(pseudonymised(f, "2020-12-31T23:59")[0]) == (y, m, d)
+    y, m, d = day(pseudonymised(f, "2021-03-04")[0])
+    assert day(pseudonymised(f, "3/4/2021")[0]) == (m, d, y) and day(pseudonymised(f, "4.3.2021")[0]) == (d, m, y) and day(pseudonymised(f, "2021/03/04")[0]) == (y, m, d)
+
+
+def test_days_stay_distinct_and_come_back():
+    f = Feistel(KEY)
+    days = [f"{m:02d}/{d:02d}/{y}" for y in (1, 1850, 2020, 2021) for m in range(1, 13) for d in range(1, 32)]
+    days = [x[:6] + x[6:].zfill(4) for x in days]
+    days += [f"{x[3:6]}{x[:3]}{x[6:]}" for x in days if x[3:5] > "12"]
+    got = [pseudonymised(f, x)[0] for x in days]
+    assert len(set(got)) == len(set(days)) and [pseudonymised(f, x, back=True)[0] for x in got] == days
+
+
+@pytest.mark.parametrize("text", ["2021-13-01", "31/04/2021", "0000-01-01", "30.2.2021", "02/30/2021", "2021-03-04-05", "1/2/3/2021"])
+def test_what_is_no_day_stays(text):
+    assert pseudonymised(Feistel(KEY), text) == (text, 0)
+
+
 PHONES = ["+353 1 234 5678", "+351 912 345 678", "+420 777 123 456", "+7 495 123-45-67", "+44 (0)20 7946 0958", "(415)555-2671", "(415) 555-2671", "415.555.2671", "415 555 2671", "1-800-555-2671", "555-123-4567", "+49 30 1234-5678", "+7 (495) 123 45 67"]
 
 
