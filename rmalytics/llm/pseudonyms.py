@@ -7,7 +7,8 @@ inside. So a value always becomes the same other value of its format, in every
 document, two values never become one, and the key's holder can go back.
 Punctuation stays, and check digits are made anew:
 
-- card numbers (Luhn), IBANs (mod 97), US social security numbers
+- card numbers (Luhn), IBANs (mod 97, by their country's length), US social
+  security numbers
 - phone numbers: the digits after the country code. With ``+``: a country code and
   8 to 15 digits in all, single blanks, dots or dashes anywhere between them and
   brackets around the first group; ``(0)`` before it stays. Without: ten digits in
@@ -20,7 +21,8 @@ Punctuation stays, and check digits are made anew:
   after) and among days as wide: months to 9 or from 10, days to 9, 12 or 31
 - e-mail addresses: letters and digits of the local part, and of each label
   before the last of the domain, each within its class
-- access keys and secrets given by name (``password=``, ``token = "..."``)
+- access keys and secrets given by a name that holds one of a few words
+  (``password=``, ``SECRET_KEY = "..."``, ``"api_token": "..."``)
 
 Rows are independent: no shuffle. Only texts with a digit or @ are searched.
 
@@ -160,6 +162,23 @@ def _iban(f, m, back):
     return "".join(c if c == " " else next(it) for c in m.group())
 
 
+#: length of an IBAN by country
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_IBANS = "|".join(_iban_of(n, x) for n, x in _IBAN_LENGTHS.items())
+
+
 def _ssn(f, m, back):
     area, group, serial = map(int, m.group().split("-"))
     area -= area > 666  # 001..665 and 667..899
@@ -273,7 +292,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])"), _email),
     ("access key", "AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
-    ("secret", "", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9_/+.~-]{8,})(?P=quote)(?<!\.)"), _secret),
+    ("secret", "", re.compile(r"(?<![A-Za-z0-9_-])(?i:(?=[A-Z0-9_-]*?(?:password|passwd|pwd|secret|token|api[_-]?key))[A-Z0-9_-]++)[\"']?\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9_/+.~-]{8,})(?P=quote)(?<!\.)"), _secret),
+    ("iban", "", re.compile(rf"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])"), _iban),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("card", "", re.compile(r"(?<![\w.])\d{13,19}(?!\w|\.\d)"), _card),
     ("card", "", re.compile(r"(?<![\w-])\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?![\w-])"), _card),

@@ -100,6 +100,32 @@ def test_what_is_no_day_stays(text):
     assert pseudonymised(Feistel(KEY), text) == (text, 0)
 
 
+@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68 5390 0754 7034", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("after", [" EUR 20", " A transfer", " 1234", " USD", ".", ""])
+def test_ibans_before_capitals_and_digits(iban, after):
+    f = Feistel(KEY)
+    text, n = pseudonymised(f, f"To {iban}{after}")
+    assert n == 1 and text.startswith(f"To {iban[:2]}") and text.endswith(after) and iban not in text
+    flat = text.removeprefix("To ").removesuffix(after).replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert pseudonymised(f, text, back=True)[0] == f"To {iban}{after}"
+
+
+@pytest.mark.parametrize("form", ["SECRET_KEY = {}", "api_token: {}", "aws_secret_access_key = {}", '{{"password": "{}"}}', "'dbPassword' : '{}'", "x-api-key: {}", "--password={}", "token={}"])
+def test_secrets_under_compound_names(form):
+    f, value = Feistel(KEY), "wJalr7UtnFEMI3K9MDENG"
+    text, n = pseudonymised(f, form.format(value))
+    assert n == 1 and value not in text
+    a = form.format(value).index(value)
+    assert text[:a] + text[a + len(value) :] == form.format("")
+    assert pseudonymised(f, text, back=True)[0] == form.format(value)
+
+
+def test_long_identifiers_take_linear_time():
+    text = "token" * 200_000 + " 1"
+    assert pseudonymised(Feistel(KEY), text) == (text, 0)
+
+
 PHONES = ["+353 1 234 5678", "+351 912 345 678", "+420 777 123 456", "+7 495 123-45-67", "+44 (0)20 7946 0958", "(415)555-2671", "(415) 555-2671", "415.555.2671", "415 555 2671", "1-800-555-2671", "555-123-4567", "+49 30 1234-5678", "+7 (495) 123 45 67"]
 
 
