@@ -14,8 +14,8 @@ seeded order wherever they fit, and one more if that comes nearer. Patterns and
 parts: their sums, and nothing of single documents, are handled on the driver.
 
 Edge cases: a null source is a source of its own, after all others; null and
-empty texts have size 0 and are never taken; rows with equal id and size are
-taken or left together; a source without words has target 0; an empty table
+empty texts have size 0 and are never taken; rows with equal id and text
+are taken or left together, however many they are; a source without words has target 0; an empty table
 gives no rows. Columns made here replace columns of the same names.
 """
 
@@ -119,7 +119,7 @@ def min_cost_flow(supply: dict[str, int], members: dict[str, list], demand: dict
 
 def _choose(cell: pd.DataFrame) -> pd.DataFrame:
     """Of a cell's documents, in seeded order, those that still fit."""
-    units = cell.groupby("h", sort=True)["size"].sum()
+    units = cell.groupby("h", sort=True)["words"].sum()
     left, chosen = int(cell["room"].iloc[0]), []
     for h, size in units.items():
         if 0 < size <= left:
@@ -150,7 +150,8 @@ def mix_sources(
     the one credited is drawn by the seed in proportion to the flow.
     """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "_size")
+    # of the text too: rows without an id, or with the same one, aren't one unit
+    h = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "_size", F.col(text).cast("string"))
     keyed = df.withColumn("_size", size).withColumns({"_p": F.to_json(F.sort_array(F.array_distinct(members))), "_h": h})
     folder = scratch_path(spark, "mix")
     keyed.select(F.col("_p").alias("p"), F.col("_size").alias("size"), F.col("_h").alias("h")).write.parquet(f"{folder}/docs")
@@ -188,7 +189,9 @@ def mix_sources(
     cells.select("p", "cell", "room", (F.col("room") >= F.col("words")).alias("whole")).write.parquet(f"{folder}/cells")
     cells = spark.read.parquet(f"{folder}/cells")
     edge = cells.where((F.col("room") > 0) & ~F.col("whole")).select("p", "cell", "room")
-    chosen = slim.select("p", "cell", "h", "size").join(edge, ["p", "cell"]).groupBy("p", "cell").applyInPandas(_choose, "p string, cell long, chosen array<long>")
+    # equal rows are summed before a cell's units come together in one task
+    units = slim.select("p", "cell", "h", "size").join(edge, ["p", "cell"]).groupBy("p", "cell", "room", "h").agg(F.sum("size").alias("words"))
+    chosen = units.groupBy("p", "cell").applyInPandas(_choose, "p string, cell long, chosen array<long>")
     chosen.write.parquet(f"{folder}/chosen")
     cells = cells.join(spark.read.parquet(f"{folder}/chosen"), ["p", "cell"], "left").select("p", "cell", "whole", "chosen")
 
