@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rmalytics.llm import oracle
+from rmalytics.llm.exact_dedup import exact_dedup
+from rmalytics.llm.fill_in_middle import fill_in_middle, restored
+from rmalytics.llm.hard_negatives import hard_negatives
 from rmalytics.llm.jaccard_join import jaccard_components
 from rmalytics.llm.piece_tokens import piece_tokens
 from rmalytics.llm.pseudonyms import pseudonyms
@@ -79,6 +82,21 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(_read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark, _read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_read(spark, sf_dir, "documents"))
+    whole = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_source_mixing": op2_source_mixing,
@@ -90,10 +108,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_sharding": op9_sharding,
     "op10_piece_tokens": op10_piece_tokens,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op3_topk_search": oracle.TOP_K,
     "op5_quality_rules": oracle.QUALITY,
     "op6_warc_bundles": oracle.WARC,
+    "op11_exact_dedup": oracle.EXACT,
+    "op12_fill_in_middle": oracle.MIDDLE,
+    "op13_hard_negatives": oracle.NEGATIVES,
 }
