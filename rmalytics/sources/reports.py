@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import csv
+import re
 import uuid
 from collections.abc import Iterable
-from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rmalytics.schemas import RETURNS_HEADERS, SALES_RENAME
+from rmalytics.sources.records import ReportFile, parsed_records, report_files, split_records
 
 # Dialect of the marketplace's flat-file reports.
 REPORT_OPTIONS = {
@@ -36,54 +36,60 @@ class ReportHeaderError(ValueError):
 
 
 def report_layouts(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header row: {column names: files}.
-
-    Executors read the first line of each file (as text, by the scan that
-    sees the file's start); the driver gets one line for each file.
-    """
-    meta = F.col("_metadata")
-    lines = spark.read.text(paths).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("at"),
-                                         F.monotonically_increasing_id().alias("line"))
-    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in first.orderBy("file").collect():
-        names = next(csv.reader([row.header.rstrip("\r")], delimiter="\t"), [])
-        layouts.setdefault(_unique(names), []).append(unquote(row.file))
-    return layouts
+    """The files of each header record: {column names: files}; empty files have no names."""
+    return {names: [f.path for f in files] for names, files in _layouts(report_files(spark, paths)).items()}
 
 
-def _unique(names: list[str]) -> tuple[str, ...]:
-    """Of columns with one name the last keeps it, as in a mapping by name."""
-    return tuple(n if n not in names[k + 1:] else f"{n} (column {k + 1})" for k, n in enumerate(names))
+def _layouts(files: list[ReportFile]) -> dict[tuple[str, ...], list[ReportFile]]:
+    layouts: dict[tuple[str, ...], list[ReportFile]] = {}
+    for f in files:
+        layouts.setdefault(f.names, []).append(f)
+    return layouts
 
 
 def read_report(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
     """All columns as strings, each file's located by its own header (order
     free, extras kept, NULL in files without them), and the file as ``_file``.
 
-    Quoted fields may span lines, so by default each file is parsed by one
-    task (parallel across files: reports come one per month).
-    ``multiline=False`` lets Spark split large files when no field holds a
-    newline.
+    Quoted fields may span lines. Files up to ``spark.sql.files.maxPartitionBytes``
+    are parsed by one task each, larger ones by a task for each such range
+    (``sources/records.py``). ``multiline=False`` promises that no field holds
+    a newline, which saves the latter a scan.
     """
-    return _read_layouts(spark, report_layouts(spark, paths), multiline)
+    return _read_layouts(spark, _layouts(report_files(spark, paths)), multiline)
 
 
-def _read_layouts(spark: SparkSession, layouts: dict[tuple[str, ...], list[str]], multiline: bool,
+def _read_layouts(spark: SparkSession, layouts: dict[tuple[str, ...], list[ReportFile]], multiline: bool,
                   trim_names: bool = False) -> DataFrame:
     opts = {**REPORT_OPTIONS, "multiLine": str(multiline).lower()}
+    split_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     out = None
     for names, files in layouts.items():
-        schema = StructType([StructField(c, StringType()) for c in names])
-        # the files' own header row is skipped, the names are those read from it
-        one = spark.read.options(**opts).schema(schema).csv(files)
-        one = one.select("*", F.col("_metadata.file_path").alias("_file"))
-        if trim_names:
-            one = one.toDF(*[c.strip() for c in one.columns])
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        if not names:
+            continue
+        large = [f for f in files if multiline and f.splits(split_bytes)]
+        small = [f.path for f in files if f not in large]
+        parts = []
+        if small:
+            schema = StructType([StructField(c, StringType()) for c in names])
+            # the files' own header row is skipped, the names are those read from it
+            one = spark.read.options(**opts).schema(schema).csv(small)
+            parts.append(one.select("*", F.col("_metadata.file_path").alias("_file")))
+        if large:
+            parts.append(parsed_records(split_records(spark, large, split_bytes), names, opts))
+        for one in parts:
+            if trim_names:
+                one = one.toDF(*[c.strip() for c in one.columns])
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return spark.createDataFrame([], "_file string") if out is None else out
 
 
+def _bytes(setting: str) -> int:
+    """A size setting such as ``134217728b`` or ``128m``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([bkmgt]?)b?\s*", setting.lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def check_returns_header(df: DataFrame) -> DataFrame:
     """The 32 returns columns must all be present (names exact)."""
     missing = set(RETURNS_HEADERS) - set(df.columns)
@@ -112,9 +118,9 @@ def check_sales_header(df: DataFrame) -> DataFrame:
 def _prepared(spark: SparkSession, kind: str, paths, on_error: str, multiline: bool) -> DataFrame:
     """Scan, header check and typed projection, with ``_errors`` and ``_file``.
 
-    A file without the required columns raises ReportHeaderError (``fail``),
-    or is one rejected row that names the file (``quarantine``): the other
-    files are loaded.
+    A file without the required columns, such as an empty one, raises
+    ReportHeaderError (``fail``), or is one rejected row that names the file
+    (``quarantine``): the other files are loaded.
     """
     from rmalytics.operators.ingest import prepare_returns, prepare_sales
 
@@ -122,14 +128,14 @@ def _prepared(spark: SparkSession, kind: str, paths, on_error: str, multiline: b
     check = check_returns_header if kind == "returns" else check_sales_header
     prepare = prepare_returns if kind == "returns" else prepare_sales
     good, rejected = {}, []
-    for names, files in report_layouts(spark, paths).items():
+    for names, files in _layouts(report_files(spark, paths)).items():
         try:
             check(spark.createDataFrame([], StructType([StructField(c, StringType()) for c in names])))
             good[names] = files
         except ReportHeaderError as e:
             if on_error == "fail":
                 raise
-            rejected += [(f, [str(e)]) for f in files]
+            rejected += [(f.path, [str(e) if f.size else f"{e} (the file is empty)"]) for f in files]
     raw = _read_layouts(spark, good, multiline, trim_names=kind == "sales") if good else \
         spark.createDataFrame([], StructType([StructField(c, StringType()) for c in (*required, "_file")]))
     out = prepare(check(raw))
