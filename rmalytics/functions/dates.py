@@ -18,6 +18,11 @@ def month_number(name: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, name), F.lit(0))
 
 
+def month_name(number: Column) -> Column:
+    """1..12 -> English month name; NULL stays NULL."""
+    return F.get(F.array(*[F.lit(m) for m in MONTHS]), number - 1)
+
+
 def report_month_year(c: Column) -> tuple[Column, Column, Column]:
     """Returns-report request date ``D-Mon-YY`` / ``D-Mon-YYYY`` -> (month, year, month number).
 
@@ -27,12 +32,12 @@ def report_month_year(c: Column) -> tuple[Column, Column, Column]:
     NULLs (the ingest turns that into a rejected row).
     """
     parts = F.split(py_strip(c), "-")
-    ok = F.size(parts) == 3
-    mon = F.try_to_date(F.concat(F.lit("1-"), F.get(parts, 1), F.lit("-2000")), "d-MMM-yyyy")
+    lookup = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m[:3].lower()), F.lit(i))])
+    number = F.try_element_at(lookup, F.lower(F.get(parts, 1)))
     year = strict_int(F.get(parts, 2))  # Python int(): blanks, '+', '_' between digits
     year = F.when(year < 100, year + 2000).otherwise(year)
-    valid = ok & mon.isNotNull() & year.isNotNull()
-    return (F.when(valid, F.date_format(mon, "MMMM")), F.when(valid, year), F.when(valid, F.month(mon)))
+    valid = (F.size(parts) == 3) & number.isNotNull() & year.isNotNull()
+    return (month_name(F.when(valid, number)), F.when(valid, year), F.when(valid, number))
 
 
 # Text Python's datetime.strptime(s, '%Y-%m-%dT%H:%M:%S%z') accepts (seconds 60-61
@@ -55,7 +60,7 @@ def purchase_month_year(c: Column) -> tuple[Column, Column, Column]:
     m = F.substring_index(F.substring_index(date_part, "-", 2), "-", -1)
     d = F.trim(F.substring_index(date_part, "-", -1))
     day = F.when(c.rlike(_ISO_OFFSET), F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d"))
-    return (F.date_format(day, "MMMM"), F.year(day), F.month(day))
+    return (month_name(F.month(day)), F.year(day), F.month(day))
 
 
 def _as_date(d) -> _dt.date:

@@ -24,7 +24,7 @@ def blank_to_zero_float(c: Column) -> Column:
     num = F.when(s.contains("_"), F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(s)
     ok = num.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$")
     nan = F.lower(num).rlike("^[+-]?nan$")  # Spark's cast takes only an unsigned 'NaN'
-    return (F.when(s == "", F.lit(0.0).cast("float"))
+    return (F.when(c.isNull() | (c == "") | (s == ""), F.lit(0.0).cast("float"))
             .when(nan, F.lit(float("nan")).cast("float"))
             .when(ok, num.try_cast("float")))
 

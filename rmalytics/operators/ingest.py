@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rmalytics.functions.dates import purchase_month_year, report_month_year
+from rmalytics.functions.dates import month_name, purchase_month_year, report_month_year
 from rmalytics.functions.numbers import blank_to_zero_float, strict_int, text_flag
 from rmalytics.schemas import (
     RETURNS_HEADERS,
@@ -47,30 +47,42 @@ def prepare_returns(raw: DataFrame) -> DataFrame:
     be integers; the request date must be ``D-Mon-YY[YY]``.
     """
     text = {h: F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in RETURNS_HEADERS}
-    month, year, number = report_month_year(F.col("`Return request date`"))
-    cols = []
-    for h in RETURNS_HEADERS:
-        c = strict_int(F.col(f"`{h}`")) if h in RETURNS_INT_HEADERS else text[h]
-        cols.append(c.alias(snake(h)))
+    _, year, number = report_month_year(F.col("`Return request date`"))
+    whole = {h: f"_{snake(h)}" for h in RETURNS_INT_HEADERS}
+    raw = _with_parsed(raw, {"_year": year, "_month_no": number, **{c: strict_int(F.col(f"`{h}`")) for h, c in whole.items()}})
+    cols = [(F.col(whole[h]) if h in whole else text[h]).alias(snake(h)) for h in RETURNS_HEADERS]
     return raw.select(
         *cols,
-        month.alias("month"),
-        year.alias("year"),
-        number.alias("month_no"),
+        month_name(F.col("_month_no")).alias("month"),
+        F.col("_year").alias("year"),
+        F.col("_month_no").alias("month_no"),
         F.localtimestamp().alias("last_updated"),
         _errors(
-            (month.isNull() | year.isNull(), "bad Return request date"),
-            *[(strict_int(F.col(f"`{h}`")).isNull(), f"bad {h}") for h in RETURNS_INT_HEADERS],
+            (F.col("_month_no").isNull(), "bad Return request date"),
+            *[(F.col(c).isNull(), f"bad {h}") for h, c in whole.items()],
         ).alias("_errors"),
         *_source_file(raw),
     )
 
 
+def _with_parsed(raw: DataFrame, parsed: dict[str, Column]) -> DataFrame:
+    """``raw`` with parsed columns, each worked out once for a row.
+
+    They pass through a generator of one row, which the optimizer doesn't take
+    apart: plain columns would be parsed anew in every expression and filter
+    that uses them.
+    """
+    once = raw.select("*", *[c.alias(f"_{name}") for name, c in parsed.items()])
+    row = F.struct(*[F.col(f"_{name}").alias(name) for name in parsed])
+    return once.select(*[once[f"`{c}`"] for c in raw.columns], F.inline(F.array(row)))
+
+
 def prepare_sales(renamed: DataFrame) -> DataFrame:
     """39 sales columns (already renamed to snake case) -> typed row."""
     floats = {SALES_RENAME[h] for h in SALES_FLOAT_HEADERS}
     flags = {SALES_RENAME[h] for h in SALES_FLAG_HEADERS}
-    month, year, number = purchase_month_year(F.col("purchase_date"))
+    _, year, number = purchase_month_year(F.col("purchase_date"))
+    renamed = _with_parsed(renamed, {"_year": year, "_month_no": number, "_quantity": strict_int(F.col("quantity"))})
     cols = []
     for c in SALES_COLUMNS:
         if c in floats:
@@ -78,19 +90,19 @@ def prepare_sales(renamed: DataFrame) -> DataFrame:
         elif c in flags:
             e = text_flag(F.col(c))
         elif c == "quantity":
-            e = strict_int(F.col(c))
+            e = F.col("_quantity")
         else:
             e = F.coalesce(F.col(c), F.lit(""))
         cols.append(e.alias(c))
     return renamed.select(
         *cols,
-        month.alias("month"),
-        year.alias("year"),
-        number.alias("month_no"),
+        month_name(F.col("_month_no")).alias("month"),
+        F.col("_year").alias("year"),
+        F.col("_month_no").alias("month_no"),
         F.localtimestamp().alias("last_updated"),
         _errors(
-            (month.isNull(), "bad purchase-date"),
-            (strict_int(F.col("quantity")).isNull(), "bad quantity"),
+            (F.col("_month_no").isNull(), "bad purchase-date"),
+            (F.col("_quantity").isNull(), "bad quantity"),
         ).alias("_errors"),
         *_source_file(renamed),
     )

@@ -365,5 +365,6 @@ def parsed_records(records: DataFrame, names: tuple[str, ...], options: dict[str
     keep = {k: v for k, v in options.items() if k not in ("header", "inferSchema", "encoding")}
     keep["lineSep"] = "\n"
     kind = ", ".join(f"c{k} string" for k in range(len(names)))
-    fields = records.select(F.from_csv("record", kind, keep).alias("f"), "_file")
-    return fields.select(*[F.col(f"f.c{k}").alias(n) for k, n in enumerate(names)], "_file")
+    # inline, not field access: a record is parsed once for all its columns
+    fields = records.select(F.inline(F.array(F.from_csv("record", kind, keep))), "_file")
+    return fields.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], "_file")

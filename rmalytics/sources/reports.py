@@ -115,7 +115,7 @@ def check_sales_header(df: DataFrame) -> DataFrame:
     return renamed
 
 
-def _prepared(spark: SparkSession, kind: str, paths, on_error: str, multiline: bool) -> DataFrame:
+def prepared_report(spark: SparkSession, kind: str, paths, on_error: str, multiline: bool) -> DataFrame:
     """Scan, header check and typed projection, with ``_errors`` and ``_file``.
 
     A file without the required columns, such as an empty one, raises
@@ -153,21 +153,21 @@ def load_returns_report(spark: SparkSession, paths, on_error: str = "fail", mult
     """
     from rmalytics.operators.ingest import enforce
 
-    return enforce(_prepared(spark, "returns", paths, on_error, multiline), on_error)
+    return enforce(prepared_report(spark, "returns", paths, on_error, multiline), on_error)
 
 
 def load_sales_report(spark: SparkSession, paths, on_error: str = "fail", multiline: bool = True):
     """Scan + header check + typed projection of all-orders (sales) reports."""
     from rmalytics.operators.ingest import enforce
 
-    return enforce(_prepared(spark, "sales", paths, on_error, multiline), on_error)
+    return enforce(prepared_report(spark, "sales", paths, on_error, multiline), on_error)
 
 
 def _ingest(kind, spark, paths, table_path, on_error, multiline, rejected_path):
     from rmalytics.operators.ingest import enforce, raise_row_error
     from rmalytics.sources.tables import append_table
 
-    prepared = _prepared(spark, kind, paths, on_error, multiline)
+    prepared = prepared_report(spark, kind, paths, on_error, multiline)
     if on_error != "quarantine":
         try:
             append_table(enforce(prepared, on_error), table_path)

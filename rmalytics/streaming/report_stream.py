@@ -10,32 +10,25 @@ read by executors.
 Exactly once: each micro-batch writes its rows under
 ``year=<y>/load_id=b<batch id>`` with dynamic partition overwrite, so a
 batch replayed after a failure replaces its own output instead of adding
-it twice. A streamed table therefore has the layout year/load_id and should
-be fed by this stream only. Rejected rows (``on_error='quarantine'``) go to
-``<table>_rejected`` the same way. With ``on_error='fail'`` a bad row stops
-the query and the batch is retried on restart.
+it twice. Batch loads may feed the same table, but no second stream;
+``sources.tables.compact`` folds the loads of both. Rejected rows
+(``on_error='quarantine'``) go to ``<table>_rejected`` first: files are
+parsed once for both, into a persisted batch. With ``on_error='fail'`` a
+bad row stops the query and the batch is retried on restart.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rmalytics.functions.keys import with_stored_keys
-from rmalytics.sources.reports import load_returns_report, load_sales_report
+from rmalytics.operators.ingest import enforce
+from rmalytics.sources.reports import prepared_report
+from rmalytics.sources.tables import close_batch, write_batch
 
 _BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-_LOADERS = {"returns": load_returns_report, "sales": load_sales_report}
-
-
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    (with_stored_keys(df).withColumn("load_id", F.lit(f"b{batch_id:09d}"))
-       .sortWithinPartitions("year", "month_no")
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy("year", "load_id")
-       .parquet(path))
 
 
 def report_stream(spark: SparkSession, landing_dir: str, table_path: str, kind: str = "returns",
@@ -51,9 +44,8 @@ def report_stream(spark: SparkSession, landing_dir: str, table_path: str, kind:
     A file without the required columns is a rejected row of its own
     (``quarantine``) and doesn't hold up the others.
     """
-    if kind not in _LOADERS:
+    if kind not in ("returns", "sales"):
         raise ValueError("kind must be 'returns' or 'sales'")
-    load = _LOADERS[kind]
     files = (spark.readStream.format("binaryFile")
              .schema(_BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", file_glob)
@@ -65,14 +57,18 @@ def report_stream(spark: SparkSession, landing_dir: str, table_path: str, kind:
         paths = sorted(r.path for r in batch.collect())
         if not paths:
             return
-        loaded = load(batch.sparkSession, paths, on_error, multiline)
+        prepared = prepared_report(batch.sparkSession, kind, paths, on_error, multiline)
         if on_error == "quarantine":
-            good, bad = loaded
-            _write_batch(good, table_path, batch_id)
-            _write_batch(bad.withColumn("_errors", F.array_join("_errors", "; ")),
-                         f"{table_path}_rejected", batch_id)
+            prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                good, bad = enforce(prepared, on_error)
+                write_batch(bad.withColumn("_errors", F.array_join("_errors", "; ")), f"{table_path}_rejected", batch_id)
+                write_batch(good, table_path, batch_id)
+            finally:
+                prepared.unpersist()
         else:
-            _write_batch(loaded, table_path, batch_id)
+            write_batch(enforce(prepared, on_error), table_path, batch_id)
+        close_batch(batch.sparkSession, table_path, batch_id)
 
     w = (files.writeStream.foreachBatch(load_batch)
          .option("checkpointLocation", checkpoint_dir or f"{table_path}_checkpoint"))
