@@ -106,14 +106,21 @@ def keyed_sums(df: DataFrame, cols: list[str], sums: dict[str, Column], fold_cas
     prevent; the spelling aggregate (``collect_set``, an ObjectHashAggregate)
     then only sees one row per distinct spelling per key, never the raw rows.
     """
+    pairs = keyed_pairs(df, cols, sums, fold_case)
+    if not fold_case:
+        return pairs
+    return pairs.groupBy(*[key_name(c) for c in cols]).agg(
+        *[spelling(c).alias(c) for c in cols], *[F.sum(n).cast("bigint").alias(n) for n in sums])
+
+
+def keyed_pairs(df: DataFrame, cols: list[str], sums: dict[str, Column], fold_case: bool) -> DataFrame:
+    """The first step of ``keyed_sums``: ``sums`` for each key and spelling."""
     named = {n: F.sum(e).alias(n) for n, e in sums.items()}
     if not fold_case:
         out = df.groupBy(*cols).agg(*named.values()) if named else df.select(*cols).distinct()
         return out.select(*[F.col(c).alias(key_name(c)) for c in cols], "*")
     keyed = df.select(*[folded(df, c).alias(key_name(c)) for c in cols], *cols,
                       *[e.alias(n) for n, e in sums.items()])
-    pairs = keyed.groupBy(*[key_name(c) for c in cols], *cols).agg(
+    return keyed.groupBy(*[key_name(c) for c in cols], *cols).agg(
         *[F.sum(n).alias(n) for n in sums]) if sums else \
         keyed.select(*[key_name(c) for c in cols], *cols).distinct()
-    return pairs.groupBy(*[key_name(c) for c in cols]).agg(
-        *[spelling(c).alias(c) for c in cols], *[F.sum(n).cast("bigint").alias(n) for n in sums])

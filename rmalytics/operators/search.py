@@ -15,7 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rmalytics.functions.keys import key_of, keyed_sums, spelling
+from rmalytics.functions.keys import key_of, keyed_pairs, keyed_sums, spelling
+from rmalytics.functions.membership import key_filter, may_hold
 from rmalytics.functions.rates import has_returns, rate_band, return_rate
 from rmalytics.functions.text import matches
 
@@ -81,9 +82,11 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     letter case and accents; so does grouping unless ``fold_case=False``.
     ``merchant_skus`` is NULL only where every SKU is NULL: a blank SKU is ''.
 
-    Sales are summed by ASIN before they are shuffled (one row per ASIN and
-    task, so a hot ASIN is no more than others) and then meet the products,
-    whose ASINs come from the one filtered scan of ``returns``.
+    Sales of ASINs that can't be among the products are left out in the scan
+    (``functions/membership.py``; the filter is built from the products' own
+    first shuffle, so ``returns`` is scanned once). The others are summed by
+    ASIN before they are shuffled (one row per ASIN and task, so a hot ASIN is
+    no more than others) and then meet the products.
     """
     years = tuple(int(y) for y in years)
     term = (term or "").strip()
@@ -105,6 +108,11 @@ def search_products(returns: DataFrame, sales: DataFrame, term: str, years=(2023
     # years' partitions are read.
     sales_y = sales.filter(F.col("year").isin(*years)) if years else sales.limit(0)
     sales_y = sales_y.select(key_of(sales_y, "asin", fold_case).alias("asin_key"), "year", "quantity")
+    if years:
+        # the sums (always 0 or more) keep this branch equal to the products', whose shuffle it reuses
+        pairs = keyed_pairs(matched, ["asin", "merchant_sku"], _year_sums(years), fold_case)
+        found = pairs.where(sum(F.col(f"returns_{y}") for y in years) >= 0)
+        sales_y = sales_y.where(may_hold(key_filter(F.col("asin_key"), found).scalar(), F.col("asin_key")))
     sold = sales_y.groupBy("asin_key").agg(
         *[F.sum(e).cast("bigint").alias(n) for n, e in _year_sums(years, "quantity", "sales").items()])
 

@@ -67,6 +67,12 @@ def loads(spark: SparkSession, path: str) -> Loads:
     return Loads(int(versions[-1][1:]), tuple(d["compacted"]), d["folded_to"], tuple(d["replaced"]))
 
 
+def _listed(spark: SparkSession, path: str, now: Loads) -> bool:
+    """Writes a list of loads, unless there is one of its version."""
+    text = json.dumps({"compacted": now.compacted, "folded_to": now.folded_to, "replaced": now.replaced})
+    return paths.write_text(spark, f"{path}/{LOADS}/v{now.version:010d}", text)
+
+
 def _close(spark: SparkSession, path: str, load_id: str) -> None:
     """Notes that a load is written: from now on it may be folded."""
     paths.write_text(spark, f"{path.rstrip('/')}/{LOADS}/closed-{load_id}", "")
@@ -86,7 +92,9 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
             return spark.createDataFrame([], schema)
         raise
     if "load_id" in df.columns:
-        df = df.where(loads(spark, path).condition())
+        now = loads(spark, path)
+        if now.version:  # else nothing has been folded yet: every folder counts
+            df = df.where(now.condition())
     # `year` is a directory name; keep it an int even where partition type
     # inference is off (the cast is a no-op otherwise and pruning still works).
     return df.withColumn("year", F.col("year").cast("int"))
@@ -147,11 +155,13 @@ def compact(spark: SparkSession, path: str, max_records_per_file: int = 5_000_00
     if len(fold) > 1 or any(f[:1] != "c" for f in fold):
         into = f"c{uuid.uuid4().hex[:12]}"
         df = spark.read.parquet(path).where(F.col("load_id").isin(fold)).drop("load_id")
+        if not now.version:  # from here on readers leave out what isn't listed, such as the folders written next
+            now = Loads(1)
+            _listed(spark, path, now)
         # large years stay split, small ones become one file each
         _write(df.hint("rebalance", "year"), path, into, max_records_per_file)
         new = Loads(now.version + 1, (into,), max(now.folded_to, closed), tuple(f for f in there if f[0] == "l" and (f in fold or f in now.replaced)))
-        text = json.dumps({"compacted": new.compacted, "folded_to": new.folded_to, "replaced": new.replaced})
-        if not paths.write_text(spark, f"{path}/{LOADS}/v{new.version:010d}", text):
+        if not _listed(spark, path, new):
             for year in {y for y, _ in folders}:
                 paths.delete_folder(spark, f"{path}/{year}/load_id={into}")
             raise RuntimeError(f"another compaction of {path} ended first; nothing was folded")
