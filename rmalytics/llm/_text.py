@@ -1,12 +1,13 @@
 """Vectorised helpers over the UTF-8 buffer of an Arrow text column.
 
 Spans (words, tokenizer segments) are offset pairs into one byte buffer; they
-are hashed eight bytes at a time over all spans of a batch at once, so that
-per-word Python work is limited to the distinct words.
+are hashed, and compared, eight bytes at a time over all spans of a batch at
+once, so that per-word Python work is limited to the distinct words.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,11 +81,20 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(s, off)
 
 
-def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans (``buf`` padded by eight bytes)."""
-    lanes = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+
+
+def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans (``buf`` padded by eight bytes).
+
+    With a random ``key`` that texts' authors don't know, they can't make two
+    spans of one hash.
+    """
+    lanes = _lanes(buf)
     size = e - s
-    h = size.astype(np.uint64) * _M1
+    h = size.astype(np.uint64) * _M1 ^ np.uint64(key)
     h ^= lanes[s] & _MASKS[np.minimum(size, 8)]
     h = mix(h)
     rows, at = np.flatnonzero(size > 8), 8
@@ -97,48 +107,109 @@ def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return h
 
 
+def equal_spans(a: np.ndarray, s: np.ndarray, e: np.ndarray, b: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Which spans (s, e) of ``a`` hold the same bytes as spans (t, f) of ``b`` (buffers padded by eight bytes)."""
+    x, y, size = _lanes(a), _lanes(b), e - s
+    same = size == f - t
+    rows, at = np.flatnonzero(same & (size > 0)), 0
+    while len(rows):
+        ok = (x[s[rows] + at] ^ y[t[rows] + at]) & _MASKS[np.minimum(size[rows] - at, 8)] == 0
+        same[rows[~ok]] = False
+        at += 8
+        rows = rows[ok & (size[rows] > at)]
+    return same
+
+
+#: of this process; hashes by it aren't shared
+_KEY = secrets.randbits(64)
+KEPT_BYTES = 64 << 20
+
+
 class SpanMemo:
     """What distinct spans give, kept between batches of one Python worker.
 
-    ``work`` gets the distinct new spans as ``str`` and returns one item for
-    each. Beyond ``limit`` kept items the memory starts anew, so that it is
-    bounded; a result never depends on what is kept.
+    ``work`` gets distinct new spans as ``str`` and returns one item for each.
+    Spans are found by a keyed hash and then compared byte for byte, with those
+    of the batch and those kept; the few that share a hash with another span
+    are kept apart by their bytes. Beyond ``limit`` items or ``KEPT_BYTES`` the
+    memory starts anew, so that it is bounded; a result never depends on what
+    is kept, nor on the hash.
     """
 
-    def __init__(self, work: Callable[[list[str]], list], limit: int = 300_000):
-        self.work, self.limit = work, limit
+    def __init__(self, work: Callable[[list[str]], list], limit: int = 300_000, key: int = _KEY):
+        self.work, self.limit, self.key = work, limit, key
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        # the kept spans' bytes, and where each key's lie
+        self.kept, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.start, self.end, self.lead = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.apart: dict[tuple[bytes, bool], int] = {}
         self.items: list = []
 
+    def _keep(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = e - s
+        end = self.used + np.cumsum(size)
+        total = int(end[-1]) if len(end) else self.used
+        if total + 8 > len(self.kept):
+            room = np.zeros(2 * total + 8, np.uint8)
+            room[: self.used] = self.kept[: self.used]
+            self.kept = room
+        start = end - size
+        # all bytes of the spans, side by side
+        self.kept[self.used : total] = buf[np.repeat(s - start, size) + np.arange(self.used, total)]
+        self.used = total
+        return start, end
+
     def codes(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, lead: np.ndarray | None = None, prefix: str = "") -> np.ndarray:
         """Index into ``items`` of each span; spans where ``lead`` holds get ``prefix`` before them."""
-        h = hash_spans(buf, s, e)
+        h = hash_spans(buf, s, e, self.key)
+        flag = np.zeros(len(s), dtype=bool) if lead is None else lead
         if lead is not None:
             h[lead] = mix(h[lead] ^ _M3)
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.items) > self.limit:
+        if len(self.items) > self.limit or self.used > KEPT_BYTES:
             self.clear()
         known = np.searchsorted(self.keys, distinct)
         known[known == len(self.keys)] = 0
         hit = self.keys[known] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        # a span that differs from the batch's first of its hash, or from the one kept, goes apart
+        mine = first[inverse]
+        same = equal_spans(buf, s, e, buf, s[mine], e[mine]) & (flag == flag[mine])
+        if hit.any():
+            there, here = known[hit], first[hit]
+            kept = equal_spans(buf, s[here], e[here], self.kept, self.start[there], self.end[there]) & (flag[here] == self.lead[there])
+            if not kept.all():
+                other = np.zeros(len(distinct), dtype=bool)
+                other[np.flatnonzero(hit)[~kept]] = True
+                same &= ~other[inverse]
         out = np.empty(len(distinct), dtype=np.int64)
         out[hit] = self.at[known[hit]] if len(self.keys) else 0
         new = np.flatnonzero(~hit)
+        raw = buf.tobytes() if len(new) or not same.all() else b""
+
+        def texts(rows: np.ndarray) -> list[str]:
+            got = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[rows].tolist(), e[rows].tolist(), strict=True)]
+            return [prefix + x if y else x for x, y in zip(got, flag[rows].tolist(), strict=True)]
+
         if len(new):
-            raw, at = buf.tobytes(), first[new]
-            got = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-            if lead is not None:
-                got = [prefix + x if y else x for x, y in zip(got, lead[at].tolist(), strict=True)]
-            base = len(self.items)
-            self.items.extend(self.work(got))
+            rows, base = first[new], len(self.items)
+            self.items.extend(self.work(texts(rows)))
             out[new] = base + np.arange(len(new))
+            start, end = self._keep(buf, s[rows], e[rows])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.at = keys[order], np.concatenate([self.at, out[new]])[order]
-        return out[inverse]
+            self.start, self.end, self.lead = (np.concatenate(x)[order] for x in ((self.start, start), (self.end, end), (self.lead, flag[rows])))
+        codes = out[inverse]
+        for k in np.flatnonzero(~same).tolist():
+            name = (raw[s[k] : e[k]], bool(flag[k]))
+            if name not in self.apart:
+                self.apart[name] = len(self.items)
+                self.items.extend(self.work(texts(np.array([k]))))
+            codes[k] = self.apart[name]
+        return codes
 
 
 def sums_by_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join under several global token orders.
 
-A document is the set of its distinct ``k``-word shingles (64-bit hashes). Take
-any order of all shingles, c = ceil(t * n) and l = 1 + n // 16 for a set of n:
+A document is the set of its distinct ``k``-word shingles (64-bit hashes by a
+random key of the run). Take any order of all shingles, c = ceil(t * n) and l = 1 + n // 16 for a set of n:
 if two sets reach the similarity t, then their first ``n - c + l`` shingles have
 at least the smaller l in common (of the m >= c shared ones, the l-th has m - l
 others behind it). Candidates must pass this under three orders:
@@ -37,6 +37,7 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import math
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,12 +62,12 @@ _SALT1, _SALT2, _SALT3, _STEP = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9F
 _TOP = np.uint64(1 << 63)
 
 
-def shingle_sets(column: pa.Array, k: int = WORDS) -> Iterator[list[np.ndarray]]:
-    """Sorted distinct shingle hashes of each row, by runs of rows."""
+def shingle_sets(column: pa.Array, k: int = WORDS, key: int = 0) -> Iterator[list[np.ndarray]]:
+    """Sorted distinct shingle hashes (by ``key``) of each row, by runs of rows."""
     for _, _, buf, off in pieces(column):
         buf = LOWER[buf]
         s, e, rows = words(buf, off)
-        h = hash_spans(buf, s, e)
+        h = hash_spans(buf, s, e, key)
         n = len(h)
         whole = np.zeros(n, dtype=np.uint64)
         for j in range(k):
@@ -133,12 +134,12 @@ class Order:
         return x[np.argpartition(key, p - 1)[:p]] if p < len(x) else x
 
 
-def heavy_shingles(docs: DataFrame, k: int = WORDS, most: int = HEAVY) -> np.ndarray:
+def heavy_shingles(docs: DataFrame, k: int = WORDS, most: int = HEAVY, key: int = 0) -> np.ndarray:
     """The most frequent shingles over all documents, most frequent first; equal sets in a run of rows count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets in shingle_sets(batch.column(0), k):
+            for sets in shingle_sets(batch.column(0), k, key):
                 distinct = {x.tobytes(): x for x in sets if len(x)}
                 if distinct:
                     tokens, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
@@ -150,7 +151,7 @@ def heavy_shingles(docs: DataFrame, k: int = WORDS, most: int = HEAVY) -> np.nda
     return np.array([r.token for r in top], dtype=np.int64).view(np.uint64)
 
 
-def _signatures(docs: DataFrame, heavy: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def _signatures(docs: DataFrame, heavy: np.ndarray, k: int, num: int, den: int, key: int) -> DataFrame:
     """rid, doc_id, th, n, fp and the first order's prefix; a set's prefix is given once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,7 @@ def _signatures(docs: DataFrame, heavy: np.ndarray, k: int, num: int, den: int)
         part = TaskContext.get().partitionId()
         for batch in batches:
             row = 0
-            for sets in shingle_sets(batch.column(2), k):
+            for sets in shingle_sets(batch.column(2), k, key):
                 n = np.array([len(x) for x in sets], dtype=np.int64)
                 rid = np.empty(len(sets), dtype=np.int64)
                 fps, sizes, parts = [], [], []
@@ -204,14 +205,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(rid)], ["token", "rid"])
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
+def _sets(rows: DataFrame, k: int, key: int) -> DataFrame:
     """rid and the whole set (as bytes) of rows with rid and text; rows of one rid are in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             row = 0
-            for sets in shingle_sets(batch.column(1), k):
+            for sets in shingle_sets(batch.column(1), k, key):
                 rids, blobs = [], []
                 for rid, x in zip(batch.column(0)[row : row + len(sets)].to_pylist(), sets, strict=True):
                     if rid not in seen:
@@ -313,8 +314,9 @@ def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
 def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], k: int, num: int, den: int, most_heavy: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their sets' fingerprints, one row for each set, and the
     sets' components (node, label)."""
-    heavy = heavy_shingles(docs, k, most_heavy)
-    rows = kept(_signatures(docs, heavy, k, num, den), "rows")
+    secret = secrets.randbits(64)  # of this run: no text can be made so that its shingles clash
+    heavy = heavy_shingles(docs, k, most_heavy, secret)
+    rows = kept(_signatures(docs, heavy, k, num, den, secret), "rows")
     # one row for each set: the document with the smallest id, and the row that gave the prefix
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid", "th")).alias("first")
     reps = rows.where("n > 0").groupBy("fp").agg(first, F.min(F.when(F.size("prefix") > 0, F.col("rid"))).alias("rid"), F.max("n").alias("n"))
@@ -337,7 +339,7 @@ def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str
     left = posts.select("rid").distinct()
     wanted = left.join(reps, "rid").select("rid", key, F.col("th").alias("t"))
     texts = docs.select(key, F.col("th").alias("t"), "text").repartition("d", "t").join(wanted, ["d", "t"])
-    sets = kept(_sets(texts, k), "sets")
+    sets = kept(_sets(texts, k, secret), "sets")
 
     size = posts.groupBy("token").agg(F.count("*").alias("t")).where("t > 1")
     posts = kept(posts.join(size, "token"), "posts")

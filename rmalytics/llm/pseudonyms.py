@@ -34,8 +34,10 @@ check stay as they are. A value set of few members may map a value to itself.
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import hashlib
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -311,21 +313,26 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
 
 def pseudonymised(f: Feistel, text: str, back: bool = False) -> tuple[str, int]:
     """The text with its values replaced, and their number."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # of the kinds so far, in order and apart from each other
     for _, hint, pattern, permute in KINDS:
         if hint not in text:
             continue
+        ends, more = [b for _, b, _ in found], []
         for m in pattern.finditer(text):
-            if permute is _phone and (m := _phone_before(m, min((a for a, b, _ in found if a < m.end() and m.start() < b), default=len(text)))) is None:
+            k = bisect.bisect_right(ends, m.start())  # the first find that ends behind the match's start
+            met = k < len(found) and found[k][0] < m.end()
+            if permute is _phone and (m := _phone_before(m, found[k][0] if met else len(text))) is None:
                 continue
-            if any(a < m.end() and m.start() < b for a, b, _ in found):
+            if k < len(found) and found[k][0] < m.end():
                 continue
             if (new := permute(f, m, back)) is not None:
-                found.append((m.start(), m.end(), new))
+                more.append((m.start(), m.end(), new))
+        if more:
+            found = list(heapq.merge(found, more))
     if not found:
         return text, 0
     out, at = [], 0
-    for a, b, new in sorted(found):
+    for a, b, new in found:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), len(found)
