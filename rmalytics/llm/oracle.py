@@ -6,7 +6,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 QUALITY = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+  -- every language has a reference, and so has the null one
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ),
@@ -38,10 +39,7 @@ cls AS (
 ),
 cls2 AS (SELECT rid, lang, n, w, chars, list_append(c, chars - list_sum(c)) AS c FROM cls),
 pos AS (SELECT unnest(range(1, 9)) AS j),
-langs AS (
-  SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang
-  HAVING count(*) >= 0.001 * (SELECT count(*) FROM documents WHERE lang IS NOT NULL)
-),
+langs AS (SELECT DISTINCT lang FROM d),
 refc AS (SELECT lang, j, sum(c[j]) AS q FROM cls2 JOIN langs USING (lang), pos GROUP BY lang, j),
 wc AS (
   SELECT lang, x, count(*) AS k FROM (SELECT lang, unnest(w) AS x FROM cls2 JOIN langs USING (lang)) GROUP BY lang, x
