@@ -29,7 +29,7 @@ from rmalytics.operators.top_returned import top_returned
 from rmalytics.sources.csv_sink import write_export_csv
 from rmalytics.sources.json_out import json_rows
 from rmalytics.sources.reports import ingest_returns, ingest_sales
-from rmalytics.sources.tables import read_returns, read_sales
+from rmalytics.sources.tables import compact, read_returns, read_sales
 
 
 def _emit(title: str, df: DataFrame, as_json: bool, out) -> None:
@@ -64,7 +64,11 @@ def _parser() -> argparse.ArgumentParser:
     sp.add_argument("--rejected", default=None,
                     help="folder for quarantined rows (default: <warehouse>/<kind>_rejected)")
     sp.add_argument("--single-line-records", action="store_true",
-                    help="no field spans lines: let Spark split large files")
+                    help="no field spans lines, which saves large files a scan")
+    common(sp)
+
+    sp = sub.add_parser("compact", help="fold a table's loads into one folder for each year")
+    sp.add_argument("kind", choices=["returns", "sales"])
     common(sp)
 
     sp = sub.add_parser("dashboard", help="monthly returns, top returned SKUs, freshness")
@@ -110,6 +114,11 @@ def main(argv=None, spark: SparkSession | None = None, out=None) -> int:
             _emit(f"rejected rows in {where}", counts, args.json, out)
         return 0
 
+    if args.cmd == "compact":
+        now = compact(spark, f"{w}/{args.kind}")
+        print(f"{args.kind}: {len(now.compacted)} folded load, up to micro-batch {now.folded_to}", file=out)
+        return 0
+
     r, s = _tables(spark, w)
     if args.cmd == "dashboard":
         _emit("returns by month", monthly_pivot(r), args.json, out)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rmalytics.schemas import RETURNS_HEADERS, SALES_FLOAT_HEADERS, SALES_HEADERS
-from rmalytics.session import scratch_path
+from rmalytics.session import SCRATCH, scratch_path
 from rmalytics.sources.driver import asin_of
 
 WRITE_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"',
@@ -146,7 +146,7 @@ _rendered: dict[tuple[str, str, str], str] = {}
 def rendered(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """Folder of report files of ``kind`` rendered from ``sf_dir``, written
     once per application (they never change afterwards)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    key = (spark.sparkContext.applicationId, SCRATCH.epoch, sf_dir.rstrip("/"), kind)
     with _lock:
         key_lock = _key_locks.setdefault(key, threading.Lock())
     with key_lock:  # one writer per report; different reports in parallel

@@ -15,16 +15,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rmalytics.session import scratch_path
+from rmalytics.session import SCRATCH, scratch_path
 from rmalytics.sources.driver import returns_view, sales_view
 from rmalytics.sources.tables import append_table, read_returns, read_sales
 
 _lock = threading.Lock()
-_loaded: dict[tuple[str, str], tuple[str, str]] = {}
+_loaded: dict[tuple[str, int, str], tuple[str, str]] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    return spark.sparkContext.applicationId, sf_dir.rstrip("/")
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, int, str]:
+    return spark.sparkContext.applicationId, SCRATCH.epoch, sf_dir.rstrip("/")
 
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -44,13 +44,13 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         return _loaded[key]
 
 
-_frames: dict[tuple[SparkSession, str], tuple[DataFrame, DataFrame]] = {}
+_frames: dict[tuple[SparkSession, int, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """DataFrames over the two tables. The tables never change once written,
     so one pair (with its listed file index) serves every plan."""
-    key = (spark, sf_dir.rstrip("/"))  # files per application, DataFrames per session
+    key = (spark, SCRATCH.epoch, sf_dir.rstrip("/"))  # files per application, DataFrames per session
     with _lock:
         frames = _frames.get(key)
     if frames is None:

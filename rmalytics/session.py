@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -51,6 +54,54 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+class ScratchFolders:
+    """The scratch folders that this process made: deleted on request, or when it ends.
+
+    Nothing else is ever deleted: only names that ``path`` gave out, each with
+    a part of its own. A process that is killed leaves its folders.
+    """
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self._made: list[tuple] = []  # (JVM view, Hadoop settings, path)
+        self.epoch = 0  # how often folders were cleared: what was kept in them is gone
+
+    def path(self, spark: SparkSession, kind: str) -> str:
+        path = f"{shared_dir(spark)}/rmalytics-{kind}-{uuid.uuid4().hex[:12]}"
+        with self._lock:
+            # held for the end, when the session may have been stopped
+            self._made.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+        return path
+
+    def clear(self) -> list[str]:
+        """Deletes the folders; frames that read them can't be used any more. Returns those that are left."""
+        with self._lock:
+            made, self._made = self._made, []
+            self.epoch += 1
+        left = []
+        for jvm, conf, path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            system = at.getFileSystem(conf)
+            # tables written beside a folder, such as <folder>-placed, carry its name
+            for status in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}*")) or []:
+                if not system.delete(status.getPath(), True):
+                    left.append(path)
+        return left
+
+    def clear_at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            self.clear()
+
+
+SCRATCH = ScratchFolders()
+atexit.register(SCRATCH.clear_at_exit)
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new, unique folder name under the shared scratch folder."""
-    return f"{shared_dir(spark)}/rmalytics-{kind}-{uuid.uuid4().hex[:12]}"
+    """A new, unique folder name under the shared scratch folder, deleted when this process ends."""
+    return SCRATCH.path(spark, kind)
+
+
+def clear_scratch() -> list[str]:
+    """Deletes this process's scratch folders now."""
+    return SCRATCH.clear()

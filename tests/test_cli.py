@@ -28,6 +28,11 @@ def test_cli_screens(spark, tmp_path):
     assert spark.read.parquet(f"{wh}/returns_rejected").count() == 1
     run(spark, "load", "sales", s, "--warehouse", wh)
 
+    run(spark, "load", "returns", r, "--warehouse", wh + "2", "--on-error", "quarantine")
+    run(spark, "load", "returns", r, "--warehouse", wh + "2", "--on-error", "quarantine")
+    assert "1 folded load" in run(spark, "compact", "returns", "--warehouse", wh + "2")
+    assert spark.read.parquet(f"{wh}2/returns").count() == 4
+
     dash = run(spark, "dashboard", "--warehouse", wh, "--year", "2024", "--series-year", "2025")
     assert "== top returned SKUs 2024" in dash and "75.00%" in dash
     assert "== series 2025" in dash
