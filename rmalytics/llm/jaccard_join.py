@@ -10,8 +10,9 @@ others behind it). Candidates must pass this under three orders:
    prefixes are shuffled by shingle; a document stays if enough of its prefix
    is shared with documents of a near size, a pair if the prefixes share so much
    that all the shingles behind them could make up for the rest.
-2. and 3.: other hash orders, taken on the two sets when they meet, before all
-   their shingles are compared.
+2. and 3.: other hash orders. Where candidates are counted by blocks (below), a
+   pair must pass under all three before it is given; for the others they are
+   taken on the two sets when they meet, before all shingles are compared.
 
 Equal sets are one document from the start. Links are found in two steps, so
 that groups of near copies don't make all their pairs: every document is
@@ -20,8 +21,11 @@ shingle's documents the one whose whole prefix is most widely shared: what
 copies were made from, rather than an edited copy), and the links found give
 components; then all pairs that share
 enough of their prefixes *across* components are compared. A pair within a
-component can add nothing to it, so the components are exact. Shingles of many
-documents are dealt to blocks, and pairs of blocks to tasks.
+component can add nothing to it, so the components are exact. Shingles held by
+one component only take no part. Documents with a shingle of more than
+``light`` documents are dealt to blocks, and pairs of blocks with such a shingle
+in common to tasks, with whole prefixes: a task counts all of a pair's shared
+shingles and gives only pairs that pass. Rarer shingles give their few pairs.
 
 Only one table of bounded size reaches the driver: the ``heavy`` most frequent
 shingles, which steer the first order (any order gives the same result).
@@ -58,6 +62,8 @@ OFTEN = 4
 #: prefixes are longer by 1 + n // MORE than to share one shingle, and share so many
 MORE = 16
 BLOCK = 512
+#: shingles of at most so many documents give their pairs directly
+LIGHT = 32
 _SALT1, _SALT2, _SALT3, _STEP = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0xD6E8FEB86659FD93))
 _TOP = np.uint64(1 << 63)
 
@@ -299,6 +305,124 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
     yield given()
 
 
+def _prefixes(sets: DataFrame, heavy: np.ndarray, num: int, den: int) -> DataFrame:
+    """rid and the prefixes of whole sets under the second and the third order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = [Order(heavy, _SALT2), Order(heavy, _SALT3)]
+        for batch in batches:
+            got = [[], []]
+            for tokens in batch.column(1).to_pylist():
+                x = np.frombuffer(tokens, dtype=np.uint64)
+                for out, order in zip(got, orders, strict=True):
+                    out.append(order.first(x, prefix_size(len(x), num, den)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in got)], ["rid", "second", "third"])
+
+    return sets.mapInArrow(run, "rid long, second binary, third binary")
+
+
+def shared_counts(one: list[np.ndarray], other: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many tokens each of the sets ``one`` shares with each of ``other``."""
+    out = np.zeros((len(one), len(other)), dtype=np.float32)  # whole numbers far below 2^24
+    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (one, other)]
+    common = np.intersect1d(*flat)
+    at = []
+    for sets, tokens in zip((one, other), flat, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        code = np.searchsorted(common, tokens)
+        code[code == len(common)] = 0
+        held = common[code] == tokens if len(common) else np.zeros(len(tokens), dtype=bool)
+        order = np.argsort(code[held], kind="stable")
+        at.append((row[held][order], code[held][order]))
+    for a in range(0, len(common), width):
+        parts = []
+        for sets, (row, code) in zip((one, other), at, strict=True):
+            lo, hi = np.searchsorted(code, [a, a + width])
+            x = np.zeros((len(sets), width), dtype=np.float32)
+            x[row[lo:hi], code[lo:hi] - a] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _needs(n: np.ndarray, m: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """``pair_needs`` and ``in_common`` of all pairs of sizes."""
+    sizes = np.unique(np.concatenate([n, m]))
+    behind_of = dict(zip(sizes.tolist(), [x - prefix_size(x, num, den) for x in sizes.tolist()], strict=True))
+    behind = [np.array([behind_of[x] for x in y.tolist()], dtype=np.int64) for y in (n, m)]
+    shared = -(-num * (n[:, None] + m[None, :]) // (num + den))
+    least = 1 + np.minimum(n[:, None], m[None, :]) // MORE
+    return np.maximum(least, shared - np.maximum(behind[0][:, None], behind[1][None, :])), least
+
+
+def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y) across components that share enough under each of the orders, of rows
+    (lo, hi, block, rid, comp, n, first, second, third) sorted by (lo, hi).
+
+    A group is a pair of blocks: it has whole prefixes of all their documents, so
+    that a pair is counted once, and given only if it passes.
+    """
+
+    def pairs(rows: list[dict]) -> pa.RecordBatch:
+        sides = [[r for r in rows if r["block"] == b] for b in (rows[0]["lo"], rows[0]["hi"])]
+        rid, comp, n = ([np.array([r[c] for r in side], dtype=np.int64) for side in sides] for c in ("rid", "comp", "n"))
+        ok = (comp[0][:, None] != comp[1][None, :]) & (np.abs((rid[0] >> 56)[:, None] - (rid[1] >> 56)[None, :]) <= 1)
+        if rows[0]["lo"] == rows[0]["hi"]:
+            ok &= rid[0][:, None] < rid[1][None, :]
+        if ok.any():
+            need, least = _needs(*n, num, den)
+            for name, enough in (("first", need), ("second", least), ("third", least)):
+                one, other = ([np.array(r[name], dtype=np.int64) if name == "first" else np.frombuffer(r[name], dtype=np.int64) for r in side] for side in sides)
+                ok &= shared_counts(one, other) >= enough
+                if not ok.any():
+                    break
+        i, j = np.nonzero(ok)
+        x, y = rid[0][i], rid[1][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    group: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if group and (row["lo"], row["hi"]) != (group[0]["lo"], group[0]["hi"]):
+                yield pairs(group)
+                group = []
+            group.append(row)
+    if group:
+        yield pairs(group)
+
+
+def _by_blocks(posts: DataFrame, prefixes: DataFrame, kept: Callable[[DataFrame, str], DataFrame], num: int, den: int, light: int, block: int) -> DataFrame:
+    """x, y: pairs across components that have a shingle of more than ``light`` documents in common.
+
+    A document's block is made of documents whose most frequent shingle is the
+    same, of one size class and, where a component is large, of that component
+    alone; pairs of blocks of one component are left out.
+    """
+    common = posts.where(F.col("t") > light)
+    top = F.max(F.struct("t", "token")).alias("top")
+    held = common.groupBy("rid", "comp").agg(top).select("rid", "comp", F.col("top.token").alias("g"), F.shiftright("rid", 56).alias("cls"))
+    own = held.groupBy("g", "cls", "comp").agg(F.count("*").alias("own"))
+    rest = own.groupBy("g", "cls").agg(F.sum(F.when(F.col("own") < block, F.col("own")).otherwise(0)).alias("rest"))
+    split = lambda column, size: F.pmod(F.xxhash64(column), F.greatest(F.lit(1), F.ceil(size / block)).cast("long"))
+    large = F.col("own") >= block
+    part = F.when(large, split("rid", F.col("own"))).otherwise(split("comp", F.col("rest")))
+    pure = F.when(large, F.col("comp"))  # the block's only component
+    held = held.join(own, ["g", "cls", "comp"]).join(rest, ["g", "cls"])
+    held = kept(held.select("rid", "cls", pure.alias("pure"), F.xxhash64("g", "cls", F.coalesce(pure, F.lit(-1)), part).alias("block")), "blocks")
+
+    of_token = common.join(held, "rid").select("token", "block", "cls", "pure").distinct()
+    a = of_token.select("token", F.col("block").alias("lo"), F.col("cls").alias("c"), F.col("pure").alias("p"))
+    b = of_token.select("token", F.col("block").alias("hi"), F.col("cls").alias("d"), F.col("pure").alias("q"))
+    met = a.join(b, "token").where((F.col("lo") <= F.col("hi")) & (F.abs(F.col("c") - F.col("d")) <= 1)).where(~F.coalesce(F.col("p") == F.col("q"), F.lit(False)))
+    met = kept(met.select("lo", "hi").distinct(), "block-pairs")
+
+    docs = posts.groupBy("rid", "n", "comp").agg(F.collect_list("token").alias("first")).join(held.select("rid", "block"), "rid").join(prefixes, "rid")
+    sides = met.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    dealt = sides.join(docs, "block").select("lo", "hi", "block", "rid", "comp", "n", "first", "second", "third")
+    dealt = dealt.repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+    return dealt.mapInArrow(lambda it: _met(it, num, den), "x long, y long")
+
+
 @contextlib.contextmanager
 def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
     """Each step writes a table; its shuffle files go when the step is over."""
@@ -311,7 +435,7 @@ def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
 
-def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], k: int, num: int, den: int, most_heavy: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], k: int, num: int, den: int, most_heavy: int, block: int, light: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their sets' fingerprints, one row for each set, and the
     sets' components (node, label)."""
     secret = secrets.randbits(64)  # of this run: no text can be made so that its shingles clash
@@ -353,22 +477,27 @@ def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str
     tried = kept(_verified(star, sets, heavy, num, den), "tried")
     labels = kept(components(spark, tried.where("linked").select("x", "y")), "labels")
 
-    # blocks of a shingle's documents; each meets every block of the same shingle
-    blocks = F.ceil(F.col("t") / block).cast("long")
-    dealt = posts.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
-    side = F.pmod(F.xxhash64("rid"), blocks)
-    dealt = dealt.select("token", side.alias("side"), "rid", "comp", "n", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "comp", "n")
-    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    across = dealt.mapInArrow(lambda it: _across(it, num, den), "x long, y long, shared long, need long")
-    across = across.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
-    across = across.select("x", "y").join(tried, ["x", "y"], "left_anti")
+    # across components: only shingles that two of them hold, and documents with enough of those
+    across = posts.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("comp", F.coalesce("label", "rid")).drop("label")
+    for turn in (1, 2):
+        several = across.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("t")).where("a < b")
+        across = across.drop("t").join(several.select("token", "t"), "token")
+        left = across.groupBy("rid", "n").agg(F.count("*").alias("c")).where(enough).select("rid")
+        across = kept(across.join(left, "rid", "left_semi"), f"across-{turn}")
+    # shingles of few documents: all their pairs, counted; of many: pairs of blocks, which give what passes
+    few = across.where(F.col("t") <= light).select("token", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("side"), "rid", "comp", "n")
+    few = few.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _across(it, num, den), "x long, y long, shared long, need long")
+    few = few.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("x", "y")
+    prefixes = _prefixes(sets.join(across.where(F.col("t") > light).select("rid").distinct(), "rid", "left_semi"), heavy, num, den)
+    many = _by_blocks(across, prefixes, kept, num, den, light, block)
+    across = few.unionByName(many).distinct()
+    across = across.join(tried, ["x", "y"], "left_anti")
     more = kept(_verified(across, sets, heavy, num, den).where("linked"), "across")
     links = tried.where("linked").select("x", "y").unionByName(more.select("x", "y"))
     return rows, reps, kept(components(spark, links), "all-labels")
 
 
-def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, num: int = 3, den: int = 4, most_heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
+def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, num: int = 3, den: int = 4, most_heavy: int = HEAVY, block: int = BLOCK, light: int = LIGHT) -> DataFrame:
     """rid, doc_id, th, n_shingles, component_id, keeper of every row.
 
     ``th`` is xxhash64 of the text; ``keeper`` marks one row of each component,
@@ -383,7 +512,7 @@ def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     with _short_lived_shuffles(spark):
-        rows, reps, labels = _labels(spark, docs, kept, k, num, den, most_heavy, block)
+        rows, reps, labels = _labels(spark, docs, kept, k, num, den, most_heavy, block, light)
 
     # from sets to components to rows
     reps = reps.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
