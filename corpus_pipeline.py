@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept; all but the last return the columns of ``documents``.
+
+Edge cases: rows with null, empty or short texts fail the quality rules and go;
+a null language has a reference of its own; of equal rows, and of equal texts,
+the second stage keeps one, with a null id only where all have none; texts are
+whole in every stage, however long; a null source is a source; an empty table
+gives an empty result of every stage; other columns are left out.
 """
 
 from __future__ import annotations
