@@ -107,11 +107,12 @@ def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, key: int = 0) -> n
     return h
 
 
-def equal_spans(a: np.ndarray, s: np.ndarray, e: np.ndarray, b: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Which spans (s, e) of ``a`` hold the same bytes as spans (t, f) of ``b`` (buffers padded by eight bytes)."""
+def equal_spans(a: np.ndarray, s: np.ndarray, e: np.ndarray, b: np.ndarray, t: np.ndarray, f: np.ndarray, skip: int = 0) -> np.ndarray:
+    """Which spans (s, e) of ``a`` hold the same bytes as spans (t, f) of ``b``, the first
+    ``skip`` bytes left aside (buffers padded by eight bytes)."""
     x, y, size = _lanes(a), _lanes(b), e - s
     same = size == f - t
-    rows, at = np.flatnonzero(same & (size > 0)), 0
+    rows, at = np.flatnonzero(same & (size > skip)), skip
     while len(rows):
         ok = (x[s[rows] + at] ^ y[t[rows] + at]) & _MASKS[np.minimum(size[rows] - at, 8)] == 0
         same[rows[~ok]] = False
@@ -145,6 +146,7 @@ class SpanMemo:
         # the kept spans' bytes, and where each key's lie
         self.kept, self.used = np.zeros(1 << 16, np.uint8), 0
         self.start, self.end, self.lead = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.head = np.empty(0, np.uint64)  # their first eight bytes
         self.apart: dict[tuple[bytes, bool], int] = {}
         self.items: list = []
 
@@ -175,11 +177,17 @@ class SpanMemo:
         known[known == len(self.keys)] = 0
         hit = self.keys[known] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         # a span that differs from the batch's first of its hash, or from the one kept, goes apart
-        mine = first[inverse]
-        same = equal_spans(buf, s, e, buf, s[mine], e[mine]) & (flag == flag[mine])
+        size = e - s
+        head = _lanes(buf)[s] & _MASKS[np.minimum(size, 8)]
+        shape = size << 1 | flag
+        same = (head == head[first][inverse]) & (shape == shape[first][inverse])
+        long = np.flatnonzero(size > 8)
+        mine = first[inverse[long]]
+        same[long] &= equal_spans(buf, s[long], e[long], buf, s[mine], e[mine], 8)
         if hit.any():
             there, here = known[hit], first[hit]
-            kept = equal_spans(buf, s[here], e[here], self.kept, self.start[there], self.end[there]) & (flag[here] == self.lead[there])
+            kept = (head[here] == self.head[there]) & (flag[here] == self.lead[there])
+            kept &= equal_spans(buf, s[here], e[here], self.kept, self.start[there], self.end[there], 8)
             if not kept.all():
                 other = np.zeros(len(distinct), dtype=bool)
                 other[np.flatnonzero(hit)[~kept]] = True
@@ -201,7 +209,8 @@ class SpanMemo:
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.at = keys[order], np.concatenate([self.at, out[new]])[order]
-            self.start, self.end, self.lead = (np.concatenate(x)[order] for x in ((self.start, start), (self.end, end), (self.lead, flag[rows])))
+            fields = ((self.start, start), (self.end, end), (self.lead, flag[rows]), (self.head, head[rows]))
+            self.start, self.end, self.lead, self.head = (np.concatenate(x)[order] for x in fields)
         codes = out[inverse]
         for k in np.flatnonzero(~same).tolist():
             name = (raw[s[k] : e[k]], bool(flag[k]))
