@@ -37,8 +37,12 @@ from rmalytics.sources.driver import asin_of
 
 WRITE_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"',
                  "encoding": "ISO-8859-1", "emptyValue": "",
+                 "compression": "gzip", "zlib.compress.level": "BEST_SPEED",
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+#: A file holds no more rows, so that reports of any size are read by as many tasks as they need.
+ROWS_PER_FILE = 250_000
+
 SPECIAL_NAME_PARTS = ('"', "\t", "\n", "\u00e9")
 
 
@@ -54,12 +58,21 @@ def filler(header: str, order_id: F.Column) -> F.Column:
     return F.concat(F.lit(f"{header}:"), order_id.cast("string"))
 
 
-def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+_LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_linestatus")
+
+
+def _lineitem(spark: SparkSession, sf_dir: str, where: F.Column | None = None) -> DataFrame:
+    """Line items, spread over the session's parallelism by a hash of the order
+    id: deterministic on a retry, without the sort a round-robin repartition
+    needs for that. The reports' columns are made behind this shuffle, which
+    carries only those they are made of."""
+    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    li = (li if where is None else li.filter(where)).select(*_LINE_COLUMNS)
+    return li.repartition(spark.sparkContext.defaultParallelism, F.col("l_orderkey"))
 
 
 def returns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _lineitem(spark, sf_dir).filter(F.col("l_returnflag") == "R")
+    li = _lineitem(spark, sf_dir, F.col("l_returnflag") == "R")
     ln = F.col("l_linenumber")
     d = F.col("l_shipdate")
     date = F.when(ln % 2 == 0, F.date_format(d, "d-MMM-yy")).otherwise(F.date_format(d, "dd-MMM-yyyy"))
@@ -111,13 +124,10 @@ def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(*[values.get(h, filler(h, F.col("l_orderkey"))).alias(header.get(h, h)) for h in SALES_HEADERS])
 
 
-def write_report(df: DataFrame, path: str, key: str, files: int | None = None) -> str:
-    """Write as ``files`` report files (default: the session's parallelism),
-    as a seller would upload several monthly files. Rows are spread by a
-    hash of ``key`` (the order id): deterministic on a retry, without the
-    sort a round-robin repartition needs for that."""
-    n = files or df.sparkSession.sparkContext.defaultParallelism
-    df.repartition(n, F.col(f"`{key}`")).write.options(**WRITE_OPTIONS).csv(path)
+def write_report(df: DataFrame, path: str) -> str:
+    """Write as packed report files of ``ROWS_PER_FILE`` rows at most, as a
+    seller would upload several monthly files."""
+    df.write.options(**WRITE_OPTIONS).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
     return path
 
 
@@ -134,9 +144,9 @@ def returns_report_with_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPORTS = {
-    "returns": (returns_report, "Order ID"),
-    "returns_with_bad_rows": (returns_report_with_bad_rows, "Order ID"),
-    "sales": (sales_report, "amazon-order-id"),
+    "returns": returns_report,
+    "returns_with_bad_rows": returns_report_with_bad_rows,
+    "sales": sales_report,
 }
 _lock = threading.Lock()
 _key_locks: dict[tuple[str, str, str], threading.Lock] = {}
@@ -151,9 +161,8 @@ def rendered(spark: SparkSession, sf_dir: str, kind: str) -> str:
         key_lock = _key_locks.setdefault(key, threading.Lock())
     with key_lock:  # one writer per report; different reports in parallel
         if key not in _rendered:
-            build, order_col = _REPORTS[kind]
             path = f"{scratch_path(spark, 'report')}/{kind}"
-            _rendered[key] = write_report(build(spark, sf_dir), path, order_col)
+            _rendered[key] = write_report(_REPORTS[kind](spark, sf_dir), path)
         return _rendered[key]
 
 

@@ -103,7 +103,7 @@ def stream_returns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = _now(spark)
     q = report_stream(spark, landing, f"{base}/table", "returns",
                       checkpoint_dir=f"{base}/checkpoint", on_error="fail",
-                      file_glob="*.csv", available_now=True)
+                      file_glob="*.csv*", available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream failed: {q.exception()}")

@@ -63,10 +63,13 @@ class ReportFile:
     def crlf(self) -> int:
         return int(self.line_end == "\r\n")
 
+    @property
+    def packed(self) -> bool:
+        return self.path.lower().endswith(_PACKED)
+
     def splits(self, split_bytes: int) -> bool:
         """Whether it is read by many tasks."""
-        packed = self.path.lower().endswith(_PACKED)
-        return self.line_end != "\r" and not packed and self.size > split_bytes > self.header_bytes
+        return self.line_end != "\r" and not self.packed and self.size > split_bytes > self.header_bytes
 
 
 def _header(lines: Iterator[bytes]) -> tuple[bytes, int, str]:

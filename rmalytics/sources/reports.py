@@ -68,13 +68,17 @@ def _read_layouts(spark: SparkSession, layouts: dict[tuple[str, ...], list[Repor
         if not names:
             continue
         large = [f for f in files if multiline and f.splits(split_bytes)]
-        small = [f.path for f in files if f not in large]
+        packed = [f.path for f in files if f.packed]
+        small = [f.path for f in files if f not in large and not f.packed]
         parts = []
-        if small:
-            schema = StructType([StructField(c, StringType()) for c in names])
-            # the files' own header row is skipped, the names are those read from it
-            one = spark.read.options(**opts).schema(schema).csv(small)
-            parts.append(one.select("*", F.col("_metadata.file_path").alias("_file")))
+        # the files' own header row is skipped, the names are those read from it
+        schema = StructType([StructField(c, StringType()) for c in names])
+        for some in (small, packed):
+            if some:
+                by = spark if some is small else _packed_session(spark, split_bytes)
+                one = by.read.options(**opts).schema(schema).csv(some).select("*", F.col("_metadata.file_path").alias("_file"))
+                # bound to the caller's session, whose settings hold for what is built on it
+                parts.append(one if by is spark else spark.createDataFrame([], one.schema).limit(0).unionByName(one))
         if large:
             parts.append(parsed_records(split_records(spark, large, split_bytes), names, opts))
         for one in parts:
@@ -84,6 +88,18 @@ def _read_layouts(spark: SparkSession, layouts: dict[tuple[str, ...], list[Repor
     return spark.createDataFrame([], "_file string") if out is None else out
 
 
+#: how many times its size a packed report holds, roughly
+PACKED_GAIN = 8
+
+
+def _packed_session(spark: SparkSession, split_bytes: int) -> SparkSession:
+    """Its scans put no more packed files into a task than hold about ``split_bytes``
+    (or one file), so that the rows a task sorts fit its memory."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(max(split_bytes // PACKED_GAIN, 1)))
+    return own
+
+
 def _bytes(setting: str) -> int:
     """A size setting such as ``134217728b`` or ``128m``."""
     number, unit = re.fullmatch(r"\s*(\d+)\s*([bkmgt]?)b?\s*", setting.lower()).groups()
