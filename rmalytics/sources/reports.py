@@ -6,7 +6,6 @@ import re
 import uuid
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -190,15 +189,12 @@ def _ingest(kind, spark, paths, table_path, on_error, multiline, rejected_path):
         except Exception as exc:  # noqa: BLE001 - translated below
             raise_row_error(exc)
         return None
-    # one parse for both outputs; rejected rows are safe before good ones count
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        good, bad = enforce(prepared, on_error)
-        where = f"{(rejected_path or table_path.rstrip('/') + '_rejected').rstrip('/')}/load={uuid.uuid4().hex[:12]}"
-        bad.write.parquet(where)
-        append_table(good, table_path)
-    finally:
-        prepared.unpersist()
+    # files are parsed for each output: keeping all rows for both took longer, and memory or disk
+    # of the load's size; rejected rows are safe before good ones count
+    good, bad = enforce(prepared, on_error)
+    where = f"{(rejected_path or table_path.rstrip('/') + '_rejected').rstrip('/')}/load={uuid.uuid4().hex[:12]}"
+    bad.write.parquet(where)
+    append_table(good, table_path)
     return spark.read.parquet(where)
 
 

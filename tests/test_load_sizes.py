@@ -57,3 +57,12 @@ def test_packed_files_share_a_task_only_up_to_their_unpacked_size(spark, lines):
         assert read_report(spark, path).rdd.getNumPartitions() == n
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quarantine_keeps_no_copy_of_the_load(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "persist", lambda *_: pytest.fail("rows are kept"))
+    p = write_returns(str(tmp_path / "r.tsv"), [returns_row(), returns_row("5/Jan/24", "2"), returns_row("6-Jan-24", "x")])
+    bad = ingest_returns(spark, p, str(tmp_path / "table"), on_error="quarantine")
+    assert bad.count() == 2 and read_returns(spark, str(tmp_path / "table")).count() == 1
