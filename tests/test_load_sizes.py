@@ -66,3 +66,11 @@ def test_quarantine_keeps_no_copy_of_the_load(spark, tmp_path, monkeypatch):
     p = write_returns(str(tmp_path / "r.tsv"), [returns_row(), returns_row("5/Jan/24", "2"), returns_row("6-Jan-24", "x")])
     bad = ingest_returns(spark, p, str(tmp_path / "table"), on_error="quarantine")
     assert bad.count() == 2 and read_returns(spark, str(tmp_path / "table")).count() == 1
+
+
+def test_loads_join_and_sort_a_bounded_number_of_lines_in_a_task(spark, lines, monkeypatch):
+    before = [sorted(map(tuple, v(spark, lines).collect())) for v in (driver.returns_view, driver.sales_view)]
+    monkeypatch.setattr(driver, "ROWS_PER_TASK", 10)
+    for view, rows in zip((driver.returns_view, driver.sales_view), before, strict=True):
+        df = view(spark, lines)
+        assert df.rdd.getNumPartitions() == 20 and sorted(map(tuple, df.collect())) == rows
