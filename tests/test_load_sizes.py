@@ -68,6 +68,20 @@ def test_quarantine_keeps_no_copy_of_the_load(spark, tmp_path, monkeypatch):
     assert bad.count() == 2 and read_returns(spark, str(tmp_path / "table")).count() == 1
 
 
+def test_tables_are_written_small(spark, tmp_path):
+    p = write_returns(str(tmp_path / "r.tsv"), [returns_row()])
+    ingest_returns(spark, p, str(tmp_path / "table"))
+    f, = glob.glob(f"{tmp_path}/table/year=*/load_id=*/*.parquet")
+    assert pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+@pytest.mark.parametrize("text, number, whole", [("12", 12.0, 12), ("0012.50", 12.5, None), ("12\n", 12.0, 12), ("1e2", 100.0, None), (" 7 ", 7.0, 7),
+                                                 ("1_0", 10.0, 10), ("", 0.0, None), (None, 0.0, None), ("x", None, None), ("9999999999", 1e10, None), ("1.", 1.0, None)])
+def test_short_ways_give_the_same_numbers(spark, text, number, whole):
+    df = spark.createDataFrame([(text,)], "c string")
+    assert df.select(blank_to_zero_float(F.col("c")), strict_int(F.col("c"))).first()[:] == (number, whole)
+
+
 def test_loads_join_and_sort_a_bounded_number_of_lines_in_a_task(spark, lines, monkeypatch):
     before = [sorted(map(tuple, v(spark, lines).collect())) for v in (driver.returns_view, driver.sales_view)]
     monkeypatch.setattr(driver, "ROWS_PER_TASK", 10)
