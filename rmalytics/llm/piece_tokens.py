@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from rmalytics.llm._text import SpanMemo, pieces
 
 MARK = "▁"
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 300_000
+#: text cut into parts at once: arrays over its parts take some 20 times as much
+PART_BYTES = 2 << 20
 
 
 class Pieces:
@@ -167,7 +169,7 @@ def piece_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            for a, b, buf, off in pieces(batch.column(1)):
+            for a, b, buf, off in pieces(batch.column(1), PART_BYTES):
                 s, e, rows = _cuts(buf, off, model.joined)
                 lead = np.zeros(len(s), dtype=bool)
                 lead[rows[:-1][np.diff(off) > 0]] = True  # the space before a text

@@ -111,3 +111,22 @@ def test_empty_tables(spark):
 
 def test_tokenizer_files_stay_outside_the_repository():
     assert not os.path.exists(os.path.join(os.path.dirname(__file__), BYTE_BPE))
+
+
+def test_pieces_are_worked_on_in_small_parts(spark, monkeypatch):
+    """Arrays over a part's spans, several times its bytes, stay small in every worker."""
+    import pyarrow as pa
+
+    from rmalytics.llm import piece_tokens as module
+    from rmalytics.llm.registry import PIECES, tokenizer_path
+
+    seen = []
+    real = module.pieces
+    monkeypatch.setattr(module, "pieces", lambda *a: (seen.append(len(x[2])) or x for x in real(*a)))
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    grabbed = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: grabbed.append(f))
+    module.piece_tokens(df, tokenizer_path(PIECES))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(["some words " * 10_000] * 60)], ["doc_id", "text"])
+    out = list(grabbed[0](iter([batch])))
+    assert sum(b.num_rows for b in out) == 60 and max(seen) <= (2 << 20) + 8
