@@ -189,8 +189,8 @@ def _ingest(kind, spark, paths, table_path, on_error, multiline, rejected_path):
         except Exception as exc:  # noqa: BLE001 - translated below
             raise_row_error(exc)
         return None
-    # files are parsed for each output: keeping all rows for both took longer, and memory or disk
-    # of the load's size; rejected rows are safe before good ones count
+    # files are parsed for each output: keeping all rows for both takes memory or disk of the load's
+    # size; rejected rows are safe before good ones count
     good, bad = enforce(prepared, on_error)
     where = f"{(rejected_path or table_path.rstrip('/') + '_rejected').rstrip('/')}/load={uuid.uuid4().hex[:12]}"
     bad.write.parquet(where)
