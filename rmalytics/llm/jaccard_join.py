@@ -57,8 +57,14 @@ from rmalytics.session import scratch_path
 
 WORDS = 5
 HEAVY = 65_536
-#: in so many sets of one piece of text a shingle is reported as frequent
+#: in so many sets of one run of rows a shingle is reported as frequent
 OFTEN = 4
+#: shingles of a run's distinct sets, at most about so many
+RUN = 1 << 20
+#: text made into shingles at once: arrays over its words take some 15 times as much
+PART_BYTES = 1 << 20
+#: rows given to a worker at once, and pairs of sets taken out of them at once
+BATCH_ROWS, BATCH_PAIRS = 1000, 250
 #: prefixes are longer by 1 + n // MORE than to share one shingle, and share so many
 MORE = 16
 BLOCK = 512
@@ -70,7 +76,7 @@ _TOP = np.uint64(1 << 63)
 
 def shingle_sets(column: pa.Array, k: int = WORDS, key: int = 0) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingle hashes (by ``key``) of each row, by runs of rows."""
-    for _, _, buf, off in pieces(column):
+    for _, _, buf, off in pieces(column, PART_BYTES):
         buf = LOWER[buf]
         s, e, rows = words(buf, off)
         h = hash_spans(buf, s, e, key)
@@ -144,13 +150,24 @@ def heavy_shingles(docs: DataFrame, k: int = WORDS, most: int = HEAVY, key: int
     """The most frequent shingles over all documents, most frequent first; equal sets in a run of rows count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct: set[bytes] = set()  # sets of the run
+
+        def often() -> pa.RecordBatch:
+            tokens, n = np.unique(np.frombuffer(b"".join(distinct), dtype=np.uint64), return_counts=True)
+            distinct.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tokens[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["token", "n"])
+
+        total = 0
         for batch in batches:
             for sets in shingle_sets(batch.column(0), k, key):
-                distinct = {x.tobytes(): x for x in sets if len(x)}
-                if distinct:
-                    tokens, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                    often = n >= OFTEN
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
+                for x in sets:
+                    if len(x) and (own := x.tobytes()) not in distinct:
+                        distinct.add(own)
+                        total += len(x)
+                if total > RUN:
+                    yield often()
+                    total = 0
+        yield often()
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(most).collect()  # at most ``most`` rows
@@ -239,7 +256,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, heavy: np.ndarray, num: int, de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [Order(heavy, _SALT2), Order(heavy, _SALT3)]
-        for batch in batches:
+        for batch in (whole.slice(a, BATCH_PAIRS) for whole in batches for a in range(0, whole.num_rows, BATCH_PAIRS)):
             linked = []
             for tx, ty in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(tx, dtype=np.uint64), np.frombuffer(ty, dtype=np.uint64)
@@ -424,15 +441,18 @@ def _by_blocks(posts: DataFrame, prefixes: DataFrame, kept: Callable[[DataFrame,
 
 
 @contextlib.contextmanager
-def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Each step writes a table; its shuffle files go when the step is over."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _step_settings(spark: SparkSession) -> Iterator[None]:
+    """Each step writes a table; its shuffle files go when the step is over, and
+    workers get its rows, which hold texts and sets, few at a time."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    old = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+        for key, value in old.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def _labels(spark: SparkSession, docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], k: int, num: int, den: int, most_heavy: int, block: int, light: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -511,7 +531,7 @@ def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
-    with _short_lived_shuffles(spark):
+    with _step_settings(spark):
         rows, reps, labels = _labels(spark, docs, kept, k, num, den, most_heavy, block, light)
 
     # from sets to components to rows

@@ -53,6 +53,10 @@ from rmalytics.llm._text import pieces, sums_by_row
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
+#: text searched at once, and given on as a batch
+PART_BYTES = 1 << 20
+#: permuted values that a worker keeps
+KEPT_VALUES = 50_000
 _HINT = np.zeros(256, dtype=bool)
 _HINT[[*range(48, 58), 64]] = True
 
@@ -62,7 +66,7 @@ class Feistel:
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key).digest()
-        self.permuted = lru_cache(200_000)(self._permuted)
+        self.permuted = lru_cache(KEPT_VALUES)(self._permuted)
 
     def _round(self, tweak: str, size: int, k: int, half: int, below: int) -> int:
         data = f"{tweak}|{size}|{k}|{half}".encode()
@@ -351,19 +355,18 @@ def pseudonyms(df: DataFrame, key: bytes, text: str = "text", back: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _feistel(key)
-        for batch in batches:
-            column = batch.column(at)
-            hinted = np.zeros(len(column), dtype=bool)
-            for a, b, buf, off in pieces(column):
-                hinted[a:b] = sums_by_row(_HINT[buf[: off[-1]]], off) > 0
-            rows = np.flatnonzero(hinted)
-            done = [pseudonymised(f, t, back) for t in column.take(pa.array(rows)).to_pylist()]
-            n = np.zeros(len(column), dtype=np.int64)
-            n[rows] = [k for _, k in done]
-            changed = n > 0
-            if changed.any():
-                column = pc.replace_with_mask(column, pa.array(changed), pa.array([t for t, k in done if k], column.type))
-            columns = [column if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], schema.names)
+        for whole in batches:
+            for a, b, buf, off in pieces(whole.column(at), PART_BYTES):
+                batch = whole.slice(a, b - a)
+                column = batch.column(at)
+                rows = np.flatnonzero(sums_by_row(_HINT[buf[: off[-1]]], off) > 0)
+                done = [pseudonymised(f, t, back) for t in column.take(pa.array(rows)).to_pylist()]
+                n = np.zeros(len(column), dtype=np.int64)
+                n[rows] = [k for _, k in done]
+                changed = n > 0
+                if changed.any():
+                    column = pc.replace_with_mask(column, pa.array(changed), pa.array([t for t, k in done if k], column.type))
+                columns = [column if k == at else c for k, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], schema.names)
 
     return df.mapInArrow(run, schema)
